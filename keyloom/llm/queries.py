@@ -5,13 +5,14 @@ Each query applies its operator with its usual parameters to its whole table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_classifier, quality_rules, sharding, url_filter
-from .common import bucket_of, cut, read_table, words
+from . import mixing, nearest, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_counts, url_filter
+from .common import bucket_of, cut, read_table, shared_dir, words
 
 #: The rules of op7.
 URL_RULES = (
@@ -73,6 +74,30 @@ FROM bits
 """
 
 
+#: Where vocabulary files lie; a parameter of the queries that need one.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    counters = {"byte_bpe_50k/1": token_counts.byte_bpe_counter(spark, f"{tokenizers}/byte_bpe_50k.tiktoken"), "words/1": token_counts.word_counter()}
+    store = token_counts.RollupStore(spark, f"{shared_dir(spark)}/keyloom-rollup-{uuid.uuid4().hex}")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    store.commit("load", token_counts.changes(docs, counters))
+    return store.totals().select("source", "lang", "tokenizer", F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"), F.col("bytes").alias("n_bytes"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    pieces = sentencepiece_codec.Pieces(spark, f"{tokenizers}/piece_bpe_32k.model")
+    rows = sentencepiece_codec.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
+    rows = sentencepiece_codec.decode(rows, pieces)
+    return rows.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        F.crc32(F.array_join("piece_ids", " ").cast("binary")).alias("pieces_crc32"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = bucket_of(F.col("doc_id"), 3) == 1
@@ -102,13 +127,20 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_token_counts": op3_token_counts,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_mixing": op6_mixing,
         "op7_url_filters": op7_url_filters,
         "op8_sharding": op8_sharding,
+        "op9_nearest": op9_nearest,
     }
 
 

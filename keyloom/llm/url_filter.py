@@ -116,7 +116,7 @@ def host_scores(pages: DataFrame, damping: float = 0.85, rounds: int = 20, toler
     )
 
 
-def judge(pages: DataFrame, rules: tuple[UrlRule, ...], least_distrust: float = 0.01, margin: float = 1.0) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[UrlRule, ...], least_distrust: float = 0.075, margin: float = 1.0) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page."""
     step = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     step = step.withColumn("__fit", rule_of(F.col("host"), F.col("path"), rules))
