@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, nearest, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_counts, url_filter
+from . import mixing, near_duplicates, nearest, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_counts, url_filter
 from .common import bucket_of, cut, read_table, shared_dir, words
 
 #: The rules of op7.
@@ -131,6 +131,10 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"), near_duplicates.Settings(width=3, percent=85))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -141,6 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_filters": op7_url_filters,
         "op8_sharding": op8_sharding,
         "op9_nearest": op9_nearest,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
