@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_duplicates, nearest, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_counts, url_filter
+from . import lm_scoring, mixing, near_duplicates, nearest, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_counts, url_filter
 from .common import bucket_of, cut, read_table, shared_dir, words
 
 #: The rules of op7.
@@ -74,6 +74,13 @@ FROM bits
 """
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(bucket_of(F.col("doc_id"), 5) == 1, F.lit(False))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    model, counts = lm_scoring.train(docs.where(~F.col("held_out")))
+    return lm_scoring.score(docs, model, counts)
+
+
 #: Where vocabulary files lie; a parameter of the queries that need one.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -138,6 +145,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_token_counts": op3_token_counts,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_quality_classifier": op5_quality_classifier,
