@@ -83,7 +83,7 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def likeliest(larger: np.ndarray, smaller: np.ndarray, equal: np.ndarray, n: np.ndarray, m: np.ndarray, steps: int = 24) -> np.ndarray:
+def likeliest(larger: np.ndarray, smaller: np.ndarray, equal: np.ndarray, n: np.ndarray, m: np.ndarray, steps: int = 16) -> np.ndarray:
     """Maximum-likelihood similarity of pairs, from register comparisons and both set sizes."""
     u = n / (n + m)
     v = 1.0 - u
@@ -160,22 +160,22 @@ def _links(group: pd.DataFrame, settings: Settings) -> pd.DataFrame:
         if label in first:
             forest.join(first[label], i)
         first.setdefault(label, i)
-    a, b, guess = [], [], []
     total = regs.shape[1]
     floor = settings.percent / 100 - 6 * np.sqrt(0.25 / total)
     is_lead = group["lead"].to_numpy()
+    a, b, larger, equal = [], [], [], []
     for i in lead:
         other = np.flatnonzero((np.arange(k) > i) | ~is_lead)
         other = other[100 * np.minimum(n[other], n[i]) >= settings.percent * np.maximum(n[other], n[i])]
-        if not len(other):
-            continue
-        larger, equal = (regs[i] > regs[other]).sum(1), (regs[i] == regs[other]).sum(1)
-        j = likeliest(larger, total - larger - equal, equal, n[i], n[other])
-        ok = j >= floor
-        a.append(np.full(ok.sum(), i)), b.append(other[ok]), guess.append(j[ok])
+        theirs = regs[other]
+        a.append(np.full(len(other), i)), b.append(other)
+        larger.append((regs[i] > theirs).sum(1)), equal.append((regs[i] == theirs).sum(1))
     out = []
     if a:
-        a, b, guess = np.concatenate(a), np.concatenate(b), np.concatenate(guess)
+        a, b, larger, equal = (np.concatenate(x) for x in (a, b, larger, equal))
+        guess = likeliest(larger, total - larger - equal, equal, n[a], n[b])
+        near = guess >= floor
+        a, b, guess = a[near], b[near], guess[near]
         sets: dict[int, np.ndarray] = {}
         texts = group["text"]
         for at in np.argsort(-guess, kind="stable"):
