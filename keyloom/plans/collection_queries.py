@@ -167,14 +167,14 @@ def _(spark, d):
     return zsets.zrangebylex(ranks(spark, d), "(Customer#000000100", "+", rev=True, count=5)
 
 
-@query("zrank", f"SELECT seq, r.key, r.member, rank, score FROM {ASKED} r LEFT JOIN {ZN} x USING (key, member)")
+@query("zrank", f"SELECT seq, r.key, r.member, rank::VARCHAR AS rank, score FROM {ASKED} r LEFT JOIN {ZN} x USING (key, member)")
 def _(spark, d):
-    return zsets.zrank(ranks(spark, d), asked(spark, d))
+    return zsets.zrank(ranks(spark, d), asked(spark, d)).withColumn("rank", F.col("rank").cast("string"))
 
 
-@query("zrevrank", f"SELECT seq, r.key, r.member, back AS rank, score FROM {ASKED} r LEFT JOIN {ZN} x USING (key, member)")
+@query("zrevrank", f"SELECT seq, r.key, r.member, back::VARCHAR AS rank, score FROM {ASKED} r LEFT JOIN {ZN} x USING (key, member)")
 def _(spark, d):
-    return zsets.zrank(ranks(spark, d), asked(spark, d), rev=True)
+    return zsets.zrank(ranks(spark, d), asked(spark, d), rev=True).withColumn("rank", F.col("rank").cast("string"))
 
 
 @query("zmscore", f"SELECT seq, r.key, r.member, score FROM {ASKED} r LEFT JOIN z USING (key, member)")
@@ -319,9 +319,9 @@ def _(spark, d):
     return lists.ltrim(orders(spark, d), 1, -1)
 
 
-@query("lindex", "SELECT key, max(CASE WHEN index = n - 2 THEN value END) AS value FROM ln GROUP BY key")
+@query("lindex", "SELECT key, max(CASE WHEN index = n - 2 THEN value END)::VARCHAR AS value FROM ln GROUP BY key")
 def _(spark, d):
-    return lists.lindex(orders(spark, d), -2)
+    return lists.lindex(orders(spark, d), -2).withColumn("value", F.col("value").cast("string"))
 
 
 @query("lset", "SELECT key, index AS pos, CASE WHEN index = 1 THEN -1 ELSE value END AS value FROM ln")

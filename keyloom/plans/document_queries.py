@@ -173,13 +173,13 @@ def tokens(spark, d):
 
 @query(
     "budget_commit",
-    "SELECT o_orderpriority AS key, o_orderkey AS token, CASE WHEN status = 'OK' THEN a - b END AS credited, status FROM (SELECT *, floor(o_totalprice)::BIGINT AS a, floor(o_totalprice)::BIGINT // 2 AS b, "
+    "SELECT o_orderpriority AS key, o_orderkey AS token, (CASE WHEN status = 'OK' THEN a - b END)::VARCHAR AS credited, status FROM (SELECT *, floor(o_totalprice)::BIGINT AS a, floor(o_totalprice)::BIGINT // 2 AS b, "
     "CASE WHEN o_orderstatus NOT IN ('O', 'P') THEN 'TOKENUSED' WHEN o_orderstatus = 'P' OR o_orderkey % 3 = 0 THEN 'TOKENEXPIRED' ELSE 'OK' END AS status FROM orders)",
 )
 def _(spark, d):
     held = tokens(spark, d)
     ask = held.select("key", "token", F.floor(F.col("amount") / 2).cast("bigint").alias("spent"), F.when(F.col("token") % 3 == 0, 1000).otherwise(999).alias("at_ms"))
-    return budgets.settle(held.drop("spent"), ask)
+    return budgets.settle(held.drop("spent"), ask).withColumn("credited", F.col("credited").cast("string"))
 
 
 @query(

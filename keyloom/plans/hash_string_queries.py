@@ -198,14 +198,14 @@ def _(spark, d):
     return merge.pn_counters(ks.hit_slots(spark, d))
 
 
-@query("incrby", "SELECT 'cust:' || o_custkey AS key, CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE (count(*) + o_custkey)::BIGINT END AS value, o_custkey % 50 = 0 AS error FROM orders GROUP BY o_custkey")
+@query("incrby", "SELECT 'cust:' || o_custkey AS key, CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE (count(*) + o_custkey)::BIGINT::VARCHAR END AS value, o_custkey % 50 = 0 AS error FROM orders GROUP BY o_custkey")
 def _(spark, d):
     """Every fiftieth counter starts at the greatest 64-bit number, so adding to it is an error."""
     orders = ks.table(spark, d, "orders")
     key = F.concat(F.lit("cust:"), F.col("o_custkey").cast("string"))
     start = F.when(F.col("o_custkey") % 50 == 0, F.lit("9223372036854775807")).otherwise(F.col("o_custkey").cast("string"))
     held = orders.select(key.alias("key"), start.alias("value")).distinct()
-    return strings.incrby(held, orders.select(key.alias("key"), F.lit(1).alias("delta")))
+    return strings.incrby(held, orders.select(key.alias("key"), F.lit(1).alias("delta"))).withColumn("value", F.col("value").cast("string"))
 
 
 @query("incrbyfloat", "SELECT 'cust:' || o_custkey AS key, CASE WHEN count(*) % 2 = 0 THEN (count(*) // 2)::VARCHAR ELSE (count(*) // 2)::VARCHAR || '.5' END AS value FROM orders GROUP BY o_custkey")
