@@ -100,13 +100,15 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"), p.alias("last")),
         lambda acc: acc["n"],
     )
-    return step.select(
-        *keep,
-        *[F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_upper")],
-        F.size("__q_lines").cast("long").alias("n_lines"),
-        (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"),
-    )
+    found = {
+        **{c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_upper")},
+        "n_lines": F.size("__q_lines").cast("long"),
+        "n_dup_lines": (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long"),
+        "n_repeat_words": covered,
+    }
+    # Behind a generator of one row: the optimizer moves no later filter below it, which would
+    # put these expressions into the filter and evaluate the sort once for each of its elements.
+    return step.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in found.items()]))))
 
 
 def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
