@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -255,7 +256,20 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     return model, built.select("slice", "words", "counts")
 
 
-SCORED = "row string, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, slice int, keys binary, texts binary, counts binary"
+SCORED = "batch string, nth int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, slice int, keys binary, texts binary, counts binary"
+
+
+def _pieces(batch: pa.RecordBatch, rows: int = 2000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most so many rows, and not many more bytes of text than ``size``."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, n in enumerate(lengths):
+        if i - start == rows or held and held + n > size:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def _scores(held, columns: list[str]):
@@ -266,8 +280,7 @@ def _scores(held, columns: list[str]):
 
         model = held.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                piece = batch.slice(at, 2000)
+            for piece in _pieces(batch):
                 ids, held_out = piece.column(0), piece.column(1)
                 name = uuid.uuid4().hex
                 words, sizes = _tokens(piece.column(2).to_pylist())
@@ -295,7 +308,7 @@ def _scores(held, columns: list[str]):
                 full = lambda a, t: pa.concat_arrays([a.cast(t) if isinstance(a, pa.Array) else pa.array(a, t), none(t, p)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([f"{name}/{i}" for i in range(k)] + [name] * p, pa.string()),
+                        pa.array([name] * (k + p), pa.string()), full(np.arange(k), pa.int32()),
                         full(ids, pa.int64()), full(held_out, pa.bool_()), full(sizes + 1, pa.int64()), full(known, pa.int64()),
                         full(base, pa.float64()), full(score, pa.float64()),
                         pa.concat_arrays([none(pa.int32(), k), pa.array(cols[0], pa.int32())]),
@@ -308,25 +321,33 @@ def _scores(held, columns: list[str]):
 
 
 def _look_up(group: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-    """Sums of log10(c + 0.5) and of known words, by text, for the words of one slice."""
+    """For the words of one slice, sums of log10(c + 0.5) and of known words by text, packed by batch."""
     words = np.frombuffer(counts["words"].iloc[0], np.uint64) if len(counts) else np.zeros(0, np.uint64)
     found = np.frombuffer(counts["counts"].iloc[0], np.int64) if len(counts) else np.zeros(0, np.int64)
-    rows, base, known = [], [], []
-    for row, keys, texts, times in zip(group["row"], group["keys"], group["texts"], group["counts"], strict=True):
+    out = []
+    for batch, keys, texts, times in zip(group["batch"], group["keys"], group["texts"], group["counts"], strict=True):
         keys, texts, times = np.frombuffer(keys, np.uint64), np.frombuffer(texts, np.uint16), np.frombuffer(times, np.uint32).astype(np.int64)
         if len(words):
             at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
             c = np.where(words[at] == keys, found[at], 0)
         else:
             c = np.zeros(len(keys), np.int64)
-        k = int(texts.max()) + 1
-        sums, hits = np.bincount(texts, times * np.log10(c + 0.5), minlength=k), np.bincount(texts, times * (c > 0), minlength=k)
-        own = np.flatnonzero(np.bincount(texts, minlength=k))
-        rows += [f"{row}/{i}" for i in own]
-        base.append(sums[own]), known.append(hits[own].astype(np.int64))
-    if not rows:
-        return pd.DataFrame({"row": [], "base": [], "n_known": []}).astype({"row": str, "base": float, "n_known": int})
-    return pd.DataFrame({"row": rows, "base": np.concatenate(base), "n_known": np.concatenate(known)})
+        own, which = np.unique(texts, return_inverse=True)
+        sums, hits = np.bincount(which, times * np.log10(c + 0.5)), np.bincount(which, times * (c > 0)).astype(np.int64)
+        out.append((batch, own.tobytes(), sums.tobytes(), hits.tobytes()))
+    return pd.DataFrame(out, columns=["batch", "texts", "sums", "hits"])
+
+
+def _total(texts: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+    """The texts of one batch, with what their words brought from the slices."""
+    texts = texts.sort_values("nth")
+    base, known = texts["base"].to_numpy(np.float64).copy(), texts["n_known"].to_numpy(np.int64).copy()
+    # Slices add up in one order, so that reruns agree to the last bit.
+    for own, sums, hits in sorted(zip(more["texts"], more["sums"], more["hits"], strict=True)):
+        at = np.frombuffer(own, np.uint16)
+        base[at] += np.frombuffer(sums, np.float64)
+        known[at] += np.frombuffer(hits, np.int64)
+    return texts[["doc_id", "held_out", "n_tokens", "score"]].assign(n_known=known, base_score=base)
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -336,11 +357,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "held_out", F.coalesce(F.col("text").cast("string"), F.lit("")))
     # Written once: the names that tie a text to its packed words are drawn in this pass.
     rows = cut(rows.mapInArrow(_scores(held, columns), SCORED))
-    packed = rows.where(F.col("slice").isNotNull()).select("slice", "row", "keys", "texts", "counts")
-    more = packed.groupBy("slice").cogroup(counts.groupBy("slice")).applyInPandas(_look_up, "row string, base double, n_known long")
-    own = rows.where(F.col("slice").isNull())
-    every = own.select("row", F.struct("doc_id", "held_out", "n_tokens", "score").alias("of"), "base", "n_known").unionByName(
-        more.select("row", F.lit(None).cast("struct<doc_id:bigint,held_out:boolean,n_tokens:bigint,score:double>").alias("of"), "base", "n_known")
+    packed = rows.where(F.col("slice").isNotNull()).select("slice", "batch", "keys", "texts", "counts")
+    more = packed.groupBy("slice").cogroup(counts.groupBy("slice")).applyInPandas(_look_up, "batch string, texts binary, sums binary, hits binary")
+    own = rows.where(F.col("slice").isNull()).select("batch", "nth", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
+    summed = own.groupBy("batch").cogroup(more.groupBy("batch")).applyInPandas(
+        _total, "doc_id long, held_out boolean, n_tokens long, score double, n_known long, base_score double"
     )
-    sums = every.groupBy("row").agg(F.max("of").alias("of"), F.sum("base").alias("base_score"), F.sum("n_known").alias("n_known"))
-    return sums.select("of.doc_id", "of.held_out", "of.n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", F.col("of.score").alias("score"))
+    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
