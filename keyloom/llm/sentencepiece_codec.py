@@ -17,15 +17,18 @@ columns pass through; an empty table gives an empty result; texts are encoded wh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"  # stands for a space
 UNKNOWN = -1
+STEP = 200  # rows that are worked on at once, whatever the size of a batch
 
 
 class Pieces:
@@ -36,30 +39,56 @@ class Pieces:
             self.held = spark.sparkContext.broadcast(f.read())  # one model, of fixed size
 
 
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece_ids") -> DataFrame:
-    """``docs`` with ``to``, the ids of the text's pieces (array<int>)."""
-    held = pieces.held
+def _mapped(rows: DataFrame, column: str, pieces: Pieces, fields: list[T.StructField], work: Callable) -> DataFrame:
+    """``rows`` with the columns that ``work(model, values)`` makes of ``column``, a few rows at a time."""
+    names = [f.name for f in fields]
+    rows = rows.select(*[c for c in rows.columns if c not in names])
+    at, held, step = rows.columns.index(column), pieces.held, STEP
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sentencepiece.SentencePieceProcessor(model_proto=held.value)
         for batch in batches:
-            yield pd.Series([model.encode(t) for t in batch], dtype=object)
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                made = work(model, part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
 
-    return docs.withColumn(to, ids(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    return rows.mapInArrow(of, T.StructType([*rows.schema.fields, *fields]))
 
 
-def decode(rows: DataFrame, pieces: Pieces, ids: str = "piece_ids", to: str = "decoded") -> DataFrame:
-    """``rows`` with ``to``, the text that the pieces spell."""
-    held = pieces.held
+def _ids(model: sentencepiece.SentencePieceProcessor, texts: list[str | None]) -> tuple[pa.Array, list[np.ndarray]]:
+    found = [np.array(model.encode(t or ""), dtype=np.int32) for t in texts]
+    ends = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int32)]))), found
 
-    @F.pandas_udf("string")
-    def spell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = sentencepiece.SentencePieceProcessor(model_proto=held.value)
-        for batch in batches:
-            yield pd.Series([model.decode([int(i) for i in x]) if x is not None and len(x) else "" for x in batch], dtype=object)
 
-    return rows.withColumn(to, spell(F.col(f"`{ids}`")))
+IDS, DECODED, ROUND = T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()), T.StructField("round_trip", T.BooleanType())
+
+
+def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
+    """``docs`` with ``piece_ids``, the ids of the text's pieces (array<int>)."""
+    return _mapped(docs, text, pieces, [IDS], lambda model, texts: [_ids(model, texts.to_pylist())[0]])
+
+
+def decode(rows: DataFrame, pieces: Pieces, ids: str = "piece_ids") -> DataFrame:
+    """``rows`` with ``decoded``, the text that the pieces spell."""
+    spell = lambda model, found: [pa.array([model.decode(x) if x else "" for x in found.to_pylist()], pa.string())]
+    return _mapped(rows, ids, pieces, [DECODED], spell)
+
+
+def encode_checked(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
+    """``docs`` with ``piece_ids`` and ``round_trip``: whether decoding them gives the text back.
+
+    Both directions run in one pass, so ids don't travel back to be decoded.
+    """
+
+    def work(model, texts):
+        bodies = [t or "" for t in texts.to_pylist()]
+        array, found = _ids(model, bodies)
+        same = [(model.decode(x.tolist()) if len(x) else "") == t for x, t in zip(found, bodies, strict=True)]
+        return [array, pa.array(same, pa.bool_())]
+
+    return _mapped(docs, text, pieces, [IDS, ROUND], work)
 
 
 def encode_lattice(words: DataFrame, pieces: DataFrame, unknown: float = -20.0) -> DataFrame:
