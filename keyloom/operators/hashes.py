@@ -137,3 +137,11 @@ def restamp(hashes: DataFrame, outcome: DataFrame) -> DataFrame:
     """The hashes after HEXPIRE (rows of reply 1 get the deadline, of reply 2 go)."""
     step = hashes.join(outcome.where(F.col("reply").isin(1, 2)), ["key", "field"], "left").where(F.coalesce(F.col("reply") != 2, F.lit(True)))
     return step.withColumn("ttl_ms", F.coalesce("deadline", "ttl_ms")).select(*hashes.columns)
+
+
+def hgetex(hashes: DataFrame, requests: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(key, field, value) read, and the hashes after: deadlines of requests (key, field, deadline) apply; 0 clears, past ones delete."""
+    step = hashes.join(requests.select("key", "field", "deadline"), ["key", "field"], "left")
+    read = step.where(F.col("deadline").isNotNull()).select("key", "field", "value")
+    left = step.where(F.col("deadline").isNull() | (F.col("deadline") == 0) | (F.col("deadline") > now_ms))
+    return read, left.withColumn("ttl_ms", F.coalesce("deadline", "ttl_ms")).select(*hashes.columns)

@@ -259,3 +259,28 @@ def decompose(doc: Column | str) -> Column:
         return texts.map(lambda t: None if t is None else nodes(t), na_action=None)
 
     return run(doc)
+
+
+def mset(docs: DataFrame, writes: DataFrame) -> DataFrame:
+    """JSON.MSET over whole documents: writes (key, doc, seq), the last of each key wins."""
+    new = writes.groupBy("key").agg(F.max_by("doc", "seq").alias("doc"))
+    return docs.select("key", "doc").join(new.select("key"), "key", "left_anti").unionByName(new)
+
+
+def debug_memory(docs: DataFrame, path: str = "$") -> DataFrame:
+    """JSON.DEBUG MEMORY: (key, bytes) of the paths and leaves stored at or below ``path``."""
+    prefix = normal(path)[0]
+    rows = docs.select("key", F.inline(decompose("doc")))
+    below = (F.col("path") == prefix) | F.col("path").startswith(prefix + ".") | F.col("path").startswith(prefix + "[")
+    size = F.octet_length("path") + F.coalesce(F.octet_length("value"), F.lit(0))
+    return rows.where(below).groupBy("key").agg(F.sum(size).cast("bigint").alias("bytes"))
+
+
+def resp_text(doc: Column | str) -> Column:
+    """JSON.RESP of whole documents, as JSON text."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else dump(resp(json.loads(t))), na_action=None)
+
+    return run(doc)

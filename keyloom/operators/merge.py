@@ -79,6 +79,11 @@ def budget_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("key", "token").agg(F.max_by(F.struct(*rest), F.struct("rank", *VERSION)).alias("r")).select("key", "token", "r.*")
 
 
+def one_of(fields: DataFrame) -> DataFrame:
+    """(key, oneof, field): which member of each oneof is set, the one with the greatest live dot."""
+    return fields.groupBy("key", "oneof").agg(F.max_by("field", version()).alias("field"))
+
+
 def rga(nodes: DataFrame) -> DataFrame:
     """(key, nth, value) of replicated arrays (key, hlc, origin, left_hlc, left_origin, value, tomb).
 

@@ -221,7 +221,3 @@ def decompose(value: Column, descriptors: bytes, type_name: str) -> Column:
 
     return _mapped("array<struct<number:int,value:string>>", descriptors, type_name, work)(value)
 
-
-def one_of(fields: DataFrame) -> DataFrame:
-    """(key, field) that holds each oneof: the one with the greatest live dot."""
-    return fields.groupBy("key", "oneof").agg(F.max_by("field", F.struct("hlc", "origin")).alias("field"))

@@ -84,3 +84,15 @@ def xsetid(heads: DataFrame, requests: DataFrame, streams: DataFrame) -> DataFra
     step = heads.select("key").join(requests, "key").join(newest, "key", "left")
     ok = F.coalesce(F.struct(F.col("last_ms").alias("ms"), F.col("last_seq").alias("seq")) >= F.col("__top"), F.lit(True))
     return step.select("key", "last_ms", "last_seq", ok.alias("ok"))
+
+
+def xadd_auto(streams: DataFrame, entries: DataFrame, node: int = 0) -> DataFrame:
+    """Entries (key, n, ms, fields) with ids of their own: their millisecond, raised to the stream's last where
+    the clock is behind, and a running number that carries the node, so writers never share an id."""
+    last = streams.groupBy("key").agg(F.max("ms").alias("__last"))
+    order = W.partitionBy("key").orderBy("n")
+    step = entries.join(last, "key", "left")
+    ms = F.greatest(F.max("ms").over(order.rowsBetween(W.unboundedPreceding, 0)), F.coalesce("__last", F.lit(0)))
+    step = step.withColumn("ms", ms)
+    nth = F.row_number().over(W.partitionBy("key", "ms").orderBy("n"))
+    return step.select("key", "ms", (F.lit(node << 20).cast("bigint") + nth).alias("seq"), "fields")

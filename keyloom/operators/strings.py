@@ -104,3 +104,27 @@ def incrbyfloat(strings: DataFrame, deltas: DataFrame) -> DataFrame:
 
 def checked_sum(value: Column, delta: Column) -> Column:
     return checked_add(value, delta)
+
+
+def setex(strings: DataFrame, writes: DataFrame) -> DataFrame:
+    """SETEX, PSETEX and SET with EX, PX, EXAT, PXAT: writes (key, value, seq, deadline_ms) set value and deadline.
+
+    ``strings`` has (key, value, ttl_ms); a deadline that is not positive is refused.
+    """
+    new = writes.where(F.col("deadline_ms") > 0).groupBy("key").agg(F.max_by(F.struct("value", "deadline_ms"), "seq").alias("__w"))
+    kept = strings.select("key", "value", "ttl_ms").join(new.select("key"), "key", "left_anti")
+    return kept.unionByName(new.select("key", "__w.value", F.col("__w.deadline_ms").cast("bigint").alias("ttl_ms")))
+
+
+def getex(strings: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is read, and the strings after: requests (key, deadline_ms), where 0 clears the deadline (PERSIST)."""
+    step = strings.join(requests, "key", "left")
+    read = step.where(F.col("deadline_ms").isNotNull()).select("key", "value")
+    return read, step.select("key", "value", F.coalesce("deadline_ms", "ttl_ms").cast("bigint").alias("ttl_ms"))
+
+
+def set_keepttl(strings: DataFrame, writes: DataFrame) -> DataFrame:
+    """SET with KEEPTTL: new values under the deadlines that are there."""
+    new = writes.groupBy("key").agg(F.max_by("value", "seq").alias("__v"))
+    step = strings.select("key", "value", "ttl_ms").join(new, "key", "full_outer")
+    return step.select("key", F.coalesce("__v", "value").alias("value"), F.coalesce("ttl_ms", F.lit(0)).cast("bigint").alias("ttl_ms"))

@@ -372,14 +372,21 @@ def _(spark, d):
     return keyspace.copy(moved, held.where(number % 10 == 5).select(F.col("key").alias("src"), F.concat(F.lit("cust:"), (number + 1).cast("string")).alias("dst")), replace=True)
 
 
-CRC = "list_reduce(list_prepend(0, list_transform(range(1, strlen(t) + 1), lambda i: ascii(substr(t, i::BIGINT, 1)))), lambda c, b: ((c << 8) & 65535) ^ (((x(c, b)) << 12) & 65535) ^ (x(c, b) << 5) ^ x(c, b))"
+X = "(xor(c >> 8, b) & 255)"
+Y = f"xor({X}, {X} >> 4)"
+CRC = f"list_reduce(list_prepend(0::BIGINT, list_transform(range(1, strlen(key) + 1), lambda i: ascii(substr(key, i, 1))::BIGINT)), lambda c, b: xor(xor(xor(c << 8, {Y} << 12), {Y} << 5), {Y}) & 65535)"
 
 
-@query("keyslot")
+@query("keyslot", f"SELECT '{{' || key || '}}:x' AS key, key AS tag, ({CRC} % 16384)::INT AS slot, ({CRC} % 16384 // 4)::INT AS pid FROM str")
 def _(spark, d):
     return keyspace.slots(ks.customer_strings(spark, d).select(F.concat(F.lit("{"), F.col("key"), F.lit("}:x")).alias("key")))
 
 
+@query("randomkey", f"SELECT key FROM str ORDER BY {CRC} % 16384 // 4, key LIMIT 1")
+def _(spark, d):
+    return keyspace.randomkey(ks.customer_strings(spark, d))
+
+
 @query("hrw_owners", "WITH p AS (SELECT unnest(range(0, 4096)) AS pid), n AS (SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS node), r AS (SELECT pid, node, row_number() OVER (PARTITION BY pid ORDER BY left(md5(node || '|' || pid), 15) DESC, node) - 1 AS place FROM p, n) SELECT pid, node, place FROM r WHERE place < 3")
 def _(spark, d):
     return replicas.owners(["a", "b", "c", "d", "e"], spark.range(4096).withColumnRenamed("id", "pid"), 3)
