@@ -139,26 +139,34 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["slice", "kind", "keys", "counts"])
 
 
+def _pieces(batch: pa.RecordBatch, text: int, rows: int = 2000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most so many rows, and not many more bytes of its column ``text`` than ``size``."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, n in enumerate(lengths):
+        if i - start == rows or held and held + n > size:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _grams(slices: int):
     """Counted words (kind 0) and pairs (kind 1) of the training texts, packed by slice."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, ends = [], 0
-            pairs = []
-            for at in range(0, batch.num_rows, 500):
-                words, sizes = _tokens(batch.column(0).slice(at, 500).to_pylist())
-                stops = np.cumsum(sizes)
-                after = np.insert(words, stops, END)
-                pairs.append(joined(np.r_[END, after[:-1]], after))
-                held.append(words)
-                ends += len(sizes)
-            out = []
-            for kind, keys in ((0, np.concatenate(held)), (1, np.concatenate(pairs))):
-                keys, counts = _sums(keys)
-                for s, own in _by_slice(keys, slices):
-                    out.append((s, kind, keys[own].tobytes(), counts[own].astype(np.uint32).tobytes()))
-            yield _packed(out)
+            for piece in _pieces(batch, 0):
+                words, sizes = _tokens(piece.column(0).to_pylist())
+                after = np.insert(words, np.cumsum(sizes), END)
+                pairs = joined(np.r_[END, after[:-1]], after)
+                out = []
+                for kind, grams in ((0, words), (1, pairs)):
+                    keys, counts = _sums(grams)
+                    for s, own in _by_slice(keys, slices):
+                        out.append((s, kind, keys[own].tobytes(), counts[own].astype(np.uint32).tobytes()))
+                yield _packed(out)
 
     return of
 
@@ -259,19 +267,6 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
 SCORED = "batch string, nth int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, slice int, keys binary, texts binary, counts binary"
 
 
-def _pieces(batch: pa.RecordBatch, rows: int = 2000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most so many rows, and not many more bytes of text than ``size``."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
-    start = held = 0
-    for i, n in enumerate(lengths):
-        if i - start == rows or held and held + n > size:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def _scores(held, columns: list[str]):
     """A row for each text (slice null), and packed rows of the words to look up in their slice."""
 
@@ -280,7 +275,7 @@ def _scores(held, columns: list[str]):
 
         model = held.value
         for batch in batches:
-            for piece in _pieces(batch):
+            for piece in _pieces(batch, 2):
                 ids, held_out = piece.column(0), piece.column(1)
                 name = uuid.uuid4().hex
                 words, sizes = _tokens(piece.column(2).to_pylist())
