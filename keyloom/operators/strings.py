@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.scalars import checked_add, render_double
+from keyloom.functions.scalars import render_double
 
 
 def get(strings: DataFrame, *keys: str) -> DataFrame:
@@ -102,10 +102,6 @@ def incrbyfloat(strings: DataFrame, deltas: DataFrame) -> DataFrame:
     return step.select("key", F.when(~F.isnan(total) & (F.abs(total) < float("inf")), render_double(total)).alias("value"))
 
 
-def checked_sum(value: Column, delta: Column) -> Column:
-    return checked_add(value, delta)
-
-
 def setex(strings: DataFrame, writes: DataFrame) -> DataFrame:
     """SETEX, PSETEX and SET with EX, PX, EXAT, PXAT: writes (key, value, seq, deadline_ms) set value and deadline.
 

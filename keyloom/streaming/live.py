@@ -101,6 +101,33 @@ def blocking_pop(commands: DataFrame, left: bool = True) -> DataFrame:
     )
 
 
+def blocking_move(commands: DataFrame, from_left: bool = False) -> DataFrame:
+    """(dst, seq, value): BLMOVE and BRPOPLPUSH over commands (key, seq, op, value, dst).
+
+    A ``move`` takes an element of its key for ``dst``, or waits; the rows that come out are the pushes
+    onto the targets.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        items, waiting, targets = (list(x) for x in state.get) if state.exists else ([], [], [])
+        out = []
+        rows = pd.concat(list(batches)).sort_values("seq")
+        for seq, op, value, dst in zip(rows["seq"], rows["op"], rows["value"], rows["dst"], strict=True):
+            if op == "push":
+                items.append(value)
+            else:
+                waiting.append(int(seq))
+                targets.append(dst)
+            while items and waiting:
+                out.append((targets.pop(0), waiting.pop(0), items.pop(0 if from_left else -1)))
+        state.update((items, waiting, targets))
+        yield pd.DataFrame(out, columns=["dst", "seq", "value"])
+
+    return commands.groupBy("key").applyInPandasWithState(
+        step, "dst string, seq long, value string", "items array<string>, waiting array<long>, targets array<string>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def blocking_zpop(commands: DataFrame, most: bool = False) -> DataFrame:
     """(key, seq, member, score): BZPOPMIN and BZPOPMAX over commands (key, seq, op, member, score)."""
 

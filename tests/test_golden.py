@@ -148,6 +148,14 @@ def test_keyspace_bindings_scripts_server(spark):
         server.Settings().set("unknown", 1)
 
 
+def test_every_command_has_an_answer():
+    pytest.importorskip("google.protobuf")
+    names = [entry.partition("=")[0] for listed in server.COMMANDS.values() for entry in listed.split()]
+    assert len(names) == len(set(names)) > 200 and all(callable(server.answered_by(n)) for n in names)
+    with pytest.raises(KeyError):
+        server.answered_by("AUTH")
+
+
 def test_proto(spark):
     pytest.importorskip("google.protobuf")
     from google.protobuf import descriptor_pb2

@@ -40,6 +40,18 @@ def test_blocking_pop(spark, tmp_path):
     assert sorted(map(tuple, run(live.blocking_pop, "popped", spark, tmp_path, frames).collect())) == [("l", 1, "a"), ("l", 4, "b")]
 
 
+def test_blocking_move(spark, tmp_path):
+    schema = "key string, seq long, op string, value string, dst string"
+    frames = [spark.createDataFrame([r], schema) for r in (("l", 1, "move", None, "d1"), ("l", 2, "push", "a", None), ("l", 3, "push", "b", None), ("l", 4, "move", None, "d2"))]
+    assert sorted(map(tuple, run(live.blocking_move, "moved", spark, tmp_path, frames).collect())) == [("d1", 1, "a"), ("d2", 4, "b")]
+
+
+def test_expire_stream(spark, tmp_path):
+    rows = [spark.sql(f"SELECT timestamp_millis({t}) AS ts, 'k' AS key, '{e}' AS elem, {t + d} AS ttl_ms") for t, e, d in ((1000, "a", 500), (5000, "b", 99_000), (9000, "c", 99_000))]
+    out = run(live.expire_stream, "due", spark, tmp_path, rows)
+    assert [tuple(r) for r in out.collect()] == [("k", "a", 1500 << 16)]
+
+
 def test_blocking_zpop(spark, tmp_path):
     schema = "key string, seq long, op string, member string, score double"
     frames = [spark.createDataFrame([("z", 1, "add", "m", 2.0), ("z", 2, "add", "n", 1.0), ("z", 3, "pop", None, None)], schema)]
