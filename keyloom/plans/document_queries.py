@@ -23,6 +23,11 @@ def docs(spark, d):
     return o.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("key"), doc.alias("doc"), F.col("o_orderkey").alias("n"))
 
 
+def dealt(spark, d):
+    """The documents over all cores, for work in Python."""
+    return ks.spread(docs(spark, d))
+
+
 K = "'order:' || o_orderkey AS key"
 
 
@@ -35,7 +40,7 @@ def _(spark, d):
 @query("json_get_dynamic", f"SELECT {K}, '[\"' || o_orderstatus || '\"]' AS code, '[7]' AS last, '[' || o_custkey || ',' || (o_custkey + 1) || ']' AS big FROM orders WHERE o_custkey > 7")
 def _(spark, d):
     get = lambda p: json_docs.json_get(F.col("doc"), p)
-    rows = docs(spark, d).select("key", get("$..code").alias("code"), get("$.nums[-1]").alias("last"), get("$.nums[?(@>7)]").alias("big"), "doc")
+    rows = dealt(spark, d).select("key", get("$..code").alias("code"), get("$.nums[-1]").alias("last"), get("$.nums[?(@>7)]").alias("big"), "doc")
     return rows.where(F.get_json_object("doc", "$.nums[0]").cast("bigint") > 7).drop("doc")
 
 
@@ -75,7 +80,7 @@ def _(spark, d):
 def _edited(name: str, path: str, change, doc_sql: str, reply_sql: str, create: bool = False) -> None:
     @query(name, f"SELECT {K}, {doc_sql} AS doc, {reply_sql} AS reply FROM orders")
     def _(spark, d):
-        return json_docs.edit(docs(spark, d), path, change, create)
+        return json_docs.edit(dealt(spark, d), path, change, create)
 
 
 BODY = {
@@ -111,7 +116,7 @@ _edited("json_merge", "$", json_docs.merge({"priority": None, "status": {"even":
         ("$.status.even", "boolean", "CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END"), ("$.nums", "array", "NULL"), ("$.nums[0]", "integer", "o_custkey::VARCHAR"),
         ("$.nums[1]", "integer", "(o_custkey + 1)::VARCHAR"), ("$.nums[2]", "integer", "'7'"), ("$.priority", "string", "'\"' || o_orderpriority || '\"'"))))
 def _(spark, d):
-    return docs(spark, d).select("key", F.inline(json_docs.decompose("doc")))
+    return dealt(spark, d).select("key", F.inline(json_docs.decompose("doc")))
 
 
 # Budgets

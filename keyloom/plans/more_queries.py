@@ -9,7 +9,7 @@ from keyloom.operators import budgets, hashes, hll, json_docs, keyspace, lists,
 from keyloom.sources import keyspaces as ks
 from keyloom.sources import record_log
 
-from .document_queries import docs, tokens
+from .document_queries import dealt, docs, tokens
 from .hash_string_queries import NOW, merged, replica
 from .registry import query
 
@@ -107,12 +107,12 @@ def _(spark, d):
 
 @query("json_debug_memory", "SELECT 'order:' || o_orderkey AS key, (6 + 3 * 9 + strlen(o_custkey::VARCHAR) + strlen((o_custkey + 1)::VARCHAR) + 1)::BIGINT AS bytes FROM orders")
 def _(spark, d):
-    return json_docs.debug_memory(docs(spark, d), "$.nums")
+    return json_docs.debug_memory(dealt(spark, d), "$.nums")
 
 
 @query("json_resp", "SELECT 'order:' || o_orderkey AS key, '[\"{\",\"id\",' || o_orderkey || ',\"nums\",[\"[\",' || o_custkey || ',' || (o_custkey + 1) || ',7],\"priority\",\"' || o_orderpriority || '\",\"status\",[\"{\",\"code\",\"' || o_orderstatus || '\",\"even\",\"' || (CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END) || '\"]]' AS reply FROM orders")
 def _(spark, d):
-    return docs(spark, d).select("key", json_docs.resp_text("doc").alias("reply"))
+    return dealt(spark, d).select("key", json_docs.resp_text("doc").alias("reply"))
 
 
 @query("hll_register_versions", "SELECT 'user:' || user_id % 50 AS key, (event_id % 16)::INT AS bucket, max(event_id % 51)::INT AS rank, arg_min(event_id, row(-(event_id % 51), event_id)) AS hlc FROM events GROUP BY 1, 2")
