@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import mixing, near_duplicates, quality_classifier, quality_rules, sentencepiece_codec
-from keyloom.llm.common import bucket_of, cut, read_table, words
+from keyloom.llm.common import bucket_of, cut, read_table, spread, words
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZERS = "/opt/tokenizers"
@@ -23,7 +23,7 @@ FEW_IDS = 2_000_000
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the web policy."""
-    return quality_rules.apply_policy(quality_rules.ledger(docs.select(*COLUMNS)), quality_rules.WEB_POLICY).select(*COLUMNS)
+    return quality_rules.apply_policy(quality_rules.ledger(spread(docs.select(*COLUMNS))), quality_rules.WEB_POLICY).select(*COLUMNS)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +34,12 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     learn = bucket_of(F.col("doc_id"), 3) != 1
     model = quality_classifier.fit(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"), learn)
-    return quality_classifier.score(docs.select(*COLUMNS), model, to="__score").where(F.col("__score") >= 0.5).select(*COLUMNS)
+    return quality_classifier.score(spread(docs.select(*COLUMNS)), model, to="__score").where(F.col("__score") >= 0.5).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8)."""
-    docs = docs.select(*COLUMNS)
+    docs = spread(docs.select(*COLUMNS))
     found = cut(near_duplicates.near_duplicates(docs, near_duplicates.Settings(width=5, percent=80)).select("doc_id", "kept"))
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     side = F.broadcast if gone.count() <= FEW_IDS else (lambda x: x)
@@ -64,7 +64,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's pieces, and whether they decode to its text."""
     pieces = sentencepiece_codec.Pieces(spark, f"{TOKENIZERS}/piece_bpe_32k.model")
-    rows = sentencepiece_codec.encode_checked(docs.select(*COLUMNS), pieces)
+    rows = sentencepiece_codec.encode_checked(spread(docs.select(*COLUMNS)), pieces)
     return rows.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "round_trip")
 
 

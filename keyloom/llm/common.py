@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.sources.keyspaces import spread
+
+__all__ = ["SPACE_CLASS", "bucket_of", "cut", "read_table", "shared_dir", "spread", "words"]
+
 #: The white space that parts words, as a character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lm_scoring, mixing, near_duplicates, nearest, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_counts, url_filter
-from .common import bucket_of, cut, read_table, shared_dir, words
+from .common import bucket_of, cut, read_table, shared_dir, spread, words
 
 #: The rules of op7.
 URL_RULES = (
@@ -25,7 +25,7 @@ URL_RULES = (
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.ledger(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = quality_rules.ledger(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality_rules.passes(quality_rules.BASE_POLICY)).alias("base_failed"),
@@ -76,7 +76,7 @@ FROM bits
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(bucket_of(F.col("doc_id"), 5) == 1, F.lit(False))
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text"))
     model, counts = lm_scoring.train(docs.where(~F.col("held_out")))
     return lm_scoring.score(docs, model, counts)
 
@@ -88,14 +88,14 @@ TOKENIZERS = "/opt/tokenizers"
 def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     counters = {"byte_bpe_50k/1": token_counts.byte_bpe_counter(spark, f"{tokenizers}/byte_bpe_50k.tiktoken"), "words/1": token_counts.word_counter()}
     store = token_counts.RollupStore(spark, f"{shared_dir(spark)}/keyloom-rollup-{uuid.uuid4().hex}")
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     store.commit("load", token_counts.changes(docs, counters))
     return store.totals().select("source", "lang", "tokenizer", F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"), F.col("bytes").alias("n_bytes"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     pieces = sentencepiece_codec.Pieces(spark, f"{tokenizers}/piece_bpe_32k.model")
-    rows = sentencepiece_codec.encode_checked(read_table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
+    rows = sentencepiece_codec.encode_checked(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), pieces)
     return rows.select(
         "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("piece_ids", " ").cast("binary")).alias("pieces_crc32"), "round_trip"
     )
@@ -105,7 +105,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = bucket_of(F.col("doc_id"), 3) == 1
     model = quality_classifier.fit(docs, read_table(spark, sf_dir, "labels"), ~held_out)
-    rows = quality_classifier.score(docs, model)
+    rows = quality_classifier.score(spread(docs), model)
     return rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -135,7 +135,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"), near_duplicates.Settings(width=3, percent=85))
+    return near_duplicates.near_duplicates(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), near_duplicates.Settings(width=3, percent=85))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
