@@ -47,8 +47,8 @@ def llen(lists: DataFrame) -> DataFrame:
 def lrange(lists: DataFrame, start: int, stop: int) -> DataFrame:
     """(key, index, value) of an inclusive index range."""
     if start >= 0 and stop >= 0:  # the first rows of each key suffice
-        step = lists.withColumn("index", (F.row_number().over(_by()) - 1).cast("bigint"))
-        return step.where(F.col("index").between(start, stop)).select("key", "index", "value")
+        step = lists.withColumn("__n", F.row_number().over(_by()))
+        return step.where((F.col("__n") <= stop + 1) & (F.col("__n") > start)).select("key", (F.col("__n") - 1).cast("bigint").alias("index"), "value")
     step = _indexed(lists)
     low, high = index_bounds(start, stop, F.col("__size"))
     return step.where((F.col("index") >= low) & (F.col("index") <= high)).select("key", "index", "value")

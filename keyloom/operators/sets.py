@@ -50,9 +50,9 @@ def spop(sets: DataFrame, count: int = 1) -> tuple[DataFrame, DataFrame]:
 
 def srandmember(sets: DataFrame, count: int) -> DataFrame:
     """(key, nth, member): the first members; a negative count repeats them in a cycle to its length."""
-    step = sets.withColumns({"nth": _nth(), "__size": F.count("*").over(W.partitionBy("key"))})
     if count >= 0:
-        return step.where(F.col("nth") <= count).select("key", "nth", "member")
+        return sets.withColumn("nth", _nth()).where(F.col("nth") <= count).select("key", "nth", "member")
+    step = sets.withColumns({"nth": _nth(), "__size": F.count("*").over(W.partitionBy("key"))})
     again = F.sequence(F.col("nth").cast("int"), F.lit(-count), F.col("__size").cast("int"))
     return step.where(F.col("nth") <= -count).select("key", F.explode(again).alias("nth"), "member")
 

@@ -17,6 +17,15 @@ def _order(rev: bool = False, by: tuple[str, ...] = ("score", "member")) -> list
     return [F.col(c).desc() if rev else F.col(c).asc() for c in by]
 
 
+def _place(rev: bool = False, by: tuple[str, ...] = ("score", "member")) -> Column:
+    """1-based position. Filters compare it as it is: only then is each key cut before the shuffle."""
+    return F.row_number().over(W.partitionBy("key").orderBy(*_order(rev, by)))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    return rows.select("key", (F.col("__n") - 1).alias("rank"), "member", "score")
+
+
 def _nth(rev: bool = False, by: tuple[str, ...] = ("score", "member")) -> Column:
     return F.row_number().over(W.partitionBy("key").orderBy(*_order(rev, by))) - 1
 
@@ -67,20 +76,19 @@ def zrange(zsets: DataFrame, start: int, stop: int, rev: bool = False) -> DataFr
 
     A range from the front needs only each key's first rows, which the plan cuts before the shuffle.
     """
-    step = zsets.withColumn("rank", _nth(rev))
+    step = zsets.withColumn("__n", _place(rev))
     if start >= 0 and stop >= 0:
-        return step.where(F.col("rank").between(start, stop)).select("key", "rank", "member", "score")
-    step = step.withColumn("__size", F.count("*").over(W.partitionBy("key")))
+        return _ranked(step.where((F.col("__n") <= stop + 1) & (F.col("__n") > start)))
+    step = step.withColumn("rank", F.col("__n") - 1).withColumn("__size", F.count("*").over(W.partitionBy("key")))
     low, high = index_bounds(start, stop, F.col("__size"))
     return step.where((F.col("rank") >= low) & (F.col("rank") <= high)).select("key", "rank", "member", "score")
 
 
 def _limited(rows: DataFrame, rev: bool, offset: int, count: int, by: tuple[str, ...]) -> DataFrame:
     """Position is counted within what the range selected; a negative count means all."""
-    step = rows.withColumn("rank", _nth(rev, by)).where(F.col("rank") >= max(offset, 0))
-    if count >= 0:
-        step = step.where(F.col("rank") < max(offset, 0) + count)
-    return step.select("key", "rank", "member", "score")
+    step, skip = rows.withColumn("__n", _place(rev, by)), max(offset, 0)
+    test = F.col("__n") > skip
+    return _ranked(step.where((F.col("__n") <= skip + count) & test if count >= 0 else test))
 
 
 def zrangebyscore(zsets: DataFrame, low: str, high: str, rev: bool = False, offset: int = 0, count: int = -1) -> DataFrame:
@@ -107,8 +115,8 @@ def zlexcount(zsets: DataFrame, low: str, high: str) -> DataFrame:
 
 def zpop(zsets: DataFrame, count: int = 1, most: bool = False) -> tuple[DataFrame, DataFrame]:
     """ZPOPMIN and ZPOPMAX: (key, rank, member, score) popped, and what remains."""
-    step = zsets.withColumn("rank", _nth(most))
-    return step.where(F.col("rank") < count).select("key", "rank", "member", "score"), step.where(F.col("rank") >= count).select("key", "member", "score")
+    step = zsets.withColumn("__n", _place(most))
+    return _ranked(step.where(F.col("__n") <= count)), step.where(F.col("__n") > count).select("key", "member", "score")
 
 
 def zmpop(zsets: DataFrame, keys: list[str], count: int = 1, most: bool = False) -> DataFrame:
@@ -121,9 +129,9 @@ def zmpop(zsets: DataFrame, keys: list[str], count: int = 1, most: bool = False)
 
 def zrandmember(zsets: DataFrame, count: int) -> DataFrame:
     """(key, nth, member): the first by score; a negative count repeats them in a cycle."""
-    step = zsets.withColumns({"nth": _nth() + 1, "__size": F.count("*").over(W.partitionBy("key"))})
     if count >= 0:
-        return step.where(F.col("nth") <= count).select("key", "nth", "member")
+        return zsets.withColumn("nth", _place()).where(F.col("nth") <= count).select("key", "nth", "member")
+    step = zsets.withColumns({"nth": _place(), "__size": F.count("*").over(W.partitionBy("key"))})
     again = F.sequence(F.col("nth").cast("int"), F.lit(-count), F.col("__size").cast("int"))
     return step.where(F.col("nth") <= -count).select("key", F.explode(again).alias("nth"), "member")
 

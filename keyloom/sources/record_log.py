@@ -6,11 +6,14 @@ per bucket of the key's slot, so a reader of few keys opens few files.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyloom.functions.scalars import partition_id
+from keyloom.functions.scalars import SLOTS, SLOTS_PER_PARTITION, partition_id
+from keyloom.operators.merge import lww
 
 SCHEMA = (
     "key string, kind string, elem string, value string, hlc long, origin int, ttl_ms long, tomb boolean, "
@@ -37,6 +40,37 @@ def read(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _crc16(data: bytes) -> int:
+    """CRC-16 (polynomial 0x1021, initial 0) of a key's bytes, for keys that are known when a plan is made."""
+    crc = 0
+    for byte in data:
+        x = (crc >> 8 ^ byte) & 0xFF
+        x ^= x >> 4
+        crc = (crc << 8 ^ x << 12 ^ x << 5 ^ x) & 0xFFFF
+    return crc
+
+
+def bucket_of_key(key: str, buckets: int = 64) -> int:
+    tag = re.match(r"[^{]*\{([^}]+)\}", key)
+    return _crc16((tag[1] if tag else key).encode()) % SLOTS // SLOTS_PER_PARTITION % buckets
+
+
+def read_keys(spark: SparkSession, path: str, *keys: str, schema: str = SCHEMA, buckets: int = 64) -> DataFrame:
+    """The records of some keys; only their buckets' folders are listed and read."""
+    rows = spark.read.schema(schema + ", bucket int").parquet(path)
+    return rows.where(F.col("bucket").isin(*{bucket_of_key(k, buckets) for k in keys}) & F.col("key").isin(*keys)).drop("bucket")
+
+
+def compact(spark: SparkSession, path: str, to: str, buckets: int = 64) -> None:
+    """Write the merged log to a new folder, sorted by key in each file, so row groups can be skipped.
+
+    Only last-writer-wins records merge here; readers move to the new folder when it is complete.
+    """
+    state = lww(read(spark, path), ["key", "kind", "elem"], ["value"])
+    bucketed = state.withColumn("bucket", partition_id(F.col("key")) % buckets)
+    bucketed.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(to)
+
+
 def read_commands(spark: SparkSession, path: str) -> DataFrame:
     """A JSON command log: one object a line with seq, cmd, key and args."""
     return spark.read.schema("seq long, cmd string, key string, args array<string>").json(path)

@@ -156,6 +156,20 @@ def test_every_command_has_an_answer():
         server.answered_by("AUTH")
 
 
+def test_plans(spark, data):
+    """Ranges from a key's front are cut before the shuffle; prefix globs reach the scan; no query pairs all rows."""
+    from keyloom.plans.queries import queries
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name in ("zrange_index", "zrange_rev", "zpopmin", "zrandmember", "zrangebyscore", "spop_topn", "lrange", "rpop", "xrevrange_count", "xread_after", "xtrim_maxlen", "hrandfield"):
+        assert "WindowGroupLimit" in plan(queries()[name](spark, data)), name
+    scanned = spark.read.parquet(f"{data}/customer.parquet").where(glob_match(F.col("c_name"), "Customer#00*")).select("c_acctbal")
+    assert "StringStartsWith(c_name,Customer#00)" in plan(scanned) and "c_nationkey" not in plan(scanned)
+    for name, query in queries().items():
+        text = plan(query(spark, data))
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
 def test_proto(spark):
     pytest.importorskip("google.protobuf")
     from google.protobuf import descriptor_pb2
@@ -190,3 +204,12 @@ def test_record_log(spark, tmp_path):
 
     state = snapshot.visible(merge.lww(record_log.read(spark, str(tmp_path / "log")), ["key", "kind", "elem"]), 2000)
     assert sorted(one(state.select("key", "elem", "value"))) == [("h", "b", "2"), ("s", "", "v")]
+    keys = [r.key for r in records.select("key").distinct().collect()]
+    found = spark.createDataFrame([(k, record_log.bucket_of_key(k)) for k in [*keys, "{t}a", "{}b", "é"]], "key string, bucket int")
+    from keyloom.functions.scalars import partition_id
+
+    assert found.where(partition_id(F.col("key")) % 64 != F.col("bucket")).count() == 0
+    some = record_log.read_keys(spark, str(tmp_path / "log"), "s")
+    assert one(some.select("key", "value")) == [("s", "v")] and "PartitionFilters: [bucket" in some._jdf.queryExecution().executedPlan().toString().replace("isnotnull(bucket", "bucket")
+    record_log.compact(spark, str(tmp_path / "log"), str(tmp_path / "compact"))
+    assert record_log.read(spark, str(tmp_path / "compact")).count() == 3
