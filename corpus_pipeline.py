@@ -55,8 +55,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents mixed to the sources' target weights; one taken twice comes twice."""
     rows = docs.select(*COLUMNS, F.size(words(F.col("text"))).cast("long").alias("size"), F.array("source").alias("sources"))
-    small = cut(rows.select("size", "sources"))
-    mixed = mixing.mix(rows, mixing.weighted_targets(mixing.sizes_by_source(small)))
+    small = cut(rows.select("doc_id", "size", "sources"))
+    mixed = mixing.mix(rows, mixing.weighted_targets(mixing.sizes_by_source(small)), narrow=small)
     copies = F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))
     return mixed.where("repeats > 0").withColumn("__copy", copies).select(*COLUMNS)
 

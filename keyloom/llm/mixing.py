@@ -7,7 +7,8 @@ mix takes, and seeded documents of the pattern make that number up: all of them
 and some once more, in the order of a seeded hash.
 
 The seeded order needs no sort of a whole pattern: words are summed by pattern and hash bucket
-(``BUCKETS`` of them), which finds the bucket where the quota runs out; only that bucket is sorted.
+(``BUCKETS`` of them), which finds the bucket where the quota runs out; only that bucket is sorted. One more
+document, the one of the size nearest to the words still missing, closes the gap.
 The flow runs on the driver over patterns and sources, of which at most ``max_patterns`` may exist.
 
 Defined results: null and empty texts have size 0 and are taken 0 words; a null source is a source
@@ -19,7 +20,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -114,45 +115,67 @@ def sizes_by_source(rows: DataFrame, sources: str = "sources") -> dict[str | Non
     return {r["s"]: int(r["n"]) for r in got}
 
 
-def mix(rows: DataFrame, targets: Mapping[str | None, float], copies: int = 2, seed: int = 0, max_patterns: int = 20_000, key: Column | None = None) -> DataFrame:
-    """``rows`` (``size`` long, ``sources`` array<string>) with ``taken`` and ``repeats``.
-
-    ``key`` orders documents within a pattern, ``doc_id`` by default.
-    """
-    spark = rows.sparkSession
+def _keyed(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows with their pattern as a text, their place in the seeded order, and its bucket."""
     pattern = F.array_sort(F.array_distinct("sources"))
     # A text of the pattern that tells null from any string, as join and group key.
     name = F.concat_ws(",", F.transform(pattern, lambda s: F.coalesce(F.concat(F.lit("="), F.length(s).cast("string"), F.lit(":"), s), F.lit("~"))))
-    order = F.xxhash64(F.lit(seed), key if key is not None else F.col("doc_id"), "size")
-    step = rows.withColumns({"__pattern": name, "__order": order, "__bucket": F.shiftrightunsigned(order, 64 - BUCKETS.bit_length() + 1).cast("int")})
-    found = step.groupBy("__pattern").agg(F.sum("size").alias("n"), F.first(pattern).alias("sources")).limit(max_patterns + 1).collect()
+    order = F.xxhash64(F.lit(seed), F.col("doc_id"), "size")
+    bucket = F.shiftrightunsigned(order, 64 - BUCKETS.bit_length() + 1).cast("int")
+    return rows.withColumns({"__pattern": name, "__order": order, "__bucket": bucket})
+
+
+PLAN = "__pattern string, __base long, __rest long, __edge int, __before long, __left long, __also long"
+
+
+def _with_plan(rows: DataFrame, plan: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose bucket is clear of the edge, and rows of the edge's bucket; ``__more`` marks a further copy.
+
+    A document of the edge's bucket is in while all up to it fit.
+    """
+    table = rows.sparkSession.createDataFrame(plan, PLAN)
+    step = rows.join(F.broadcast(table), "__pattern")  # one row a pattern
+    line = W.partitionBy("__pattern").orderBy("__order", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    clear = step.where(F.col("__bucket") != F.col("__edge")).withColumn("__more", F.col("__bucket") < F.col("__edge"))
+    edge = step.where(F.col("__bucket") == F.col("__edge")).withColumn("__more", F.col("__before") + F.sum("size").over(line) <= F.col("__rest"))
+    return clear, edge
+
+
+def mix(rows: DataFrame, targets: Mapping[str | None, float], copies: int = 2, seed: int = 0, max_patterns: int = 20_000, narrow: DataFrame | None = None) -> DataFrame:
+    """``rows`` (``doc_id``, ``size`` long, ``sources`` array<string>) with ``taken`` and ``repeats``.
+
+    Documents of the pattern enter in seeded order while they fit its quota; then one more, whose size is
+    nearest to what is still missing. ``narrow`` may hold the same rows with these three columns only; the
+    plan is then made from it, and wide rows are read once.
+    """
+    small = _keyed(rows if narrow is None else narrow, seed)
+    names = small.select("__pattern", F.array_sort(F.array_distinct("sources")).alias("sources"), "size")
+    found = names.groupBy("__pattern").agg(F.sum("size").alias("n"), F.first("sources").alias("sources")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
     supply = {tuple(r["sources"]): int(r["n"]) for r in found}
     flow = route(supply, {s: int(round(t)) for s, t in targets.items()}, copies)
-    quota = []
+    quota = {}
     for r in found:
         p = tuple(r["sources"])
-        words = sum(flow[p].values())
-        base, rest = divmod(words, supply[p]) if supply[p] else (0, 0)
-        quota.append((r["__pattern"], int(base), int(rest)))
-    plan = spark.createDataFrame(quota, "__pattern string, __base long, __rest long")
-    # At most max_patterns rows, checked above.
-    filled = (
-        step.groupBy("__pattern", "__bucket").agg(F.sum("size").alias("__words"))
-        .withColumn("__upto", F.sum("__words").over(W.partitionBy("__pattern").orderBy("__bucket")))
-        .join(F.broadcast(plan), "__pattern")
-    )
+        quota[r["__pattern"]] = divmod(sum(flow[p].values()), supply[p]) if supply[p] else (0, 0)
+    rest = rows.sparkSession.createDataFrame([(p, int(x)) for p, (_, x) in quota.items()], "__pattern string, __rest long")
+    # At most max_patterns rows, checked above; so are the collected tables below.
+    upto = F.sum("__words").over(W.partitionBy("__pattern").orderBy("__bucket"))
+    filled = small.groupBy("__pattern", "__bucket").agg(F.sum("size").alias("__words")).withColumn("__upto", upto).join(F.broadcast(rest), "__pattern")
     edge = filled.where(F.col("__upto") >= F.col("__rest")).groupBy("__pattern").agg(F.min(F.struct("__bucket", (F.col("__upto") - F.col("__words")).alias("__before"))).alias("e"))
-    edges = [(r["__pattern"], r["e"]["__bucket"], int(r["e"]["__before"])) for r in edge.collect()]
-    cuts = {p: (b, before) for p, b, before in edges}
-    plan = spark.createDataFrame([(p, base, rest, *cuts.get(p, (BUCKETS, 0))) for p, base, rest in quota], "__pattern string, __base long, __rest long, __edge int, __before long")
-    step = step.join(F.broadcast(plan), "__pattern")
-    inside = F.when(F.col("__bucket") < F.col("__edge"), 1).otherwise(0)
-    clear = step.where(F.col("__bucket") != F.col("__edge")).withColumn("__more", inside)
-    line = W.partitionBy("__pattern").orderBy("__order", *([] if key is not None else ["doc_id"]), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    upto = F.sum("size").over(line) + F.col("__before")
-    close = step.where(F.col("__bucket") == F.col("__edge")).withColumn("__more", F.when(2 * (F.col("__rest") - upto) + F.col("size") > 0, 1).otherwise(0))
-    out = clear.unionByName(close).withColumn("repeats", F.when(F.col("size") > 0, F.col("__base") + F.col("__more")).otherwise(F.col("__base")))
-    out = out.withColumn("repeats", F.least("repeats", F.lit(copies))).withColumn("taken", F.col("repeats") * F.col("size"))
+    edges = {r["__pattern"]: (r["e"]["__bucket"], int(r["e"]["__before"])) for r in edge.collect()}
+    plan = [(p, int(base), int(x), *edges.get(p, (BUCKETS, 0)), 0, None) for p, (base, x) in quota.items()]
+    _, close = _with_plan(small, plan)
+    inside = close.groupBy("__pattern").agg(F.sum(F.when(F.col("__more"), F.col("size")).otherwise(0)).alias("n"))
+    taken = {r["__pattern"]: int(r["n"]) for r in inside.collect()}
+    plan = [(p, base, x, e, before, x - before - taken.get(p, 0), None) for p, base, x, e, before, _, _ in plan]
+    clear, close = _with_plan(small, plan)
+    spare = clear.unionByName(close).where(~F.col("__more") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("__left")))
+    nearest = spare.groupBy("__pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("__left")).alias("d"), "__order")).alias("m"))
+    also = {r["__pattern"]: int(r["m"]["__order"]) for r in nearest.collect()}
+    clear, close = _with_plan(_keyed(rows, seed), [(*row[:-1], also.get(row[0])) for row in plan])
+    more = F.col("__more") | F.coalesce(F.col("__order") == F.col("__also"), F.lit(False))
+    out = clear.unionByName(close).withColumn("repeats", F.least(F.col("__base") + more.cast("long"), F.lit(copies)).cast("long"))
+    out = out.withColumn("taken", F.col("repeats") * F.col("size"))
     return out.drop(*[c for c in out.columns if c.startswith("__")])
