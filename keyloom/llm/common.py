@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keyloom.sources.keyspaces import spread
 
-__all__ = ["SPACE_CLASS", "bucket_of", "cut", "read_table", "shared_dir", "spread", "words"]
+__all__ = ["SPACE_CLASS", "bucket_of", "cut", "read_table", "shared_dir", "spread", "sweep", "words"]
 
 #: The white space that parts words, as a character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -41,11 +41,19 @@ def cut(df: DataFrame) -> DataFrame:
     Rows come back from storage that outlives every executor, compressed and by column.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/keyloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/keyloom-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` has written for this application; results read from them must be stored first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(f"{shared_dir(spark)}/keyloom-{spark.sparkContext.applicationId}-*")
+    system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(system.delete(status.getPath(), True) for status in system.globStatus(pattern))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; null gives none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+")

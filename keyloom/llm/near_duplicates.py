@@ -220,6 +220,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
 
 

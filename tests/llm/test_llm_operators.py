@@ -341,3 +341,15 @@ def test_op_crc(spark):
 
     df = spark.createDataFrame([(i,) for i in (0, 7, 123456)], "doc_id long")
     assert [r[0] for r in df.select(bucket_of(F.col("doc_id"), 5)).collect()] == [zlib.crc32(str(i).encode()) % 5 for i in (0, 7, 123456)]
+
+
+def test_components_and_sweep(spark):
+    from keyloom.llm.common import cut, sweep
+
+    chain = [(i, i + 1) for i in range(100, 160)] + [(5, 7), (7, 9), (9, 5), (200, 300)]
+    got = {r.node: r.label for r in near_duplicates.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert {i: got.get(i, i) for i in range(100, 161)} == dict.fromkeys(range(100, 161), 100) and got[7] == got[9] == 5 and got[300] == 200
+    with pytest.raises(RuntimeError):
+        near_duplicates.components(spark.createDataFrame(chain, "a long, b long"), rounds=1)
+    assert near_duplicates.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert cut(spark.range(3)).count() == 3 and sweep(spark) > 0 and sweep(spark) == 0
