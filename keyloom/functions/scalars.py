@@ -85,7 +85,3 @@ def keyslot(key: Column) -> Column:
 def partition_id(key: Column) -> Column:
     return F.shiftright(keyslot(key), 2)
 
-
-def checked_add(value: Column, delta: Column) -> Column:
-    """64-bit sum, or null where it overflows, which callers report as an error."""
-    return F.try_add(value.cast("bigint"), delta.cast("bigint"))
