@@ -8,11 +8,13 @@ P(w | v) = (c(v, w) + mu P(w)) / (c(v) + mu), P(w) = (c(w) + 0.5) / (N + 0.5 (V
 
 Scale. Words are hashed to 64 bits in Arrow batches. N-grams are counted by slice of their hash;
 the number of slices follows the input, so a slice has the same size whatever the corpus. Each slice
-builds its own part of the filter. The filter goes to all tasks; ``max_filter_bytes`` bounds it: a
-corpus that needs more gets fewer bits a key (and more false positives), never fewer n-grams.
-Exact counts for the base score: words with at least 1 in ``heavy`` of all training tokens, of which
-there can be ``heavy`` at most, are sent to all tasks; a text's other words go to their slice, are
-looked up there, and come back summed by text. No hot word ever moves once per occurrence.
+builds its own part of the filter, sized by its keys: ``bits_per_key`` of them whatever the corpus. A
+filter of ``max_filter_bytes`` at most goes to all tasks. A larger one stays in its slices: each piece
+of texts sends its distinct words and pairs to their slices, probes them there, and gets levels and
+exact counts back, so that scores are the same on either way.
+Exact counts for the base score, beside a broadcast filter: words with at least 1 in ``heavy`` of all
+training tokens, of which there can be ``heavy`` at most, are sent to all tasks; a text's other words
+go to their slice, are looked up there, and come back summed by text. No hot word ever moves once per occurrence.
 
 Defined results: a null text counts as empty; an empty text is one end token; without training
 tokens every count is 0; repeated rows are scored one by one; a null id counts as not held out; an
@@ -88,10 +90,11 @@ def level_of(count: np.ndarray) -> np.ndarray:
 MEANING = np.array([0.0] + [(2.0 ** (k - 1) + 2.0**k - 1) / 2 for k in range(1, MAX_LEVEL + 1)])
 
 
-def filter_part(grams: np.ndarray, counts: np.ndarray, bits_per_key: int, max_bytes: int) -> np.ndarray:
-    """The cells of one slice's filter."""
+def filter_part(grams: np.ndarray, counts: np.ndarray, bits_per_key: int, max_bytes: int | None = None) -> np.ndarray:
+    """The cells of one slice's filter; ``max_bytes`` cuts it, at the price of false positives."""
     levels = level_of(counts)
-    cells = int(min(-(-int(levels.sum()) * bits_per_key // 32), max_bytes // 4)) if len(grams) else 0
+    cells = -(-int(levels.sum()) * bits_per_key // 32) if len(grams) else 0
+    cells = cells if max_bytes is None else min(cells, max_bytes // 4)
     out = np.zeros(max(cells, 1) if len(grams) else 0, dtype=np.uint32)
     for level in range(1, int(levels.max()) + 1 if len(grams) else 1):
         own = grams[levels >= level]
@@ -109,6 +112,11 @@ def pair_hashes(words: np.ndarray) -> np.ndarray:
     return joined(before, after)
 
 
+def first_tokens(sizes: np.ndarray) -> np.ndarray:
+    """Where each text begins among the tokens of all, the ends included."""
+    return np.r_[0, np.cumsum(sizes + 1)[:-1]].astype(np.int64)
+
+
 def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """All word hashes of some texts, and the number of words of each."""
     found = [split_words(t) for t in texts]
@@ -180,9 +188,7 @@ def _count(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
     return k[first], (np.add.reduceat(c, first) if len(k) else c)
 
 
-def _build(slices: int, settings: Settings):
-    most = settings.max_filter_bytes // slices
-
+def _build(settings: Settings):
     def of(group: pd.DataFrame) -> pd.DataFrame:
         """One slice: exact word counts, and its part of the filter (words and pairs)."""
         s = int(group["slice"].iloc[0])
@@ -192,7 +198,7 @@ def _build(slices: int, settings: Settings):
             found[kind] = _count(list(own["keys"]), list(own["counts"]))
         grams = np.concatenate([found[0][0], found[1][0]])
         counts = np.concatenate([found[0][1], found[1][1]])
-        cells = filter_part(grams, counts, settings.bits_per_key, most)
+        cells = filter_part(grams, counts, settings.bits_per_key)
         words, n = found[0]
         return pd.DataFrame([(s, words.tobytes(), n.tobytes(), len(words), int(n.sum()), cells.tobytes())], columns=["slice", "words", "counts", "v", "n", "cells"])
 
@@ -201,7 +207,7 @@ def _build(slices: int, settings: Settings):
 
 @dataclass
 class Model:
-    filter: Filter
+    filter: Filter | None  # none where it is larger than one broadcast may be and stays in its slices
     heavy: np.ndarray  # sorted hashes
     heavy_counts: np.ndarray
     tokens: int  # N, ends included
@@ -220,29 +226,34 @@ class Model:
         after = np.insert(words, stops, END)
         before = np.r_[END, after[:-1]]
         distinct, which = np.unique(after, return_inverse=True)
-        count = MEANING[self.filter.levels(distinct)]
+        pairs, where = np.unique(joined(before, after), return_inverse=True)
+        return self.smoothed(sizes, distinct, which, self.filter.levels(distinct), where, self.filter.levels(pairs))
+
+    def smoothed(self, sizes: np.ndarray, distinct: np.ndarray, which: np.ndarray, levels: np.ndarray, where: np.ndarray, pair_levels: np.ndarray) -> np.ndarray:
+        """The same, with the levels of the distinct words and pairs, and each token's place among both."""
+        count = MEANING[levels]
         count[distinct == END] = self.ends
         unigram = ((count + 0.5) / self.below)[which]
         context = np.r_[float(self.ends), count[which][:-1]]
-        pairs, where = np.unique(joined(before, after), return_inverse=True)
-        joint = np.minimum(MEANING[self.filter.levels(pairs)][where], np.maximum(context, 0.0))
+        joint = np.minimum(MEANING[pair_levels][where], np.maximum(context, 0.0))
         chance = np.log10((joint + self.mu * unigram) / (context + self.mu))
-        return np.add.reduceat(chance, np.r_[0, stops[:-1] + np.arange(1, len(stops))]) if len(sizes) else np.zeros(0)
+        return np.add.reduceat(chance, first_tokens(sizes)) if len(sizes) else np.zeros(0)
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, DataFrame]:
-    """The model of all texts of ``docs``, and the exact word counts by slice (slice, words, counts)."""
+    """The model of all texts of ``docs``, and the exact word counts and the filter by slice (slice, words, counts, cells)."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tally = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     ends, slices = int(tally["n"]), max(4, -(-int(tally["b"] or 0) // settings.slice_bytes))
     grams = texts.mapInArrow(_grams(slices), PACKED)
-    built = cut(grams.groupBy("slice").applyInPandas(_build(slices, settings), "slice int, words binary, counts binary, v long, n long, cells binary"))
+    built = cut(grams.groupBy("slice").applyInPandas(_build(settings), "slice int, words binary, counts binary, v long, n long, cells binary"))
     size, start = np.zeros(slices, dtype=np.int64), np.zeros(slices, dtype=np.int64)
-    sums = built.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
+    sums = built.agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum(F.octet_length("cells")).alias("b")).first()
+    sent = int(sums["b"] or 0) <= settings.max_filter_bytes
     tokens, types = int(sums["n"] or 0) + ends, int(sums["v"] or 0) + (ends > 0)
     cells, at = [], 0
-    for row in built.select("slice", "cells").toLocalIterator():  # max_filter_bytes in all
+    for row in built.select("slice", "cells").toLocalIterator() if sent else ():  # max_filter_bytes in all
         part = np.frombuffer(bytes(row["cells"]), dtype=np.uint32)
         start[row["slice"]], size[row["slice"]] = at, len(part)
         cells.append(part)
@@ -260,8 +271,8 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     counts = np.array([r["count"] for r in found], dtype=np.int64)
     order = np.argsort(words)
     whole = np.concatenate(cells) if at else np.zeros(1, np.uint32)
-    model = Model(Filter(whole, start, size), words[order], counts[order], tokens, types, ends, settings.mu, slices)
-    return model, built.select("slice", "words", "counts")
+    model = Model(Filter(whole, start, size) if sent else None, words[order], counts[order], tokens, types, ends, settings.mu, slices)
+    return model, built.select("slice", "words", "counts", "cells")
 
 
 SCORED = "batch string, nth int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, slice int, keys binary, texts binary, counts binary"
@@ -345,15 +356,125 @@ def _total(texts: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
     return texts[["doc_id", "held_out", "n_tokens", "score"]].assign(n_known=known, base_score=base)
 
 
+HELD = "batch string, ids array<long>, held array<boolean>, sizes binary, words binary, which binary"
+ASKED = "batch string, slice int, kind int, keys binary"
+ANSWERS = "batch string, slice int, kind int, levels binary, counts binary"
+TOTALS = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _place(n: int) -> type:
+    """The type that holds a place among ``n`` words."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def _held_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each piece of texts: its ids, and its tokens as places among its distinct words."""
+    import uuid
+
+    for batch in batches:
+        for piece in _pieces(batch, 2):
+            words, sizes = _tokens(piece.column(2).to_pylist())
+            distinct, which = np.unique(np.insert(words, np.cumsum(sizes), END), return_inverse=True)
+            spans = pa.array([0, piece.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(spans, piece.column(i).cast(t)) for i, t in ((0, pa.int64()), (1, pa.bool_()))]
+            packs = [x.tobytes() for x in (sizes, distinct, which.astype(_place(len(distinct))))]
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, *[pa.array([x], pa.binary()) for x in packs]], names=[c.split()[0] for c in HELD.split(", ")])
+
+
+def _unpacked(words: bytes, which: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, each token's place among them, and each token's pair with the one before."""
+    distinct = np.frombuffer(words, np.uint64)
+    places = np.frombuffer(which, _place(len(distinct))).astype(np.int64)
+    after = distinct[places]
+    return distinct, places, joined(np.r_[END, after[:-1]], after)
+
+
+def _asks(slices: int):
+    """The distinct words (kind 0) and pairs (kind 1) of each piece, for their slice."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, words, which in zip(*batch.columns, strict=True):
+                distinct, _, pairs = _unpacked(words.as_py(), which.as_py())
+                asked = [(name.as_py(), s, kind, keys[own].tobytes()) for kind, keys in ((0, distinct), (1, np.unique(pairs))) for s, own in _by_slice(keys, slices)]
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*asked, strict=True), kinds, strict=True)], names=[c.split()[0] for c in ASKED.split(", ")])
+
+    return of
+
+
+def _answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """Levels of what was asked of one slice, by its part of the filter, and the words' exact counts."""
+    if not len(asked):
+        return pd.DataFrame([], columns=["batch", "slice", "kind", "levels", "counts"])
+    keys = [np.frombuffer(k, np.uint64) for k in asked["keys"]]
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+    levels, exact = np.zeros(len(distinct), np.uint8), np.zeros(len(distinct), np.int64)
+    if len(held):
+        cells = np.frombuffer(held["cells"].iloc[0], np.uint32)
+        words, found = np.frombuffer(held["words"].iloc[0], np.uint64), np.frombuffer(held["counts"].iloc[0], np.int64)
+        if len(cells):
+            levels = Filter(cells, np.zeros(1, np.int64), np.array([len(cells)])).levels(distinct).astype(np.uint8)
+        if len(words):
+            at = np.minimum(np.searchsorted(words, distinct), len(words) - 1)
+            exact = np.where(words[at] == distinct, found[at], 0)
+    places = np.split(which, ends)
+    return asked[["batch", "slice", "kind"]].assign(
+        levels=[levels[i].tobytes() for i in places],
+        counts=[exact[i].tobytes() if kind == 0 else None for i, kind in zip(places, asked["kind"], strict=True)],
+    )
+
+
+def _scored(held):
+    """The texts of one piece, with what its words and pairs brought from the slices."""
+
+    def of(piece: pa.Table, answers: pa.Table) -> pa.Table:
+        model = held.value
+        ids, held_out = (piece.column(c).combine_chunks().flatten() for c in ("ids", "held"))
+        sizes = np.frombuffer(piece["sizes"][0].as_py(), np.int64)
+        distinct, which, pairs = _unpacked(piece["words"][0].as_py(), piece["which"][0].as_py())
+        pairs, where = np.unique(pairs, return_inverse=True)
+        levels = [np.zeros(len(distinct), np.int64), np.zeros(len(pairs), np.int64)]
+        exact = np.zeros(len(distinct), np.int64)
+        got = {(r["slice"], r["kind"]): r for r in answers.select(["slice", "kind", "levels", "counts"]).to_pylist()}
+        for kind, keys in ((0, distinct), (1, pairs)):
+            for s, own in _by_slice(keys, model.slices):
+                row = got[s, kind]
+                levels[kind][own] = np.frombuffer(row["levels"], np.uint8)
+                if kind == 0:
+                    exact[own] = np.frombuffer(row["counts"], np.int64)
+        exact[distinct == END] = model.ends
+        first = first_tokens(sizes)
+        base = np.add.reduceat(np.log10(exact + 0.5)[which], first) - (sizes + 1) * np.log10(model.below)
+        known = np.add.reduceat((exact > 0).astype(np.int64)[which], first)
+        score = model.smoothed(sizes, distinct, which, levels[0], where, levels[1])
+        return pa.table([ids, held_out, pa.array(sizes + 1), pa.array(known), pa.array(base), pa.array(score)], names=[c.split()[0] for c in TOTALS.split(", ")])
+
+    return of
+
+
+def _score_by_slice(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """Scores with a filter that no broadcast holds."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    # Written once: the names that tie a piece to what it asks are drawn in this pass.
+    pieces = cut(rows.mapInArrow(_held_pieces, HELD))
+    asked = pieces.select("batch", "words", "which").mapInArrow(_asks(model.slices), ASKED)
+    answers = asked.groupBy("slice").cogroup(counts.groupBy("slice")).applyInPandas(_answer, ANSWERS)
+    return pieces.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_scored(held), TOTALS)
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of ``docs`` (doc_id, held_out, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_filter_bytes and heavy
     columns = [c.split()[0] for c in SCORED.split(", ")]
     rows = docs.select(F.col("doc_id").cast("long"), "held_out", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    if model.filter is None:
+        return _score_by_slice(rows, model, counts).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_filter_bytes and heavy
     # Written once: the names that tie a text to its packed words are drawn in this pass.
     rows = cut(rows.mapInArrow(_scores(held, columns), SCORED))
     packed = rows.where(F.col("slice").isNotNull()).select("slice", "batch", "keys", "texts", "counts")
-    more = packed.groupBy("slice").cogroup(counts.groupBy("slice")).applyInPandas(_look_up, "batch string, texts binary, sums binary, hits binary")
+    more = packed.groupBy("slice").cogroup(counts.select("slice", "words", "counts").groupBy("slice")).applyInPandas(_look_up, "batch string, texts binary, sums binary, hits binary")
     own = rows.where(F.col("slice").isNull()).select("batch", "nth", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
     summed = own.groupBy("batch").cogroup(more.groupBy("batch")).applyInPandas(
         _total, "doc_id long, held_out boolean, n_tokens long, score double, n_known long, base_score double"

@@ -91,6 +91,17 @@ def test_lm_scoring(spark, docs):
     assert lm_scoring.score(rows.limit(0), model, lm_scoring.train(train)[1]).count() == 0
 
 
+def test_lm_filter_larger_than_a_broadcast(spark, docs):
+    """A filter that no broadcast may hold keeps its bits a key, and gives the scores of a broadcast one."""
+    rows = docs.select("doc_id", (F.coalesce(F.col("doc_id"), F.lit(1)) % 5 == 1).alias("held_out"), "text")
+    found = []
+    for most in (64 << 20, 1000):
+        model, counts = lm_scoring.train(rows.where(~F.col("held_out")), lm_scoring.Settings(max_filter_bytes=most, slice_bytes=4000))
+        assert counts.agg(F.sum(F.octet_length("cells"))).first()[0] > 1000 and (model.filter is None) == (most == 1000)
+        found.append(sorted(((str(r.doc_id), str(r.held_out), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scoring.score(rows, model, counts).collect())))
+    assert found[0] == found[1] and len(found[0]) == rows.count()
+
+
 def test_filter_levels():
     grams = lm_scoring.mixed(np.arange(1, 4001, dtype=np.uint64))
     counts = np.random.default_rng(1).geometric(0.1, 4000)
