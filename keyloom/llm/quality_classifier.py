@@ -5,8 +5,10 @@ with both; the difference of the two sizes, over the larger, is the raw score. A
 calibration over that difference, the two normalised sizes and the text's length, fitted on
 labelled rows that built neither dictionary, makes it a probability.
 
-Bounds: at most ``max_fit`` labelled rows of each class are brought to the driver, those with the
-smallest hash of their id, and at most ``max_piece_bytes`` of each row. Scoring reads whole texts.
+Bounds: at most ``max_fit`` labelled rows of each class are learnt from, those with the smallest hash
+of their id, and each of them whole. Every other one builds its class's dictionary, in pieces of
+``sample_bytes`` over its whole length; these come to the driver, the first of each class and then as
+many as fit in ``max_dictionary_bytes``. The rest calibrate where they lie. Scoring reads whole texts.
 
 Defined results: a null text counts as empty; an empty text gets a score; labels that are null or
 whose id is null or unknown are not learnt from; a class without any labels makes every score 0.5.
@@ -24,11 +26,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 @dataclass(frozen=True)
 class Settings:
     max_fit: int = 4000
-    max_piece_bytes: int = 32768
+    max_dictionary_bytes: int = 32 << 20
     dictionary_bytes: int = 65536
     sample_bytes: int = 2048
     level: int = 3
@@ -81,7 +85,7 @@ class Scorer:
 
 
 def _dictionary(texts: list[bytes], settings: Settings) -> bytes:
-    pieces = [t[i : i + settings.sample_bytes] for t in texts for i in range(0, min(len(t), 4 * settings.sample_bytes), settings.sample_bytes)]
+    pieces = [t[i : i + settings.sample_bytes] for t in texts for i in range(0, len(t), settings.sample_bytes)]
     try:
         return zstandard.train_dictionary(settings.dictionary_bytes, pieces).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself serves
@@ -101,21 +105,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     return w
 
 
+N_TERMS = 9
+
+
+def _unlearnt(settings: Settings) -> Model:
+    return Model(b"", b"", np.zeros(N_TERMS + 1), np.zeros(N_TERMS), np.ones(N_TERMS), settings.level)
+
+
+def _calibrated(dictionaries: list[bytes], x: np.ndarray, y: np.ndarray, settings: Settings) -> Model:
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    return Model(*dictionaries, _logistic((x - mean) / spread, y, settings.ridge), mean, spread, settings.level)
+
+
+def _within(rows: list, sizes: list[int], most: int) -> list:
+    """The first of ``rows``, and those after it while their bytes stay within ``most``."""
+    return rows[: max(1, int(np.searchsorted(np.cumsum(sizes), most, side="right")))]
+
+
 def fit_texts(good: list[bytes], bad: list[bytes], settings: Settings) -> Model:
     """Every other text builds its class's dictionary, the rest calibrate."""
-    n_terms = 9
     if not good or not bad:
-        return Model(b"", b"", np.zeros(n_terms + 1), np.zeros(n_terms), np.ones(n_terms), settings.level)
-    dictionaries = [_dictionary(texts[::2], settings) for texts in (good, bad)]
-    held = (good[1::2] or good) + (bad[1::2] or bad)
-    y = np.r_[np.ones(len(good[1::2] or good)), np.zeros(len(bad[1::2] or bad))]
-    x = _sizes(held, *(_compressor(d, settings.level) for d in dictionaries))
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return Model(*dictionaries, _logistic((x - mean) / spread, y, settings.ridge), mean, spread, settings.level)
+        return _unlearnt(settings)
+    build = [_within(texts[::2], [len(t) for t in texts[::2]], settings.max_dictionary_bytes) for texts in (good, bad)]
+    dictionaries = [_dictionary(texts, settings) for texts in build]
+    held = [good[1::2] or good, bad[1::2] or bad]
+    x = _sizes(held[0] + held[1], *(_compressor(d, settings.level) for d in dictionaries))
+    return _calibrated(dictionaries, x, np.r_[np.ones(len(held[0])), np.zeros(len(held[1]))], settings)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> Model:
-    """Learn from the labelled rows of ``docs`` for which ``learn`` (over ``doc_id``) holds."""
+    """``fit_texts`` over the labelled rows of ``docs`` for which ``learn`` (over ``doc_id``) holds."""
     marks = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max("quality").alias("__mark"), F.min("quality").alias("__least"))
@@ -127,12 +146,30 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings =
         part = marks.where(F.col("__mark") == mark).orderBy("__order", "doc_id").limit(settings.max_fit).select("doc_id", "__mark", "__order")
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * max_fit ids by construction: small enough to send to every task.
-    body = F.substring(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 1, settings.max_piece_bytes)
-    rows = docs.select("doc_id", body.alias("__body")).join(F.broadcast(chosen), "doc_id").select("doc_id", "__mark", "__order", "__body")
-    got: dict[int, dict] = {0: {}, 1: {}}
-    for r in sorted(rows.collect(), key=lambda r: (r["__order"], r["doc_id"], bytes(r["__body"]))):
-        got[r["__mark"]].setdefault(r["doc_id"], bytes(r["__body"]))
-    return fit_texts(list(got[1].values()), list(got[0].values()), settings)
+    body = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    rows = docs.select("doc_id", body.alias("__body")).join(F.broadcast(chosen), "doc_id")
+    rows = cut(rows.groupBy("doc_id", "__mark", "__order").agg(F.min("__body").alias("__body")))  # at most 2 * max_fit
+    found = sorted(rows.select("doc_id", "__mark", "__order", F.octet_length("__body").alias("__bytes")).collect(), key=lambda r: (r["__order"], r["doc_id"]))
+    classes = [[r for r in found if r["__mark"] == mark] for mark in (1, 0)]
+    if not all(classes):
+        return _unlearnt(settings)
+
+    def of(ids: list[int]) -> DataFrame:
+        return rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], rows.select("doc_id").schema)), "doc_id")
+
+    build = [_within(own[::2], [r["__bytes"] for r in own[::2]], settings.max_dictionary_bytes) for own in classes]
+    bodies = {r["doc_id"]: bytes(r["__body"]) for r in of([r["doc_id"] for own in build for r in own]).select("doc_id", "__body").collect()}
+    dictionaries = [_dictionary([bodies[r["doc_id"]] for r in own], settings) for own in build]
+    level = settings.level
+
+    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        good, bad = (_compressor(d, level) for d in dictionaries)
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "x": list(_sizes([bytes(t) for t in b["__body"]], good, bad))})
+
+    held = [r for own in classes for r in (own[1::2] or own)]
+    x = {r["doc_id"]: r["x"] for r in of([r["doc_id"] for r in held]).select("doc_id", "__body").mapInPandas(terms, "doc_id long, x array<double>").collect()}
+    return _calibrated(dictionaries, np.array([x[r["doc_id"]] for r in held]), np.array([float(r["__mark"]) for r in held]), settings)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:

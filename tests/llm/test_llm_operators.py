@@ -183,6 +183,21 @@ def test_quality_classifier(spark):
     assert {r.score for r in quality_classifier.score(docs, none).collect()} == {0.5} and quality_classifier.score(docs.limit(0), model).count() == 0
 
 
+def test_quality_classifier_learns_from_whole_texts(spark):
+    """What sets the classes apart begins beyond 40 KB of each text, and calibration sees the length."""
+    dice = random.Random(10)
+    some = lambda vocab, n: " ".join(dice.choice(vocab) for _ in range(n))
+    plain = ["stone", "paper", "cloud", "table", "green", "seven"]
+    good = [some(plain, 7000) + " " + some(["river", "mountain", "walks", "slowly", "quiet"], 7000) for _ in range(16)]
+    bad = [some(plain, 7000) + " " + some(["BUY!!", "$$$", "click###", "FREE%%", "now***"], 7000) for _ in range(16)]
+    docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 16)) for i in range(32)], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels, F.lit(True))
+    assert b"mountain" in model.good and b"click###" in model.bad
+    assert abs(np.expm1(model.mean[3]) / np.mean([len(t) for t in good + bad]) - 1) < 0.1
+    assert all((r.score > 0.5) == (r.doc_id < 16) for r in quality_classifier.score(docs, model).collect())
+
+
 def test_mixing(spark):
     sizes = {"b": 100, "a": 50, None: 10, "c": 0, "d": 1000}
     targets = mixing.weighted_targets(sizes)
