@@ -2,8 +2,9 @@
 
 Pages are read as links between hosts. Trust starts at hosts that allow rules name and follows
 links (personalised PageRank); distrust starts at hosts that block rules name and follows links
-backwards, as who links to a bad host is suspect. A host whose distrust outweighs its trust and
-passes a threshold is blocked. A page's rule, if one fits, decides before its host does.
+backwards, as who links to a bad host is suspect: each host takes its linked hosts' distrust by the
+share of its own links that go there, so that however many others link to a bad host takes nothing
+from it. A host whose distrust outweighs its trust and passes a threshold is blocked. A page's rule, if one fits, decides before its host does.
 
 Iterations are joins of host scores with host links; each round is written to the shared folder
 and the rounds end when no score moves. Hub hosts are safe: links are counted before they move,
@@ -16,6 +17,7 @@ an empty result; more columns of the input are dropped.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -66,13 +68,15 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where((F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, damping: float, rounds: int | None, tolerance: float) -> DataFrame:
     """(host, score): score = (1 - damping) * seed + damping * what its neighbours pass on.
 
-    ``links`` is (src, dst, w), w summing to 1 over each src; ``seeds`` has every host once.
+    ``links`` is (src, dst, w), w summing to 1 over each src or over each dst, so that moves shrink by
+    ``damping`` a round; ``seeds`` has every host once. Without ``rounds`` they go on until no score
+    moves by more than ``tolerance``.
     """
     state = seeds.select("host", "seed", F.col("seed").alias("score"))
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         passed = links.join(state.where("score > 0").select(F.col("host").alias("src"), "score"), "src")
         gained = passed.groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("w")).alias("gained"))
         new = state.join(gained, "host", "left").select(
@@ -86,7 +90,7 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float, rounds: int, tole
     return state.select("host", "score")
 
 
-def host_scores(pages: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def host_scores(pages: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """(host, pages, trust, distrust) of every host that is read or linked.
 
     ``pages`` has host, html and the verdict of its rule (null: none). A host's seed is the share of
@@ -104,9 +108,9 @@ def host_scores(pages: DataFrame, damping: float = 0.85, rounds: int = 20, toler
     hosts = cut(
         linked.join(own, "host", "full_outer").select("host", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("good", "bad")], F.coalesce("pages", F.lit(0)).alias("pages"))
     )
-    out, back = links.groupBy("src").agg(F.sum("n").alias("all")), links.groupBy("dst").agg(F.sum("n").alias("all"))
+    out = links.groupBy("src").agg(F.sum("n").alias("all"))
     ahead = cut(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w")))
-    reverse = cut(links.join(back, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("w")))
+    reverse = ahead.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     trust = spread(hosts.select("host", F.col("good").alias("seed")), ahead, damping, rounds, tolerance)
     distrust = spread(hosts.select("host", F.col("bad").alias("seed")), reverse, damping, rounds, tolerance)
     return (

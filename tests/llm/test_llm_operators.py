@@ -238,6 +238,25 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_blocked_hub_with_many_linkers(spark):
+    """Hosts whose only tie is one blocked host are blocked however many they are; those with few such links are not."""
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+    farm = [(i, f"http://farm{i}.org/", link("hub.org")) for i in range(6)]
+    other = [(10, "http://wide.org/", link("hub.org", *[f"fine{k}.org" for k in range(9)])), (11, "http://far.org/", link("farm0.org"))]
+    pages = spark.createDataFrame([(9, "http://hub.org/", None), *farm, *other], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(pages, (url_filter.UrlRule("hub.org", "/", "block"),)).collect()}
+    assert {got[i].verdict for i in range(6)} == {"block"} and got[11].verdict == "block" and got[10].verdict == "allow"
+    assert all(abs(got[i].distrust - 0.85 * 0.15) < 1e-9 for i in range(6)) and abs(got[10].distrust - 0.85 * 0.15 / 10) < 1e-9
+
+
+def test_host_scores_settle(spark):
+    """Two hosts that link to each other pass trust to and fro for far more than 20 rounds."""
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    pages = spark.createDataFrame([("a", link("b"), "allow"), ("b", link("a"), None)], "host string, html string, rule_verdict string")
+    got = {r.host: r.trust for r in url_filter.host_scores(pages).collect()}
+    assert abs(got["a"] - 0.15 / (1 - 0.85**2)) < 1e-5 and abs(got["b"] - 0.85 * got["a"]) < 1e-5
+
+
 def test_page_rank(spark):
     links = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 0.5), ("b", "a", 0.5), ("hub", "a", 1.0)], "src string, dst string, w double")
     seeds = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 0.0), ("hub", 0.0)], "host string, seed double")
