@@ -123,8 +123,8 @@ def _sketches(settings: Settings):
                     cols = r.astype(np.uint64).reshape(-1, rows)
                     bands.append(joined(np.arange(len(cols), dtype=np.uint64), *cols.T).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, 1000), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "high", "low", "registers", "bands"],
+                    [ids.slice(at, 1000), batch.column(2).slice(at, 1000), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "mark", "n", "high", "low", "registers", "bands"],
                 )
 
     return of
@@ -228,11 +228,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = cut(texts.mapInArrow(_sketches(settings), "doc_id long, n long, high long, low long, registers binary, bands array<long>"))
+    texts = texts.withColumn("mark", F.xxhash64("doc_id", "text"))  # a doc_id alone may stand for several texts
+    made = cut(texts.mapInArrow(_sketches(settings), "doc_id long, mark long, n long, high long, low long, registers binary, bands array<long>"))
     full = made.where(F.col("high").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cut(full.groupBy("high", "low").agg(F.min("doc_id").alias("cid")))
     member = ["high", "low"]
-    reps = classes.join(full, member).where(F.col("doc_id") == F.col("cid")).select("cid", "n", "registers", "bands")
+    # A class goes by the mark of its first row.
+    classes = full.groupBy(*member).agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    classes = cut(classes.select(*member, F.col("first.mark").alias("cid"), F.col("first.doc_id").alias("least")))
+    reps = classes.join(full, member).where(F.col("mark") == F.col("cid")).select("cid", "n", "registers", "bands")
     reps = cut(reps)
 
     # Buckets: classes that share a band; those with the same members count once.
@@ -244,8 +247,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     # Texts of the classes that are in a bucket; their ids are broadcast only while they are few.
     ids = cut(inside.select("cid").distinct())
     few = ids.count() <= settings.broadcast_ids
-    wanted = texts.join((F.broadcast if few else lambda x: x)(ids.withColumnRenamed("cid", "doc_id")), "doc_id", "left_semi")
-    facts = reps.select("cid", "n", "registers").join(wanted.select(F.col("doc_id").alias("cid"), "text"), "cid")
+    wanted = texts.join((F.broadcast if few else lambda x: x)(ids.withColumnRenamed("cid", "mark")), "mark", "left_semi")
+    facts = reps.select("cid", "n", "registers").join(wanted.select(F.col("mark").alias("cid"), "text"), "cid")
     facts = cut(facts.dropDuplicates(["cid"]))
 
     parts = F.greatest(F.ceil(2 * F.col("size") / settings.block), F.lit(1)).cast("int")
@@ -275,8 +278,17 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
             other = open_.select("cid", "key", "label", F.explode(F.sequence(F.lit(0), outer - 1)).alias("i"), "part", F.lit(False).alias("lead"))
             met = lead_rows.unionByName(other).groupBy("key", "i", "part", "cid", "label").agg(F.max("lead").alias("lead"))
             links.append(cut(_compare(met.join(facts, "cid"), ["key", "i", "part"], settings)))
-    labels = components(reduce(DataFrame.unionByName, links))
-    named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(*member, F.coalesce("label", "cid").alias("component_id"))
+    # Classes that share a doc_id are one node.
+    of = F.xxhash64(*member)
+    again = cut(full.groupBy("doc_id").agg(F.min(of).alias("x"), F.max(of).alias("y")).where("x <> y").select("doc_id"))
+    if not again.isEmpty():
+        named = cut(full.join(again, "doc_id").join(classes, member).select("doc_id", "cid").distinct())
+        links.append(cut(named.join(named.groupBy("doc_id").agg(F.min("cid").alias("a")), "doc_id").select("a", F.col("cid").alias("b"))))
+    labels = cut(components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "cid"))
+    labels = labels.unionByName(labels.select(F.col("label").alias("cid"), "label").distinct())  # the least nodes too
+    named = cut(classes.join(labels, "cid", "left").select(*member, "label", "least"))
+    tops = named.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("top"))
+    named = named.join(tops, "label", "left").select(*member, F.coalesce("top", "least").alias("component_id"))
     out = made.select("doc_id", "n", *member).join(named, member, "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

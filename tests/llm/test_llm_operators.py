@@ -363,6 +363,16 @@ def test_near_duplicates(spark, block, width, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
 
 
+def test_near_duplicates_of_a_shared_id(spark):
+    """Two texts of one doc_id are one node, and each keeps its own links."""
+    dice = random.Random(4)
+    x, y, z = ([f"{c}{dice.randint(0, 9999)}" for _ in range(120)] for c in "xyz")
+    near = lambda t: " ".join([*t[:-1], "other"])
+    rows = [(1, " ".join(x)), (1, " ".join(y)), (2, near(x)), (3, near(y)), (5, " ".join(z)), (6, " ".join(z)), (6, "b c d e"), (7, "b c d e"), (8, "f g h i")]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_duplicates.Settings(3, 85)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (6, 5), (7, 5), (8, 8)]
+
+
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c d"), (None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (7, "other words in here"), (8, "other words in here")]
     got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_duplicates.Settings(3, 85)).collect()
