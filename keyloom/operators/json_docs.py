@@ -14,15 +14,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.jsonpath import dump, json_get, normal, parse, walk
+from keyloom.functions.jsonpath import dump, json_get, normal, parse, pretty, walk
 
 __all__ = ["json_get", "get_many", "mget", "type_of", "edit", "apply_edits", "decompose", "merge_patch"]
 
 
-def get_many(docs: DataFrame, paths: list[str]) -> DataFrame:
-    """JSON.GET with several paths: an object keyed by path."""
-    parts = [F.concat(F.lit(json.dumps(p) + ":"), F.coalesce(json_get(F.col("doc"), p), F.lit("null"))) for p in paths]
-    return docs.select("key", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"))
+def get_many(docs: DataFrame, paths: list[str], indent: str = "", newline: str = "", space: str = "") -> DataFrame:
+    """JSON.GET with several paths: an object keyed by path, in byte order; a legacy path without a match is null."""
+    parts = [F.concat(F.lit(json.dumps(p, ensure_ascii=False) + ":"), F.coalesce(json_get(F.col("doc"), p), F.lit("null"))) for p in sorted(set(paths), key=str.encode)]
+    whole = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    return docs.select("key", pretty(F.when(F.try_parse_json("doc").isNotNull(), whole), indent, newline, space).alias("value"))
 
 
 def mget(docs: DataFrame, requests: DataFrame, path: str) -> DataFrame:
@@ -41,16 +42,29 @@ def type_of(doc: Column, path: str = "$") -> Column:
     return F.when(name.startswith("ARRAY"), "array").when(name.startswith("OBJECT"), "object").otherwise(F.coalesce(F.try_element_at(known, name), F.when(name.isNotNull(), "number")))
 
 
+def number_text(x: Column) -> Column:
+    """A double as a JSON number: whole ones below 9e15 without a fraction, others in full below 1e16."""
+    size = F.abs(x)
+    plain = F.regexp_replace(x.cast("string").cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    powers = F.regexp_replace(F.lower(x.cast("string")), r"\.0e", "e")
+    return F.when((F.floor(x) == x) & (size < 9e15), F.floor(x).cast("bigint").cast("string")).when((size >= 1e-5) & (size < 1e16), plain).otherwise(powers)
+
+
 def numincrby(doc: Column, path: str, by: float, times: bool = False) -> Column:
-    """The new number at a static path; null where there is none. Whole numbers stay whole unless they overflow."""
-    raw = F.get_json_object(doc, normal(path)[0])
-    whole, real = raw.try_cast("bigint"), raw.try_cast("double")
-    exact = None
-    if float(by).is_integer():
-        step = F.lit(int(by)).cast("bigint")
-        exact = F.try_multiply(whole, step) if times else F.try_add(whole, step)
+    """JSON.NUMINCRBY and NUMMULTBY at a static path: the new number, an array of it for ``$`` paths.
+
+    Whole numbers stay whole unless they overflow; what is no number, a string of digits included, answers null.
+    """
+    text, legacy = normal(path)
+    value = F.variant_get(F.try_parse_json(doc), text, "variant")
+    kind = F.schema_of_variant(value)
+    real = F.when((kind == "BIGINT") | kind.startswith("DECIMAL") | kind.isin("FLOAT", "DOUBLE"), F.try_variant_get(value, "$", "double"))
     loose = real * by if times else real + by
-    return F.coalesce(exact.cast("string"), loose.cast("string")) if exact is not None else loose.cast("string")
+    new = F.when(~F.isnan(loose) & (F.abs(loose) < float("inf")), number_text(loose))
+    if isinstance(by, int):
+        whole, step = F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")), F.lit(by).cast("bigint")
+        new = F.coalesce((F.try_multiply(whole, step) if times else F.try_add(whole, step)).cast("string"), new)
+    return new if legacy else F.when(F.try_parse_json(doc).isNotNull(), F.when(value.isNull(), "[]").otherwise(F.concat(F.lit("["), F.coalesce(new, F.lit("null")), F.lit("]"))))
 
 
 def strlen(doc: Column, path: str = "$") -> Column:
@@ -223,6 +237,29 @@ def edit(docs: DataFrame, path: str, change: Edit, create: bool = False) -> Data
     return docs.select("key", run("doc").alias("__r")).select("key", "__r.doc", "__r.reply")
 
 
+def build(nodes: DataFrame, key: str = "key") -> DataFrame:
+    """(key, doc): documents from their nodes (path, kind, value) as ``decompose`` gives them, in any order.
+
+    Rounds from the deepest nodes up: members of one parent are collected, so a task holds the members of
+    one container and no whole table. Members' names without dots and brackets are assumed, as paths are text.
+    """
+    where = F.when(F.col("path").endswith("]"), F.regexp_extract("path", r"^(.*)\[\d+\]$", 1)).otherwise(F.regexp_extract("path", r"^(.*)\.[^.\[\]]+$", 1))
+    name = F.when(F.col("path").endswith("]"), F.lit(None).cast("string")).otherwise(F.regexp_extract("path", r"\.([^.\[\]]+)$", 1))
+    at = F.regexp_extract("path", r"\[(\d+)\]$", 1).try_cast("int")
+    depth = F.length(F.regexp_replace("path", r"[^.\[]", ""))
+    rows = nodes.select(key, "path", "kind", "value", where.alias("up"), name.alias("name"), at.alias("at"), depth.alias("depth"))
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+    closed = F.when(F.col("kind") == "array", "[]").when(F.col("kind") == "object", "{}").otherwise(F.col("value"))
+    done = rows.where(F.col("depth") == deepest).withColumn("text", F.coalesce(closed, F.lit("null")))
+    for level in range(deepest - 1, -1, -1):
+        member = F.when(F.col("name").isNull(), F.col("text")).otherwise(F.concat(F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2), F.lit(":"), F.col("text")))
+        parts = done.groupBy(key, F.col("up").alias("path")).agg(F.array_sort(F.collect_list(F.struct("at", "name", member.alias("t")))).alias("m"))
+        text = F.array_join(F.transform("m", lambda x: x["t"]), ",")
+        full = F.when(F.col("m").isNull(), F.coalesce(closed, F.lit("null"))).when(F.col("kind") == "array", F.concat(F.lit("["), text, F.lit("]"))).otherwise(F.concat(F.lit("{"), text, F.lit("}")))
+        done = rows.where(F.col("depth") == level).join(parts, [key, "path"], "left").withColumn("text", full).select(*rows.columns, "text")
+    return done.select(key, F.col("text").alias("doc"))
+
+
 def resp(value: Any) -> Any:
     """JSON.RESP: arrays led by ``[``, objects by ``{`` and flattened; booleans and fractions as text."""
     if isinstance(value, dict):
