@@ -18,6 +18,12 @@ from keyloom.functions.patterns import glob_match
 from keyloom.operators.merge import lww
 
 
+def _order(version: tuple) -> tuple:
+    """Of records of one version the greatest value wins, as in batch."""
+    hlc, origin, value = version
+    return hlc, origin, value is not None, value or ""
+
+
 def merge_stream(records: DataFrame) -> DataFrame:
     """(key, elem, value, hlc, origin) whenever the winner of an element changes.
 
@@ -31,7 +37,7 @@ def merge_stream(records: DataFrame) -> DataFrame:
         for b in batches:
             for value, hlc, origin in zip(b["value"], b["hlc"], b["origin"], strict=True):
                 at = (int(hlc), int(origin), value)
-                if best is None or at[:2] > tuple(best[:2]):
+                if best is None or _order(at) > _order(best):
                     best = at
         if best is not None and best != was:
             state.update(best)
@@ -175,3 +181,10 @@ def expire_stream(records: DataFrame) -> DataFrame:
     return records.withWatermark("ts", "0 seconds").groupBy("key", "elem").applyInPandasWithState(
         step, "key string, elem string, hlc long", "deadline long", "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def settled(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """What a stream has given once all that is there now was read, as a table below ``folder``."""
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/at")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
