@@ -116,3 +116,14 @@ def lmove(lists: DataFrame, moves: DataFrame, from_left: bool, to_left: bool) ->
     taken = moves.join(popped.select(F.col("key").alias("src"), "value"), "src").select("src", "dst", "value")
     others = lists.join(moves.select(F.col("src").alias("key")), "key", "left_anti").select("key", "pos", "value")
     return push(left.unionByName(others), taken.select(F.col("dst").alias("key"), F.hash("src").alias("seq"), "value"), to_left), taken
+
+
+def blocking_pops(commands: DataFrame) -> DataFrame:
+    """(key, seq, value): what BLPOP on a recorded log (key, seq, op, value) of RPUSHes and pops gets, however long it waits.
+
+    A list served from its head gives its n-th element to its n-th pop, whichever came first.
+    """
+    nth = F.row_number().over(W.partitionBy("key", "op").orderBy("seq"))
+    rows = commands.withColumn("__n", nth)
+    pops, pushes = rows.where("op = 'pop'").select("key", "__n", "seq"), rows.where("op = 'push'").select("key", "__n", "value")
+    return pops.join(pushes, ["key", "__n"]).select("key", "seq", "value")

@@ -111,6 +111,31 @@ def validate(value: Column, descriptors: bytes, type_name: str) -> Column:
     return _mapped("boolean", descriptors, type_name, work)(value)
 
 
+def hset(hashes: DataFrame, writes: DataFrame, descriptors: bytes, type_name: str) -> tuple[DataFrame, DataFrame]:
+    """PROTO.HSET: hashes (key, field, value) after the writes (key, field, value, seq) that decode as the type, the
+    last of each field; and the writes that are refused."""
+    held, refused = _gated(writes, descriptors, type_name)
+    new = held.groupBy("key", "field").agg(F.max_by("value", "seq").alias("value"))
+    return hashes.select("key", "field", "value").join(new.select("key", "field"), ["key", "field"], "left_anti").unionByName(new), refused
+
+
+def sadd(sets: DataFrame, writes: DataFrame, descriptors: bytes, type_name: str) -> tuple[DataFrame, DataFrame]:
+    """PROTO.SADD: sets (key, member) with the members that decode as the type, and the writes that are refused."""
+    held, refused = _gated(writes.withColumnRenamed("member", "value"), descriptors, type_name)
+    new = held.select("key", F.col("value").alias("member"))
+    return sets.select("key", "member").unionByName(new).distinct(), refused.withColumnRenamed("value", "member")
+
+
+def _gated(writes: DataFrame, descriptors: bytes, type_name: str) -> tuple[DataFrame, DataFrame]:
+    step = writes.withColumn("__ok", F.coalesce(validate(F.col("value"), descriptors, type_name), F.lit(False)))
+    return step.where("__ok").drop("__ok"), step.where("NOT __ok").drop("__ok")
+
+
+def get(messages: DataFrame) -> DataFrame:
+    """PROTO.GET: the messages' bytes as they are stored."""
+    return messages.select("key", "value")
+
+
 def _field(message, name: str):
     d = message.DESCRIPTOR
     return d.fields_by_number.get(int(name)) if name.isdigit() else d.fields_by_name.get(name)
@@ -221,3 +246,12 @@ def decompose(value: Column, descriptors: bytes, type_name: str) -> Column:
 
     return _mapped("array<struct<number:int,value:string>>", descriptors, type_name, work)(value)
 
+
+
+def recompose(fields: DataFrame, descriptors: bytes, type_name: str) -> DataFrame:
+    """(key, value): messages from their fields (key, number, value) as ``decompose`` gives them; one message is one group."""
+    names = {f.number: f.json_name for f in message_class(descriptors, type_name).DESCRIPTOR.fields}
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    member = F.concat(F.lit('"'), F.try_element_at(known, F.col("number")), F.lit('":'), F.col("value"))
+    text = F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(member)), ","), F.lit("}"))
+    return fields.groupBy("key").agg(text.alias("__t")).select("key", set_json(F.col("__t"), descriptors, type_name).alias("value"))

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keyloom.functions.scalars import partition_id
+
 BUCKETS = 256
+#: Fixed value: how far a remote clock may lead.
+DRIFT_MS = 5000
 
 
 def _hash(*of: Column | str) -> Column:
@@ -50,3 +55,22 @@ def owners(nodes: list[str], partitions: DataFrame, replicas: int) -> DataFrame:
         F.transform(F.array(*map(F.lit, nodes)), lambda n: F.struct((-_hash(n, F.col("pid").cast("string"))).alias("h"), n.alias("node")))
     )
     return partitions.select("pid", F.posexplode(F.slice(ranked, 1, replicas)).alias("place", "r")).select("pid", F.col("r.node").alias("node"), "place")
+
+
+def clock(steps: DataFrame, drift_ms: int = DRIFT_MS) -> DataFrame:
+    """``steps`` (node, seq, wall_ms, remote) with ``hlc``, each node's clock after each step.
+
+    A step without ``remote`` sends: the clock is past its last value and not behind the wall. One with it
+    receives: the clock is past its last value and past the remote one, which counts for no more than
+    ``drift_ms`` ahead of the wall.
+    """
+    line = W.partitionBy("node").orderBy("seq")
+    limit = F.shiftleft(F.col("wall_ms") + drift_ms, 16)
+    least = F.when(F.col("remote").isNull(), F.shiftleft("wall_ms", 16)).otherwise(F.least("remote", limit) + 1)
+    nth = F.row_number().over(line).cast("bigint")
+    return steps.withColumn("__n", nth).withColumn("hlc", F.col("__n") + F.max(least - F.col("__n")).over(line)).drop("__n")
+
+
+def partition(records: DataFrame, *ids: int) -> DataFrame:
+    """The records of some partitions, as a node that joins copies them."""
+    return records.where(partition_id(F.col("key")).isin(*ids))

@@ -10,44 +10,122 @@ from pyspark.sql import DataFrame, SparkSession
 FAMILIES = {
     "strings": "strings", "hashes": "hashes", "sets": "sets", "sorted sets": "zsets", "lists": "lists", "streams": "streams", "sketches": "hll",
     "json": "json_docs", "protobuf": "proto", "budgets": "budgets", "keyspace": "keyspace", "pubsub": "pubsub", "scripts": "scripts", "merge": "merge",
-    "snapshots": "snapshot", "replicas": "replicas",
+    "snapshots": "snapshot", "replicas": "replicas", "transactions": "transactions",
 }
 
 
-#: Commands by module, with the function that answers each; where none is given it has the command's name.
-COMMANDS = {
-    "strings": "GET SET=set_values SETNX SETEX PSETEX=setex GETSET GETDEL GETEX APPEND STRLEN INCR=incrby DECR=incrby INCRBY DECRBY=incrby INCRBYFLOAT MGET MSET=set_values MSETNX SETRANGE GETRANGE SUBSTR=getrange",
-    "hashes": "HSET HMSET=hset HSETNX HGET HMGET HGETALL HDEL HGETDEL HEXPIRE HPEXPIRE=hexpire HEXPIREAT=hexpire HPEXPIREAT=hexpire HTTL HPTTL=httl HEXPIRETIME=httl HPEXPIRETIME=httl HPERSIST HGETEX HSETEX HEXISTS HLEN HKEYS HVALS HSTRLEN HINCRBY HINCRBYFLOAT HRANDFIELD HSCAN",
-    "sets": "SADD SREM SCARD SISMEMBER=smismember SMISMEMBER SMEMBERS SPOP SRANDMEMBER SSCAN SMOVE SUNION SINTER SDIFF SUNIONSTORE=store SINTERSTORE=store SDIFFSTORE=store SINTERCARD",
-    "zsets": "ZADD ZSCORE=zmscore ZMSCORE ZCARD ZINCRBY ZREM ZRANGE ZRANGEBYSCORE ZREVRANGEBYSCORE=zrangebyscore ZREVRANGE=zrange ZRANK ZREVRANK=zrank ZCOUNT ZLEXCOUNT ZPOPMIN=zpop ZPOPMAX=zpop ZMPOP ZRANDMEMBER ZRANGESTORE=store ZRANGEBYLEX ZREVRANGEBYLEX=zrangebylex "
-    "ZREMRANGEBYSCORE=zremrange ZREMRANGEBYRANK ZREMRANGEBYLEX=zremrange ZUNION ZUNIONSTORE=store ZINTER ZINTERSTORE=store ZDIFF ZDIFFSTORE=store ZINTERCARD ZSCAN",
-    "lists": "LPUSH=push RPUSH=push LPUSHX=push RPUSHX=push LPOP=pop RPOP=pop LLEN LRANGE LINDEX LSET LREM LTRIM LINSERT LPOS LMOVE RPOPLPUSH=lmove LMPOP",
-    "streams": "XADD XLEN XRANGE XREVRANGE=xrange XREAD XDEL XTRIM XSETID XINFO",
-    "hll": "PFADD PFCOUNT PFMERGE",
-    "json_docs": "JSON.SET=edit JSON.GET=json_get JSON.MGET=mget JSON.MSET=mset JSON.DEL=delete JSON.FORGET=delete JSON.TYPE=type_of JSON.NUMINCRBY=numincrby JSON.NUMMULTBY=numincrby JSON.STRAPPEND=strappend JSON.STRLEN=strlen JSON.ARRAPPEND=arrappend "
-    "JSON.ARRINDEX=arrindex JSON.ARRINSERT=arrinsert JSON.ARRLEN=arrlen JSON.ARRPOP=arrpop JSON.ARRTRIM=arrtrim JSON.OBJKEYS=objkeys JSON.OBJLEN=objlen JSON.TOGGLE=toggle JSON.CLEAR=clear JSON.MERGE=merge JSON.RESP=resp_text JSON.DEBUG=debug_memory",
-    "proto": "PROTO.SCHEMA=Registry PROTO.BIND=Registry PROTO.UNBIND=Registry PROTO.BINDINGS=Registry PROTO.SET=validate PROTO.GET=get_json PROTO.INFO=info PROTO.GETJSON=get_json PROTO.SETJSON=set_json PROTO.GETFIELD=get_field PROTO.SETFIELD=set_fields PROTO.CLEARFIELD=clear_fields "
-    "PROTO.HSET=validate PROTO.SADD=validate PROTO.HGETJSON=get_json PROTO.HGETFIELD=get_field",
-    "budgets": "BG.CREATE=create BG.TOPUP=topup BG.RESERVE=reserve BG.COMMIT=settle BG.RELEASE=settle BG.DRAW=draw BG.INFO=info BG.RECLAIM=reclaim",
-    "keyspace": "DEL=delete UNLINK=delete EXISTS TYPE=type_of TTL PTTL=ttl EXPIREMEMBER=expire_members EXPIREMEMBERAT=expire_members PEXPIREMEMBERAT=expire_members EXPIRE PEXPIRE=expire EXPIREAT=expire PEXPIREAT=expire EXPIRETIME=ttl PEXPIRETIME=ttl PERSIST KEYS SCAN RANDOMKEY RENAME "
-    "RENAMENX=rename COPY OBJECT=object_encoding TOUCH=exists DBSIZE FLUSHALL FLUSHDB=flushall INFO CLUSTER=slots",
-    "scripts": "EVAL=evaluate EVALSHA=ScriptRegistry SCRIPT=ScriptRegistry",
-    "pubsub": "PUBLISH=receivers PUBSUB=channels",
-    "server": "PING ECHO=ping COMMAND CONFIG=Settings TIME",
-    "live": "SUBSCRIBE UNSUBSCRIBE=subscribe PSUBSCRIBE PUNSUBSCRIBE=psubscribe BLPOP=blocking_pop BRPOP=blocking_pop BLMPOP=blocking_pop BLMOVE=blocking_move BRPOPLPUSH=blocking_move BZPOPMIN=blocking_zpop BZPOPMAX=blocking_zpop BZMPOP=blocking_zpop REPLICAOF=merge_into_table",
-}
+#: Commands by module that the function of their own name answers.
+OWN = {
+    "strings": (
+        "GET", "SETNX", "SETEX", "GETSET", "GETDEL", "GETEX", "APPEND", "STRLEN", "INCRBY", "INCRBYFLOAT", "MGET", "MSETNX", "SETRANGE", "GETRANGE",
+    ),
+    "hashes": (
+        "HSET", "HSETNX", "HGET", "HMGET", "HGETALL", "HDEL", "HGETDEL", "HEXPIRE", "HTTL", "HPERSIST", "HGETEX", "HSETEX", "HEXISTS", "HLEN", "HKEYS",
+        "HVALS", "HSTRLEN", "HINCRBY", "HINCRBYFLOAT", "HRANDFIELD", "HSCAN",
+    ),
+    "sets": (
+        "SADD", "SREM", "SCARD", "SMISMEMBER", "SMEMBERS", "SPOP", "SRANDMEMBER", "SSCAN", "SMOVE", "SUNION", "SINTER", "SDIFF", "SINTERCARD",
+    ),
+    "zsets": (
+        "ZADD", "ZMSCORE", "ZCARD", "ZINCRBY", "ZREM", "ZRANGE", "ZRANGEBYSCORE", "ZRANK", "ZCOUNT", "ZLEXCOUNT", "ZMPOP", "ZRANDMEMBER", "ZRANGEBYLEX",
+        "ZREMRANGEBYRANK", "ZUNION", "ZINTER", "ZDIFF", "ZINTERCARD", "ZSCAN",
+    ),
+    "lists": (
+        "LLEN", "LRANGE", "LINDEX", "LSET", "LREM", "LTRIM", "LINSERT", "LPOS", "LMOVE", "LMPOP",
+    ),
+    "streams": (
+        "XADD", "XLEN", "XRANGE", "XREAD", "XDEL", "XTRIM", "XSETID", "XINFO",
+    ),
+    "hll": (
+        "PFADD", "PFCOUNT", "PFMERGE",
+    ),
+    "keyspace": (
+        "EXISTS", "TTL", "EXPIRE", "PERSIST", "KEYS", "SCAN", "RANDOMKEY", "RENAME", "COPY", "DBSIZE", "FLUSHALL", "INFO",
+    ),
+    "server": (
+        "PING", "COMMAND", "TIME",
+    ),
+    "live": (
+        "SUBSCRIBE", "PSUBSCRIBE",
+    ),
+}
+#: Commands by module that another function answers.
+OTHER = {
+    "strings": {
+        "SET": "set_values", "PSETEX": "setex", "INCR": "incrby", "DECR": "incrby", "DECRBY": "incrby", "MSET": "set_values", "SUBSTR": "getrange",
+    },
+    "hashes": {
+        "HMSET": "hset", "HPEXPIRE": "hexpire", "HEXPIREAT": "hexpire", "HPEXPIREAT": "hexpire", "HPTTL": "httl", "HEXPIRETIME": "httl",
+        "HPEXPIRETIME": "httl",
+    },
+    "sets": {
+        "SISMEMBER": "smismember", "SUNIONSTORE": "store", "SINTERSTORE": "store", "SDIFFSTORE": "store",
+    },
+    "zsets": {
+        "ZSCORE": "zmscore", "ZREVRANGEBYSCORE": "zrangebyscore", "ZREVRANGE": "zrange", "ZREVRANK": "zrank", "ZPOPMIN": "zpop", "ZPOPMAX": "zpop",
+        "ZRANGESTORE": "store", "ZREVRANGEBYLEX": "zrangebylex", "ZREMRANGEBYSCORE": "zremrange", "ZREMRANGEBYLEX": "zremrange", "ZUNIONSTORE": "store",
+        "ZINTERSTORE": "store", "ZDIFFSTORE": "store",
+    },
+    "lists": {
+        "LPUSH": "push", "RPUSH": "push", "LPUSHX": "push", "RPUSHX": "push", "LPOP": "pop", "RPOP": "pop", "RPOPLPUSH": "lmove",
+    },
+    "streams": {
+        "XREVRANGE": "xrange",
+    },
+    "json_docs": {
+        "JSON.SET": "edit", "JSON.GET": "json_get", "JSON.MGET": "mget", "JSON.MSET": "mset", "JSON.DEL": "delete", "JSON.FORGET": "delete",
+        "JSON.TYPE": "type_of", "JSON.NUMINCRBY": "numincrby", "JSON.NUMMULTBY": "numincrby", "JSON.STRAPPEND": "strappend", "JSON.STRLEN": "strlen",
+        "JSON.ARRAPPEND": "arrappend", "JSON.ARRINDEX": "arrindex", "JSON.ARRINSERT": "arrinsert", "JSON.ARRLEN": "arrlen", "JSON.ARRPOP": "arrpop",
+        "JSON.ARRTRIM": "arrtrim", "JSON.OBJKEYS": "objkeys", "JSON.OBJLEN": "objlen", "JSON.TOGGLE": "toggle", "JSON.CLEAR": "clear",
+        "JSON.MERGE": "merge", "JSON.RESP": "resp_text", "JSON.DEBUG": "debug_memory",
+    },
+    "proto": {
+        "PROTO.SCHEMA": "Registry", "PROTO.BIND": "Registry", "PROTO.UNBIND": "Registry", "PROTO.BINDINGS": "Registry", "PROTO.SET": "validate",
+        "PROTO.GET": "get", "PROTO.INFO": "info", "PROTO.GETJSON": "get_json", "PROTO.SETJSON": "set_json", "PROTO.GETFIELD": "get_field",
+        "PROTO.SETFIELD": "set_fields", "PROTO.CLEARFIELD": "clear_fields", "PROTO.HSET": "hset", "PROTO.SADD": "sadd", "PROTO.HGETJSON": "get_json",
+        "PROTO.HGETFIELD": "get_field",
+    },
+    "budgets": {
+        "BG.CREATE": "create", "BG.TOPUP": "topup", "BG.RESERVE": "reserve", "BG.COMMIT": "settle", "BG.RELEASE": "settle", "BG.DRAW": "draw",
+        "BG.INFO": "info", "BG.RECLAIM": "reclaim",
+    },
+    "keyspace": {
+        "DEL": "delete", "UNLINK": "delete", "TYPE": "type_of", "PTTL": "ttl", "EXPIREMEMBER": "expire_members", "EXPIREMEMBERAT": "expire_members",
+        "PEXPIREMEMBERAT": "expire_members", "PEXPIRE": "expire", "EXPIREAT": "expire", "PEXPIREAT": "expire", "EXPIRETIME": "ttl",
+        "PEXPIRETIME": "ttl", "RENAMENX": "rename", "OBJECT": "object_encoding", "TOUCH": "exists", "FLUSHDB": "flushall", "CLUSTER": "slots",
+    },
+    "scripts": {
+        "EVAL": "evaluate", "EVALSHA": "ScriptRegistry", "SCRIPT": "ScriptRegistry",
+    },
+    "pubsub": {
+        "PUBLISH": "receivers", "PUBSUB": "channels",
+    },
+    "server": {
+        "ECHO": "ping", "CONFIG": "Settings",
+    },
+    "live": {
+        "UNSUBSCRIBE": "subscribe", "PUNSUBSCRIBE": "psubscribe", "BLPOP": "blocking_pop", "BRPOP": "blocking_pop", "BLMPOP": "blocking_pop",
+        "BLMOVE": "blocking_move", "BRPOPLPUSH": "blocking_move", "BZPOPMIN": "blocking_zpop", "BZPOPMAX": "blocking_zpop", "BZMPOP": "blocking_zpop",
+        "REPLICAOF": "merge_into_table", "SLAVEOF": "merge_into_table",
+    },
+    "transactions": {
+        "MULTI": "executed", "EXEC": "executed", "DISCARD": "executed",
+    },
+    "merge": {
+        "DEBUG": "counter_state",
+    },
+}
 
 
 def answered_by(command: str):
     """The function or class that answers a command; KeyError for one that has no place here."""
     import importlib
 
-    for module, names in COMMANDS.items():
-        for entry in names.split():
-            name, _, function = entry.partition("=")
-            if name == command.upper():
-                home = importlib.import_module(f"keyloom.{'streaming' if module == 'live' else 'operators'}.{module}")
-                return getattr(home, function or name.lower())
+    name = command.upper()
+    for module in {**OWN, **OTHER}:
+        function = OTHER.get(module, {}).get(name, name.lower() if name in OWN.get(module, ()) else None)
+        if function:
+            return getattr(importlib.import_module(f"keyloom.{'streaming' if module == 'live' else 'operators'}.{module}"), function)
     raise KeyError(command)
 
 

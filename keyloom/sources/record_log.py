@@ -77,7 +77,11 @@ def read_commands(spark: SparkSession, path: str) -> DataFrame:
 
 
 def commands_to_records(commands: DataFrame, now_ms: int, origin: int) -> DataFrame:
-    """Records of the write commands SET, DEL, HSET, HDEL, SADD and SREM of a command log."""
+    """Records of the write commands SET, DEL, HSET, HDEL, SADD and SREM of a command log.
+
+    A command without a record form is an error, so filter others out first. DEL is a tombstone of kind
+    ``string``, from which ``heads_of`` makes the clock that buries the key's elements of every kind.
+    """
     one = lambda kind, elem, value, tomb: F.array(F.struct(F.lit(kind).alias("kind"), elem.alias("elem"), value.alias("value"), F.lit(tomb).alias("tomb")))
     args, none = F.col("args"), F.lit(None).cast("string")
     pairs = F.transform(
@@ -89,6 +93,14 @@ def commands_to_records(commands: DataFrame, now_ms: int, origin: int) -> DataFr
     records = (
         F.when(cmd == "SET", one("string", F.lit(""), F.get(args, F.lit(0)), False)).when(cmd == "DEL", one("string", F.lit(""), none, True))
         .when(cmd == "HSET", pairs).when(cmd == "HDEL", every("hash", True)).when(cmd == "SADD", every("set", False)).when(cmd == "SREM", every("set", True))
+        .otherwise(F.raise_error(F.concat(F.lit("no records for command "), F.coalesce(cmd, F.lit("null")))))
     )
     rows = commands.select("key", "seq", F.posexplode(records).alias("nth", "r")).select("key", "seq", "nth", "r.*")
     return stamp(rows, now_ms, origin, ["seq", "nth"]).drop("seq", "nth").withColumn("ttl_ms", F.lit(0).cast("long"))
+
+
+def heads_of(records: DataFrame) -> DataFrame:
+    """The heads that DELs leave, for ``snapshot.visible``: all that a key held up to its last one is dead."""
+    gone = records.where("kind = 'string' AND tomb").groupBy("key").agg(F.max("hlc").alias("hlc"))
+    zero = F.lit(0).cast("long")
+    return gone.select("key", "hlc", F.lit(0).alias("origin"), F.col("hlc").alias("del_hlc"), F.lit(False).alias("tomb"), zero.alias("ttl_ms"))

@@ -112,6 +112,82 @@ def test_json(spark):
     assert json_docs.resp({"a": [1, True, 1.5]}) == ["{", "a", ["[", 1, "true", "1.5"]]
 
 
+def test_json_answers_are_json(spark):
+    """Every path's answer is a JSON text: strings quoted, null as null, whole floats without a fraction."""
+    import json
+
+    text = '{"a":1,"b":[true,null,"s"],"q":"x\\"y","f":1.0,"h":1.5,"n":null,"o":{"z":1,"c":"\\u00e9"}}'
+    docs = spark.createDataFrame([("d", text), ("bad", "{oops"), ("none", None)], "key string, doc string")
+    get = lambda p, *form: docs.where("key = 'd'").select(json_get(F.col("doc"), p, *form)).collect()[0][0]
+    whole = json.loads(text)
+    assert json.loads(get(".")) == whole and json.loads(get("$")) == [whole] and get("q") == '"x\\"y"' and get("$.q") == '["x\\"y"]'
+    assert get("n") == "null" and get("$.n") == "[null]" and get("f") == "1" and get("$.f") == "[1]" == get("$..f") and get("h") == "1.5"
+    assert get("b[2]") == '"s"' and get("$.b[9]") == "[]" and get("b[9]") is None and get("o") == '{"c":"é","z":1}'
+    assert get("o", "\t", "\n", " ") == '{\n\t"c": "é",\n\t"z": 1\n}' and get("$.zz", " ", "\n") == "[]"
+    for path in ("a", "$.a", "$..a"):
+        assert [r[0] for r in docs.where("key <> 'd'").select(json_get(F.col("doc"), path)).collect()] == [None, None]
+    found = {r.key: r.value for r in json_docs.get_many(docs, ["q", "$.a", "zz", "n"]).collect()}
+    assert found == {"d": '{"$.a":[1],"n":null,"q":"x\\"y","zz":null}', "bad": None, "none": None}
+
+
+def test_json_numbers(spark):
+    docs = spark.createDataFrame([('{"s":"5","i":1,"f":1.5,"b":9223372036854775807,"e":1e21,"d":0.1,"m":12345678.25,"a":[1]}',)], "doc string")
+    step = lambda p, by, times=False: docs.select(json_docs.numincrby(F.col("doc"), p, by, times)).collect()[0][0]
+    assert step("s", 1) is None and step("$.s", 1) == "[null]" and step("$.zz", 1) == "[]" and step("a", 1) is None
+    assert step("i", 2) == "3" and step("$.i", -4) == "[-3]" and step("f", 0.5) == "2" and step("f", 2, True) == "3" and step("f", 0.25) == "1.75"
+    assert float(step("b", 1)) == 2.0**63 and step("e", 1) == "1e21" and step("d", 0.2) == "0.30000000000000004" and step("m", 0.5) == "12345678.75"
+
+
+def test_json_build(spark):
+    texts = ['{"a":{"b":[1,[],{"c":"x\\"y"}],"d":null},"e":{},"f":[true]}', "3", "[]", "{}", "null", '["z",{"k":[[2]]}]']
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, doc string")
+    rows = docs.select("key", F.inline(json_docs.decompose("doc")))
+    assert {r.key: r.doc for r in json_docs.build(rows.repartition(5)).collect()} == {str(i): t for i, t in enumerate(texts)}
+    assert json_docs.build(rows.limit(0)).count() == 0
+
+
+def test_transactions(spark):
+    from keyloom.operators import transactions
+
+    log = [(1, "SET"), (2, "MULTI"), (3, "GET"), (4, "MULTI"), (5, "SET"), (6, "EXEC"), (7, "GET"), (8, "MULTI"), (9, "SET"), (10, "DISCARD"), (11, "EXEC"), (12, "SET"), (13, "MULTI"), (14, "GET")]
+    rows = spark.createDataFrame([("s", n, c, "k", []) for n, c in log], "session string, seq long, cmd string, key string, args array<string>")
+    assert sorted((r.at, r.seq) for r in transactions.executed(rows.repartition(3)).collect()) == [(1, 1), (6, 3), (6, 5), (7, 7), (12, 12)]
+
+
+def test_clock(spark):
+    from keyloom.operators import replicas
+
+    steps = [("n", 1, 100, None), ("n", 2, 100, None), ("n", 3, 100, (103 << 16) + 7), ("n", 4, 101, None), ("n", 5, 101, 1 << 60), ("n", 6, 90, None), ("m", 1, 5, 9)]
+    got = [r.hlc for r in replicas.clock(spark.createDataFrame(steps, "node string, seq long, wall_ms long, remote long")).orderBy("node", "seq").collect()]
+    last, want = {}, []
+    for node, _, wall, remote in sorted(steps[:6]) :
+        prev = last.get(node, 0)
+        last[node] = max(prev + 1, wall << 16) if remote is None else max(prev, min(remote, (wall + replicas.DRIFT_MS) << 16)) + 1
+        want.append(last[node])
+    assert got[1:] == want and got[0] == 10
+
+
+def test_proto_collections(spark):
+    from google.protobuf import descriptor_pb2
+
+    from keyloom.operators import proto
+
+    kinds = descriptor_pb2.FieldDescriptorProto
+    file = descriptor_pb2.FileDescriptorProto(name="t.proto", package="t", syntax="proto3")
+    message = file.message_type.add(name="M")
+    for number, (name, kind, label) in enumerate((("id", kinds.TYPE_STRING, kinds.LABEL_OPTIONAL), ("tags", kinds.TYPE_STRING, kinds.LABEL_REPEATED), ("big_one", kinds.TYPE_INT64, kinds.LABEL_OPTIONAL)), 1):
+        message.field.add(name=name, number=number, type=kind, label=label)
+    held = descriptor_pb2.FileDescriptorSet(file=[file]).SerializeToString()
+    rows = spark.createDataFrame([("a", '{"id":"x","tags":["p","q"],"bigOne":"9"}'), ("b", "{}")], "key string, j string").select("key", proto.set_json(F.col("j"), held, "t.M").alias("value"))
+    fields = rows.select("key", F.inline(proto.decompose(F.col("value"), held, "t.M")))
+    assert {r.key: bytes(r.value) for r in proto.recompose(fields, held, "t.M").collect()} == {r.key: bytes(r.value) for r in rows.where("key = 'a'").collect()}
+    writes = rows.select("key", F.lit("f").alias("field"), "value", F.lit(1).alias("seq")).unionByName(spark.createDataFrame([("a", "g", bytearray(b"\xff\xff"), 2)], "key string, field string, value binary, seq int"))
+    after, refused = proto.hset(writes.limit(0), writes, held, "t.M")
+    assert sorted((r.key, r.field) for r in after.collect()) == [("a", "f"), ("b", "f")] and [(r.key, r.field) for r in refused.collect()] == [("a", "g")]
+    members, refused = proto.sadd(rows.limit(0).withColumnRenamed("value", "member"), writes.select("key", F.col("value").alias("member")), held, "t.M")
+    assert members.count() == 2 and refused.count() == 1 and proto.get(rows).columns == ["key", "value"]
+
+
 def test_budgets(spark):
     shares = spark.createDataFrame([("b", "n0", 50)], "key string, node string, alloc long")
     asks = spark.createDataFrame([("b", "n0", i, 10) for i in range(10)], "key string, node string, seq long, amount long")
@@ -150,7 +226,7 @@ def test_keyspace_bindings_scripts_server(spark):
 
 def test_every_command_has_an_answer():
     pytest.importorskip("google.protobuf")
-    names = [entry.partition("=")[0] for listed in server.COMMANDS.values() for entry in listed.split()]
+    names = [name for listed in (*server.OWN.values(), *server.OTHER.values()) for name in listed]
     assert len(names) == len(set(names)) > 200 and all(callable(server.answered_by(n)) for n in names)
     with pytest.raises(KeyError):
         server.answered_by("AUTH")

@@ -84,3 +84,19 @@ def test_rga(spark):
     for order in (rows, rows[::-1], rows + rows):
         got = [r.value for r in merge.rga(spark.createDataFrame(order, schema)).orderBy("nth").collect()]
         assert got == ["x", "a", "e", "b"]
+
+
+def test_equal_versions_do_not_depend_on_arrival(spark):
+    """Different payloads of one version: the same one wins in every order."""
+    rows = [("k", "e", v, 5, 1) for v in "hgfedcba"]
+    schema = "key string, elem string, value string, hlc long, origin int"
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        frame = spark.createDataFrame(order, schema)
+        assert merge.lww(frame, ["key", "elem"]).collect()[0].value == "h"
+        assert merge.or_elements(frame, frame.limit(0)).collect()[0].value == "h"
+    tokens = [("k", "t", r, 5, 1, a) for r, a in ((1, 3), (2, 8), (2, 9), (0, 99))]
+    for order in (tokens, tokens[::-1]):
+        assert merge.budget_tokens(spark.createDataFrame(order, "key string, token string, rank int, hlc long, origin int, amount int")).collect()[0].amount == 9
+    nodes = [("d", 1, 0, 0, 0, v, False) for v in "abc"]
+    for order in (nodes, nodes[::-1]):
+        assert [r.value for r in merge.rga(spark.createDataFrame(order, "key string, hlc long, origin int, left_hlc long, left_origin int, value string, tomb boolean")).collect()] == ["c"]
