@@ -114,8 +114,9 @@ def _(spark, d):
 def _(spark, d):
     held = brands(spark, d)
     names = held.select("key").distinct()
-    # Every brand with every later one: a fixed, short list of brands.
-    listed = names.groupBy().agg(F.array_sort(F.collect_list("key")).alias("k"))
+    # Every brand with every later one: a short list of brands; a long one is an error, not a large array.
+    listed = names.limit(1001).groupBy().agg(F.array_sort(F.collect_list("key")).alias("k"))
+    listed = listed.select(F.when(F.size("k") <= 1000, F.col("k")).otherwise(F.raise_error(F.lit("more than 1000 sets to pair"))).alias("k"))
     pairs = listed.select(F.posexplode("k").alias("i", "a"), "k").select("a", F.explode(F.expr("slice(k, i + 2, size(k))")).alias("b"))
     return sets.algebra_by_pairs(held, pairs)
 

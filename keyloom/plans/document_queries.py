@@ -31,25 +31,29 @@ def dealt(spark, d):
 K = "'order:' || o_orderkey AS key"
 
 
-@query("json_get_static", f"SELECT {K}, o_orderstatus AS code, (o_custkey + 1)::VARCHAR AS second, NULL::VARCHAR AS missing FROM orders")
+@query("json_get_static", f"SELECT {K}, '\"' || o_orderstatus || '\"' AS code, (o_custkey + 1)::VARCHAR AS second, NULL::VARCHAR AS missing, '[' || o_orderkey || ']' AS id, '[]' AS none FROM orders WHERE json_valid('\"' || o_orderstatus || '\"')")
 def _(spark, d):
     get = lambda p: json_docs.json_get(F.col("doc"), p)
-    return docs(spark, d).select("key", get("status.code").alias("code"), get("nums[1]").alias("second"), get("zz").alias("missing"))
+    return docs(spark, d).select("key", get("status.code").alias("code"), get("nums[1]").alias("second"), get("zz").alias("missing"), get("$.id").alias("id"), get("$.zz").alias("none"))
 
 
-@query("json_get_dynamic", f"SELECT {K}, '[\"' || o_orderstatus || '\"]' AS code, '[7]' AS last, '[' || o_custkey || ',' || (o_custkey + 1) || ']' AS big FROM orders WHERE o_custkey > 7")
+@query("json_get_dynamic", f"SELECT {K}, '[\"' || o_orderstatus || '\"]' AS code, '[7]' AS last, '[' || array_to_string(list_filter([o_custkey, o_custkey + 1], lambda x: x > 7), ',') || ']' AS big FROM orders")
 def _(spark, d):
     get = lambda p: json_docs.json_get(F.col("doc"), p)
-    rows = dealt(spark, d).select("key", get("$..code").alias("code"), get("$.nums[-1]").alias("last"), get("$.nums[?(@>7)]").alias("big"), "doc")
-    return rows.where(F.get_json_object("doc", "$.nums[0]").cast("bigint") > 7).drop("doc")
+    return dealt(spark, d).select("key", get("$..code").alias("code"), get("$.nums[-1]").alias("last"), get("$.nums[?(@>7)]").alias("big"))
 
 
-@query("json_get_many", f"SELECT {K}, '{{\"priority\":' || o_orderpriority || ',\"status.code\":' || o_orderstatus || '}}' AS value FROM orders")
+@query("json_get_many", f"SELECT key, value FROM (SELECT {K}, '{{\"$.id\":[' || o_orderkey || '],\"priority\":\"' || o_orderpriority || '\",\"status.code\":\"' || o_orderstatus || '\",\"zz\":null}}' AS value FROM orders) WHERE json_valid(value)")
 def _(spark, d):
-    return json_docs.get_many(docs(spark, d), ["priority", "status.code"])
+    return json_docs.get_many(docs(spark, d), ["priority", "status.code", "zz", "$.id"])
 
 
-@query("json_mget", "SELECT o_orderkey AS seq, 'order:' || (o_orderkey * 2) AS key, (SELECT x.o_orderstatus FROM orders x WHERE x.o_orderkey = orders.o_orderkey * 2) AS value FROM orders")
+@query("json_get_pretty", f"SELECT {K}, '{{' || chr(10) || '  \"code\": \"' || o_orderstatus || '\",' || chr(10) || '  \"even\": ' || (CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END) || chr(10) || '}}' AS status FROM orders")
+def _(spark, d):
+    return dealt(spark, d).select("key", json_docs.json_get(F.col("doc"), "status", "  ", "\n", " ").alias("status"))
+
+
+@query("json_mget", "SELECT o_orderkey AS seq, 'order:' || (o_orderkey * 2) AS key, (SELECT '\"' || x.o_orderstatus || '\"' FROM orders x WHERE x.o_orderkey = orders.o_orderkey * 2) AS value FROM orders")
 def _(spark, d):
     wanted = ks.table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("order:"), (F.col("o_orderkey") * 2).cast("string")).alias("key"))
     return json_docs.mget(docs(spark, d), wanted, "status.code")
@@ -61,10 +65,10 @@ def _(spark, d):
     return docs(spark, d).select("key", kind("$.id").alias("id"), kind("$.status").alias("status"), kind("$.status.even").alias("even"), kind("$.nums").alias("nums"), kind("$.priority").alias("priority"), kind("$.zz").alias("missing"))
 
 
-@query("json_numincrby", f"SELECT {K}, (o_orderkey + 5)::VARCHAR AS added, (o_orderkey * 3)::VARCHAR AS multiplied, NULL::VARCHAR AS none FROM orders")
+@query("json_numincrby", f"SELECT {K}, '[' || (o_orderkey + 5) || ']' AS added, (o_orderkey * 3)::VARCHAR AS multiplied, '[null]' AS none, '[]' AS missing, o_orderkey || '.5' AS half FROM orders")
 def _(spark, d):
     step = lambda p, n, t=False: json_docs.numincrby(F.col("doc"), p, n, t)
-    return docs(spark, d).select("key", step("$.id", 5).alias("added"), step("$.id", 3, True).alias("multiplied"), step("$.priority", 1).alias("none"))
+    return docs(spark, d).select("key", step("$.id", 5).alias("added"), step("id", 3, True).alias("multiplied"), step("$.priority", 1).alias("none"), step("$.zz", 1).alias("missing"), step("id", 0.5).alias("half"))
 
 
 @query("json_objkeys", f"SELECT {K}, 'id,nums,priority,status' AS keys, 2 AS inner_length FROM orders")
@@ -119,6 +123,12 @@ def _(spark, d):
     return dealt(spark, d).select("key", F.inline(json_docs.decompose("doc")))
 
 
+@query("json_build", f"SELECT {K}, {doc_sql()} AS doc FROM orders")
+def _(spark, d):
+    """Documents read back from their nodes."""
+    return json_docs.build(dealt(spark, d).select("key", F.inline(json_docs.decompose("doc"))))
+
+
 # Budgets
 
 

@@ -20,13 +20,13 @@ def merged(spark, d):
 
 
 def field_requests(spark, d):
-    """Every tenth event asks for the field `view` of a user, some of whom don't exist."""
-    return ks.table(spark, d, "events").where(F.col("event_id") % 10 == 0).select(
+    """Every event asks for the field `view` of a user, some of whom don't exist."""
+    return ks.table(spark, d, "events").select(
         F.col("event_id").alias("seq"), F.concat(F.lit("user:"), (F.col("user_id") + F.col("event_id") % 7).cast("string")).alias("key"), F.lit("view").alias("field")
     )
 
 
-FIELD_REQUESTS = "(SELECT event_id AS seq, 'user:' || (user_id + event_id % 7) AS key, 'view' AS field FROM events WHERE event_id % 10 = 0)"
+FIELD_REQUESTS = "(SELECT event_id AS seq, 'user:' || (user_id + event_id % 7) AS key, 'view' AS field FROM events)"
 CUST_REQUESTS = "(SELECT o_orderkey AS seq, 'cust:' || (o_custkey + o_orderkey % 3 * 1000) AS key FROM orders)"
 
 

@@ -171,6 +171,22 @@ def _(spark, d):
     return snapshot.visible(state, 2000).select("key", "elem", "value")
 
 
+@query(
+    "command_log_del",
+    "WITH e AS (SELECT 'u:' || user_id AS key, event_type AS field, event_id FROM events) SELECT key, field AS elem, max(event_id % 10)::VARCHAR AS value FROM (SELECT e.*, row_number() OVER (PARTITION BY key, field ORDER BY event_id DESC) AS n FROM e "
+    "WHERE event_id > coalesce((SELECT max(x.event_id) FROM e x WHERE x.key = e.key AND x.field = 'error'), -1)) WHERE n = 1 GROUP BY ALL",
+)
+def _(spark, d):
+    """HSET of each event's type, and DEL of the whole hash with each error."""
+    e = ks.table(spark, d, "events")
+    key = F.concat(F.lit("u:"), F.col("user_id").cast("string"))
+    puts = e.where("event_type <> 'error'").select(F.col("event_id").alias("seq"), F.lit("HSET").alias("cmd"), key.alias("key"), F.array("event_type", (F.col("event_id") % 10).cast("string")).alias("args"))
+    drops = e.where("event_type = 'error'").select(F.col("event_id").alias("seq"), F.lit("del").alias("cmd"), key.alias("key"), F.array().cast("array<string>").alias("args"))
+    records = record_log.commands_to_records(puts.unionByName(drops), now_ms=1000, origin=0)
+    state = merge.lww(records, ["key", "kind", "elem"], ["value"])
+    return snapshot.visible(state, 2000, record_log.heads_of(records)).select("key", "elem", "value")
+
+
 @query("expire_members", f"SELECT key, field AS elem, CASE WHEN field = 'view' THEN {NOW + 1} ELSE ttl_ms END AS ttl_ms FROM hm WHERE field <> 'error'")
 def _(spark, d):
     held = merged(spark, d).withColumnRenamed("field", "elem")

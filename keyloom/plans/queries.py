@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collection_queries, document_queries, hash_string_queries, more_queries  # noqa: F401  (they register)
+from . import collection_queries, document_queries, hash_string_queries, live_queries, more_queries  # noqa: F401  (they register)
 from .registry import ORACLES, QUERIES
 
 
