@@ -2,56 +2,92 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keyloom.sources.folders import shared_dir
 from keyloom.sources.keyspaces import spread
 
-__all__ = ["SPACE_CLASS", "bucket_of", "cut", "read_table", "shared_dir", "spread", "sweep", "words"]
+__all__ = ["SPACE_CLASS", "bucket_of", "cut", "drop", "numbered", "read_table", "scope", "shared_dir", "spread", "sweep", "words"]
 
 #: The white space that parts words, as a character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+_made: ContextVar[list[str] | None] = ContextVar("tables made in the innermost scope", default=None)
 
-    Where the setting is absent (tests in one process), a local folder is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        found = context.getCheckpointDir()
-        if not found:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="keyloom-"))
-            found = context.getCheckpointDir()
-    return found
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Collects the paths of the tables that ``cut`` writes inside, for ``drop`` once nothing reads them."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which ends its lineage.
 
-    Rows come back from storage that outlives every executor, compressed and by column.
+    Rows come back from storage that outlives every executor, compressed and by column. The shuffle files
+    that led to them go as soon as they are written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keyloom-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Delete tables that ``cut`` has written; results read from them must be stored first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    found = [hadoop.Path(p) for p in paths]
+    return sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True) for p in found)
+
+
 def sweep(spark: SparkSession) -> int:
-    """Delete the tables that ``cut`` has written for this application; results read from them must be stored first."""
+    """``drop`` all tables that ``cut`` has written for this application."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     pattern = hadoop.Path(f"{shared_dir(spark)}/keyloom-{spark.sparkContext.applicationId}-*")
     system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sum(system.delete(status.getPath(), True) for status in system.globStatus(pattern))
+    return drop(spark, [status.getPath().toString() for status in system.globStatus(pattern)])
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], to: str) -> DataFrame:
+    """``rows`` with ``to``, counting from 0 within each group of ``keys`` (nulls are equal); no group is counted by one task.
+
+    Which of a group's rows gets which number depends on how they are dealt to tasks, so use it to count
+    alike rows only. The rows are written first, so that numbers hold however often they are read.
+    """
+    held = cut(rows.withColumn("__number_salt", F.spark_partition_id()))
+    sums = held.groupBy(*keys, "__number_salt").agg(F.count("*").alias("__number_n"))
+    before = F.sum("__number_n").over(W.partitionBy(*keys).orderBy("__number_salt")) - F.col("__number_n")
+    base = sums.select(*[F.col(k).alias(f"__number_k{i}") for i, k in enumerate(keys)], F.col("__number_salt").alias("__number_s"), before.alias("__number_before"))
+    nth = held.withColumn("__number_nth", F.row_number().over(W.partitionBy(*keys, "__number_salt").orderBy(F.lit(0))) - 1)
+    same = F.col("__number_salt") == F.col("__number_s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__number_k{i}"))
+    return nth.join(base, same).select(*rows.columns, (F.col("__number_nth") + F.col("__number_before")).cast("long").alias(to))
 
 
 def words(text: Column) -> Column:
