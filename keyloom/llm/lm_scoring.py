@@ -6,19 +6,27 @@ level 1, 2, ... until one fails gives the level back, so a false positive can on
 one, seldom. The pair model is smoothed by the word model (Dirichlet): with counts read from levels,
 P(w | v) = (c(v, w) + mu P(w)) / (c(v) + mu), P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 
-Scale. Words are hashed to 64 bits in Arrow batches. N-grams are counted by slice of their hash;
-the number of slices follows the input, so a slice has the same size whatever the corpus. Each slice
+Counts are read from levels as the middle of the counts that share one, and N is their sum, so P(w)
+sums to one over the vocabulary and one unknown word but for false positives; P(w | v) sums to one up
+to that quantisation. No probability exceeds one, whatever the filter answers.
+
+Scale. Words are hashed to 64 bits in Arrow batches. N-grams are counted by slice, a range of the
+hash; the number of slices follows the input, so a slice has the same size whatever the corpus, and
+within it 32 bits of the hash tell pairs apart (some two in ten thousand share theirs, far fewer than
+the filter's false positives). Each slice
 builds its own part of the filter, sized by its keys: ``bits_per_key`` of them whatever the corpus. A
 filter of ``max_filter_bytes`` at most goes to all tasks. A larger one stays in its slices: each piece
 of texts sends its distinct words and pairs to their slices, probes them there, and gets levels and
-exact counts back, so that scores are the same on either way.
+exact counts back, so that scores are the same on either way. Hashes travel sorted, as gaps, and a
+text's words as places by frequency, both byte by byte across values: about three bytes a pair.
 Exact counts for the base score, beside a broadcast filter: words with at least 1 in ``heavy`` of all
 training tokens, of which there can be ``heavy`` at most, are sent to all tasks; a text's other words
 go to their slice, are looked up there, and come back summed by text. No hot word ever moves once per occurrence.
 
 Defined results: a null text counts as empty; an empty text is one end token; without training
-tokens every count is 0; repeated rows are scored one by one; a null id counts as not held out; an
-empty table gives an empty result; other columns play no part.
+tokens every count is 0; repeated rows are scored one by one; a null id counts as not held out; texts
+are counted and scored whole at any length, a piece of texts growing to hold a long one; there are no
+ties, as each text's score is its own; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -44,13 +52,49 @@ MAX_LEVEL = 48
 
 @dataclass(frozen=True)
 class Settings:
-    max_filter_bytes: int = 64 << 20
+    max_filter_bytes: int = 8 << 20
     bits_per_key: int = 10
     heavy: int = 20_000
     mu: float = 40.0
     slice_bytes: int = 6 << 20
 
 
+CODE_BYTES = 4
+
+
+def slice_of(grams: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each hash; slices are ranges, so sorted hashes have sorted slices."""
+    return ((grams >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+
+
+def codes_of(grams: np.ndarray, slices: int) -> np.ndarray:
+    """32 bits that tell a slice's hashes apart, in the order of the hashes."""
+    first = ((slice_of(grams, slices) << np.uint64(32)) + np.uint64(slices - 1)) // np.uint64(slices) << np.uint64(32)
+    return (grams - first) >> np.uint64(max(0, 66 - slices.bit_length() - 8 * CODE_BYTES))
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value, the first byte of all before the second: what values share compresses."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Values in order, as their gaps in as few bytes as the largest needs."""
+    gaps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return bytes([width]) + planes(gaps, width)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data[1:], data[0]), dtype=np.uint64)
+
+
 @dataclass
 class Filter:
     """Parts of a Bloom filter, one for each slice of hashes, laid end to end (32-bit cells)."""
@@ -59,29 +103,33 @@ class Filter:
     start: np.ndarray  # first cell of each slice
     size: np.ndarray  # cells of each slice
 
-    def holds(self, grams: np.ndarray, level: int) -> np.ndarray:
-        part = (grams % np.uint64(len(self.size))).astype(np.int64)
-        size = self.size[part].astype(np.uint64)
-        out = size > 0
-        key = mixed(grams ^ mixed(np.uint64(level) + np.zeros(1, np.uint64)))
-        for _ in range(PROBES):
-            spot = (key >> np.uint64(32)) % np.maximum(size * np.uint64(32), np.uint64(1))
-            cell = self.cells[np.minimum(self.start[part] + (spot >> np.uint64(5)).astype(np.int64), len(self.cells) - 1)]
-            out &= (cell >> (spot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
-            key = mixed(key)
-        return out
-
     def levels(self, grams: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(grams), dtype=np.int64)
-        left = np.arange(len(grams))
+        part = slice_of(grams, len(self.size)).astype(np.int64)
+        return self.levels_of(codes_of(grams, len(self.size)), part)
+
+    def levels_of(self, codes: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The level of each code of a slice ``part``: how many probes, from level 1 up, succeed before one fails."""
+        found = np.zeros(len(codes), dtype=np.int64)
+        left = np.flatnonzero(self.size[part] > 0)
         for level in range(1, MAX_LEVEL):
-            left = left[self.holds(grams[left], level)]
+            key, own = _key(codes[left], level), part[left]
+            bits, out = self.size[own].astype(np.uint64) * np.uint64(32), np.ones(len(left), bool)
+            for _ in range(PROBES):
+                spot = (key >> np.uint64(32)) % bits
+                cell = self.cells[self.start[own] + (spot >> np.uint64(5)).astype(np.int64)]
+                out &= (cell >> (spot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+                key = mixed(key)
+            left = left[out]
             if not len(left):
                 break
             found[left] = level
         return found
 
 
+def _key(codes: np.ndarray, level: int) -> np.ndarray:
+    return mixed(codes ^ mixed(np.uint64(level) + np.zeros(1, np.uint64)))
+
+
 def level_of(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(count)).astype(np.int64)
 
@@ -90,20 +138,18 @@ def level_of(count: np.ndarray) -> np.ndarray:
 MEANING = np.array([0.0] + [(2.0 ** (k - 1) + 2.0**k - 1) / 2 for k in range(1, MAX_LEVEL + 1)])
 
 
-def filter_part(grams: np.ndarray, counts: np.ndarray, bits_per_key: int, max_bytes: int | None = None) -> np.ndarray:
-    """The cells of one slice's filter; ``max_bytes`` cuts it, at the price of false positives."""
+def filter_part(codes: np.ndarray, counts: np.ndarray, bits_per_key: int) -> np.ndarray:
+    """The cells of one slice's filter."""
+    if not len(codes):
+        return np.zeros(0, np.uint32)
     levels = level_of(counts)
-    cells = -(-int(levels.sum()) * bits_per_key // 32) if len(grams) else 0
-    cells = cells if max_bytes is None else min(cells, max_bytes // 4)
-    out = np.zeros(max(cells, 1) if len(grams) else 0, dtype=np.uint32)
-    for level in range(1, int(levels.max()) + 1 if len(grams) else 1):
-        own = grams[levels >= level]
-        key = mixed(own ^ mixed(np.uint64(level) + np.zeros(1, np.uint64)))
+    bits = np.zeros(max(1, -(-int(levels.sum()) * bits_per_key // 32)) * 32, bool)
+    for level in range(1, int(levels.max()) + 1):
+        key = _key(codes[levels >= level], level)
         for _ in range(PROBES):
-            spot = (key >> np.uint64(32)) % np.uint64(len(out) * 32)
-            np.bitwise_or.at(out, (spot >> np.uint64(5)).astype(np.int64), np.uint32(1) << (spot & np.uint64(31)).astype(np.uint32))
+            bits[((key >> np.uint64(32)) % np.uint64(len(bits))).astype(np.int64)] = True
             key = mixed(key)
-    return out
+    return np.packbits(bits, bitorder="little").view("<u4")
 
 
 def pair_hashes(words: np.ndarray) -> np.ndarray:
@@ -130,12 +176,17 @@ def _sums(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
 
-def _by_slice(keys: np.ndarray, slices: int) -> Iterator[tuple[int, np.ndarray]]:
-    part = keys % np.uint64(slices)
-    order = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(slices + 1, dtype=np.uint64))
-    for s in np.flatnonzero(np.diff(ends)):
-        yield int(s), order[ends[s] : ends[s + 1]]
+def _by_slice(keys: np.ndarray, slices: int) -> Iterator[tuple[int, slice]]:
+    """Each slice of sorted hashes, and where it lies."""
+    part = slice_of(keys, slices)
+    ends = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)] if len(part) else np.zeros(1, np.int64)
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield int(part[a]), slice(a, b)
+
+
+def _coded(keys: np.ndarray, kind: int, slices: int) -> bytes:
+    """Sorted hashes of one slice: words whole, as their counts are exact, pairs by their code."""
+    return packed(codes_of(keys, slices) if kind else keys)
 
 
 PACKED = "slice int, kind int, keys binary, counts binary"
@@ -173,34 +224,32 @@ def _grams(slices: int):
                 for kind, grams in ((0, words), (1, pairs)):
                     keys, counts = _sums(grams)
                     for s, own in _by_slice(keys, slices):
-                        out.append((s, kind, keys[own].tobytes(), counts[own].astype(np.uint32).tobytes()))
+                        out.append((s, kind, _coded(keys[own], kind, slices), planes(counts[own], 4)))
                 yield _packed(out)
 
     return of
 
 
-def _count(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-    k = np.frombuffer(b"".join(keys), dtype=np.uint64)
-    c = np.frombuffer(b"".join(counts), dtype=np.uint32).astype(np.int64)
+def _count(own: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    k = np.concatenate([np.zeros(0, np.uint64), *[unpacked(x) for x in own["keys"]]])
+    c = np.concatenate([np.zeros(0, np.int64), *[unplanes(x, 4).astype(np.int64) for x in own["counts"]]])
     order = np.argsort(k, kind="stable")
     k, c = k[order], c[order]
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
     return k[first], (np.add.reduceat(c, first) if len(k) else c)
 
 
-def _build(settings: Settings):
+BUILT = "slice int, words binary, counts binary, v long, n long, mass double, cells binary"
+
+
+def _build(settings: Settings, slices: int):
     def of(group: pd.DataFrame) -> pd.DataFrame:
         """One slice: exact word counts, and its part of the filter (words and pairs)."""
-        s = int(group["slice"].iloc[0])
-        found = {}
-        for kind in (0, 1):
-            own = group[group["kind"] == kind]
-            found[kind] = _count(list(own["keys"]), list(own["counts"]))
-        grams = np.concatenate([found[0][0], found[1][0]])
-        counts = np.concatenate([found[0][1], found[1][1]])
-        cells = filter_part(grams, counts, settings.bits_per_key)
-        words, n = found[0]
-        return pd.DataFrame([(s, words.tobytes(), n.tobytes(), len(words), int(n.sum()), cells.tobytes())], columns=["slice", "words", "counts", "v", "n", "cells"])
+        (words, n), (pairs, more) = (_count(group[group["kind"] == kind], kind) for kind in (0, 1))
+        cells = filter_part(np.r_[codes_of(words, slices), pairs], np.r_[n, more], settings.bits_per_key)
+        mass = float(MEANING[level_of(n)].sum()) if len(n) else 0.0
+        row = (int(group["slice"].iloc[0]), words.tobytes(), n.tobytes(), len(words), int(n.sum()), mass, cells.tobytes())
+        return pd.DataFrame([row], columns=[c.split()[0] for c in BUILT.split(", ")])
 
     return of
 
@@ -213,6 +262,7 @@ class Model:
     tokens: int  # N, ends included
     types: int  # V, the end included
     ends: int
+    mass: float  # the sum of what the levels of all words stand for, ends included
     mu: float
     slices: int
 
@@ -233,7 +283,7 @@ class Model:
         """The same, with the levels of the distinct words and pairs, and each token's place among both."""
         count = MEANING[levels]
         count[distinct == END] = self.ends
-        unigram = ((count + 0.5) / self.below)[which]
+        unigram = np.minimum((count + 0.5) / (self.mass + 0.5 * (self.types + 1)), 1.0)[which]
         context = np.r_[float(self.ends), count[which][:-1]]
         joint = np.minimum(MEANING[pair_levels][where], np.maximum(context, 0.0))
         chance = np.log10((joint + self.mu * unigram) / (context + self.mu))
@@ -247,9 +297,9 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     tally = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     ends, slices = int(tally["n"]), max(4, -(-int(tally["b"] or 0) // settings.slice_bytes))
     grams = texts.mapInArrow(_grams(slices), PACKED)
-    built = cut(grams.groupBy("slice").applyInPandas(_build(settings), "slice int, words binary, counts binary, v long, n long, cells binary"))
+    built = cut(grams.groupBy("slice").applyInPandas(_build(settings, slices), BUILT))
     size, start = np.zeros(slices, dtype=np.int64), np.zeros(slices, dtype=np.int64)
-    sums = built.agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum(F.octet_length("cells")).alias("b")).first()
+    sums = built.agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("mass").alias("mass"), F.sum(F.octet_length("cells")).alias("b")).first()
     sent = int(sums["b"] or 0) <= settings.max_filter_bytes
     tokens, types = int(sums["n"] or 0) + ends, int(sums["v"] or 0) + (ends > 0)
     cells, at = [], 0
@@ -271,11 +321,11 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     counts = np.array([r["count"] for r in found], dtype=np.int64)
     order = np.argsort(words)
     whole = np.concatenate(cells) if at else np.zeros(1, np.uint32)
-    model = Model(Filter(whole, start, size) if sent else None, words[order], counts[order], tokens, types, ends, settings.mu, slices)
+    model = Model(Filter(whole, start, size) if sent else None, words[order], counts[order], tokens, types, ends, float(sums["mass"] or 0.0) + ends, settings.mu, slices)
     return model, built.select("slice", "words", "counts", "cells")
 
 
-SCORED = "batch string, nth int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, slice int, keys binary, texts binary, counts binary"
+SCORED = "batch binary, nth int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, slice int, keys binary, texts binary, counts binary"
 
 
 def _scores(held, columns: list[str]):
@@ -288,7 +338,7 @@ def _scores(held, columns: list[str]):
         for batch in batches:
             for piece in _pieces(batch, 2):
                 ids, held_out = piece.column(0), piece.column(1)
-                name = uuid.uuid4().hex
+                name = uuid.uuid4().bytes
                 words, sizes = _tokens(piece.column(2).to_pylist())
                 k = len(sizes)
                 owner = np.repeat(np.arange(k), sizes)
@@ -314,7 +364,7 @@ def _scores(held, columns: list[str]):
                 full = lambda a, t: pa.concat_arrays([a.cast(t) if isinstance(a, pa.Array) else pa.array(a, t), none(t, p)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([name] * (k + p), pa.string()), full(np.arange(k), pa.int32()),
+                        pa.array([name] * (k + p), pa.binary()), full(np.arange(k), pa.int32()),
                         full(ids, pa.int64()), full(held_out, pa.bool_()), full(sizes + 1, pa.int64()), full(known, pa.int64()),
                         full(base, pa.float64()), full(score, pa.float64()),
                         pa.concat_arrays([none(pa.int32(), k), pa.array(cols[0], pa.int32())]),
@@ -356,37 +406,35 @@ def _total(texts: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
     return texts[["doc_id", "held_out", "n_tokens", "score"]].assign(n_known=known, base_score=base)
 
 
-HELD = "batch string, ids array<long>, held array<boolean>, sizes binary, words binary, which binary"
-ASKED = "batch string, slice int, kind int, keys binary"
-ANSWERS = "batch string, slice int, kind int, levels binary, counts binary"
+HELD = "batch binary, ids array<long>, held array<boolean>, sizes binary, words binary, times binary, places binary"
+ASKED = "batch binary, slice int, kind int, keys binary"
+ANSWERS = "batch binary, slice int, kind int, levels binary, counts binary"
 TOTALS = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _place(n: int) -> type:
-    """The type that holds a place among ``n`` words."""
-    return np.uint16 if n <= 1 << 16 else np.uint32
-
-
 def _held_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each piece of texts: its ids, and its tokens as places among its distinct words."""
+    """A row for each piece of texts: its ids, its distinct words and how often each comes, and its tokens as places
+    among them, the most frequent first, so that most places are small."""
     import uuid
 
     for batch in batches:
         for piece in _pieces(batch, 2):
             words, sizes = _tokens(piece.column(2).to_pylist())
-            distinct, which = np.unique(np.insert(words, np.cumsum(sizes), END), return_inverse=True)
+            distinct, which, times = np.unique(np.insert(words, np.cumsum(sizes), END), return_inverse=True, return_counts=True)
+            place = np.empty(len(distinct), np.int64)
+            place[np.argsort(-times, kind="stable")] = np.arange(len(distinct))
             spans = pa.array([0, piece.num_rows], pa.int32())
             lists = [pa.ListArray.from_arrays(spans, piece.column(i).cast(t)) for i, t in ((0, pa.int64()), (1, pa.bool_()))]
-            packs = [x.tobytes() for x in (sizes, distinct, which.astype(_place(len(distinct))))]
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, *[pa.array([x], pa.binary()) for x in packs]], names=[c.split()[0] for c in HELD.split(", ")])
+            packs = [sizes.tobytes(), packed(distinct), planes(times, 4), planes(place[which], 4)]
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().bytes], pa.binary()), *lists, *[pa.array([x], pa.binary()) for x in packs]], names=[c.split()[0] for c in HELD.split(", ")])
 
 
-def _unpacked(words: bytes, which: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _opened(words: bytes, times: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words, each token's place among them, and each token's pair with the one before."""
-    distinct = np.frombuffer(words, np.uint64)
-    places = np.frombuffer(which, _place(len(distinct))).astype(np.int64)
-    after = distinct[places]
-    return distinct, places, joined(np.r_[END, after[:-1]], after)
+    distinct = unpacked(words)
+    which = np.argsort(-unplanes(times, 4).astype(np.int64), kind="stable")[unplanes(places, 4).astype(np.int64)]
+    after = distinct[which]
+    return distinct, which, joined(np.r_[END, after[:-1]], after)
 
 
 def _asks(slices: int):
@@ -394,36 +442,36 @@ def _asks(slices: int):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, words, which in zip(*batch.columns, strict=True):
-                distinct, _, pairs = _unpacked(words.as_py(), which.as_py())
-                asked = [(name.as_py(), s, kind, keys[own].tobytes()) for kind, keys in ((0, distinct), (1, np.unique(pairs))) for s, own in _by_slice(keys, slices)]
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+            for name, *packs in zip(*batch.columns, strict=True):
+                distinct, _, pairs = _opened(*[x.as_py() for x in packs])
+                asked = [(name.as_py(), s, kind, _coded(keys[own], kind, slices)) for kind, keys in ((0, distinct), (1, np.unique(pairs))) for s, own in _by_slice(keys, slices)]
+                kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*asked, strict=True), kinds, strict=True)], names=[c.split()[0] for c in ASKED.split(", ")])
 
     return of
 
 
-def _answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-    """Levels of what was asked of one slice, by its part of the filter, and the words' exact counts."""
-    if not len(asked):
-        return pd.DataFrame([], columns=["batch", "slice", "kind", "levels", "counts"])
-    keys = [np.frombuffer(k, np.uint64) for k in asked["keys"]]
-    ends = np.cumsum([len(k) for k in keys])[:-1]
-    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-    levels, exact = np.zeros(len(distinct), np.uint8), np.zeros(len(distinct), np.int64)
-    if len(held):
-        cells = np.frombuffer(held["cells"].iloc[0], np.uint32)
-        words, found = np.frombuffer(held["words"].iloc[0], np.uint64), np.frombuffer(held["counts"].iloc[0], np.int64)
-        if len(cells):
-            levels = Filter(cells, np.zeros(1, np.int64), np.array([len(cells)])).levels(distinct).astype(np.uint8)
-        if len(words):
-            at = np.minimum(np.searchsorted(words, distinct), len(words) - 1)
-            exact = np.where(words[at] == distinct, found[at], 0)
-    places = np.split(which, ends)
-    return asked[["batch", "slice", "kind"]].assign(
-        levels=[levels[i].tobytes() for i in places],
-        counts=[exact[i].tobytes() if kind == 0 else None for i, kind in zip(places, asked["kind"], strict=True)],
-    )
+def _answer(slices: int):
+    def of(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        """Levels of what was asked of one slice, by its part of the filter, and the words' exact counts."""
+        if not len(asked):
+            return pd.DataFrame([], columns=[c.split()[0] for c in ANSWERS.split(", ")])
+        cells = np.frombuffer(held["cells"].iloc[0], np.uint32) if len(held) else np.zeros(0, np.uint32)
+        words, found = (np.frombuffer(held[c].iloc[0], t) if len(held) else np.zeros(0, t) for c, t in (("words", np.uint64), ("counts", np.int64)))
+        part = Filter(cells, np.zeros(1, np.int64), np.array([len(cells)]))
+        levels, counts = [], []
+        for keys, kind in zip(asked["keys"], asked["kind"], strict=True):
+            keys = unpacked(keys)
+            codes = keys if kind else codes_of(keys, slices)
+            levels.append(part.levels_of(codes, np.zeros(len(codes), np.int64)).astype(np.uint8).tobytes())
+            exact = None
+            if not kind:
+                at = np.minimum(np.searchsorted(words, keys), max(len(words) - 1, 0))
+                exact = planes(np.where(words[at] == keys, found[at], 0) if len(words) else np.zeros(len(keys), np.int64), 8)
+            counts.append(exact)
+        return asked[["batch", "slice", "kind"]].assign(levels=levels, counts=counts)
+
+    return of
 
 
 def _scored(held):
@@ -433,17 +481,12 @@ def _scored(held):
         model = held.value
         ids, held_out = (piece.column(c).combine_chunks().flatten() for c in ("ids", "held"))
         sizes = np.frombuffer(piece["sizes"][0].as_py(), np.int64)
-        distinct, which, pairs = _unpacked(piece["words"][0].as_py(), piece["which"][0].as_py())
+        distinct, which, pairs = _opened(*[piece[c][0].as_py() for c in ("words", "times", "places")])
         pairs, where = np.unique(pairs, return_inverse=True)
-        levels = [np.zeros(len(distinct), np.int64), np.zeros(len(pairs), np.int64)]
-        exact = np.zeros(len(distinct), np.int64)
-        got = {(r["slice"], r["kind"]): r for r in answers.select(["slice", "kind", "levels", "counts"]).to_pylist()}
-        for kind, keys in ((0, distinct), (1, pairs)):
-            for s, own in _by_slice(keys, model.slices):
-                row = got[s, kind]
-                levels[kind][own] = np.frombuffer(row["levels"], np.uint8)
-                if kind == 0:
-                    exact[own] = np.frombuffer(row["counts"], np.int64)
+        # Slices are ranges of the sorted hashes, so answers in the order of slices are in the order of what was asked.
+        got = answers.select(["kind", "slice", "levels", "counts"]).sort_by([("kind", "ascending"), ("slice", "ascending")]).to_pylist()
+        levels = [np.frombuffer(b"".join(r["levels"] for r in got if r["kind"] == kind), np.uint8) for kind in (0, 1)]
+        exact = np.concatenate([unplanes(r["counts"], 8).astype(np.int64) for r in got if r["kind"] == 0])
         exact[distinct == END] = model.ends
         first = first_tokens(sizes)
         base = np.add.reduceat(np.log10(exact + 0.5)[which], first) - (sizes + 1) * np.log10(model.below)
@@ -459,8 +502,8 @@ def _score_by_slice(rows: DataFrame, model: Model, counts: DataFrame) -> DataFra
     held = rows.sparkSession.sparkContext.broadcast(model)
     # Written once: the names that tie a piece to what it asks are drawn in this pass.
     pieces = cut(rows.mapInArrow(_held_pieces, HELD))
-    asked = pieces.select("batch", "words", "which").mapInArrow(_asks(model.slices), ASKED)
-    answers = asked.groupBy("slice").cogroup(counts.groupBy("slice")).applyInPandas(_answer, ANSWERS)
+    asked = pieces.select("batch", "words", "times", "places").mapInArrow(_asks(model.slices), ASKED)
+    answers = asked.groupBy("slice").cogroup(counts.groupBy("slice")).applyInPandas(_answer(model.slices), ANSWERS)
     return pieces.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_scored(held), TOTALS)
 
 
@@ -474,7 +517,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     # Written once: the names that tie a text to its packed words are drawn in this pass.
     rows = cut(rows.mapInArrow(_scores(held, columns), SCORED))
     packed = rows.where(F.col("slice").isNotNull()).select("slice", "batch", "keys", "texts", "counts")
-    more = packed.groupBy("slice").cogroup(counts.select("slice", "words", "counts").groupBy("slice")).applyInPandas(_look_up, "batch string, texts binary, sums binary, hits binary")
+    more = packed.groupBy("slice").cogroup(counts.select("slice", "words", "counts").groupBy("slice")).applyInPandas(_look_up, "batch binary, texts binary, sums binary, hits binary")
     own = rows.where(F.col("slice").isNull()).select("batch", "nth", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
     summed = own.groupBy("batch").cogroup(more.groupBy("batch")).applyInPandas(
         _total, "doc_id long, held_out boolean, n_tokens long, score double, n_known long, base_score double"
