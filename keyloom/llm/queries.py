@@ -85,14 +85,29 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENIZERS = "/opt/tokenizers"
 
 
+#: An address in a text, which op3's revision masks.
+MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Totals after all documents came, those with a mail address were revised (each address masked), and those
+    of fewer than five words were deleted; the deletion is delivered twice and counts once."""
     counters = {"byte_bpe_50k/1": token_counts.byte_bpe_counter(spark, f"{tokenizers}/byte_bpe_50k.tiktoken"), "words/1": token_counts.word_counter()}
-    store = token_counts.RollupStore(spark, f"{shared_dir(spark)}/keyloom-rollup-{uuid.uuid4().hex}")
+    store = token_counts.RollupStore(spark, f"{shared_dir(spark)}/keyloom-{spark.sparkContext.applicationId}-rollup-{uuid.uuid4().hex}")
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     store.commit("load", token_counts.changes(docs, counters))
+    old = docs.where(F.col("text").rlike(MAIL))
+    store.commit("mask", token_counts.revision(old, masked(old), counters))
+    short = masked(docs).where(F.size(words(F.col("text"))) < 5)
+    for _ in range(2):
+        store.commit("short", token_counts.changes(short, counters, -1))
     return store.totals().select("source", "lang", "tokenizer", F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"), F.col("bytes").alias("n_bytes"))
 
 
+def masked(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text", F.regexp_replace("text", MAIL, "<mail>"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     pieces = sentencepiece_codec.Pieces(spark, f"{tokenizers}/piece_bpe_32k.model")
     rows = sentencepiece_codec.encode_checked(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), pieces)

@@ -5,15 +5,21 @@ text, +1 for the new). Its changes are summed by group before they are stored, a
 the sums over all batches, so totals never need the documents again. A batch is stored under its
 own name, and storing it again replaces it: a batch that is retried counts once.
 
+A commit writes the batch's sums to a new folder and then creates one empty file, whose name says
+batch, number and folder; readers go by the highest number of each batch. So readers see a batch as it
+was or as it is, never a part of it or none, and a writer that dies changes nothing.
+
 Defined results: null texts count no tokens; null sources and languages are groups of their own;
-repeated rows count each time; groups whose totals have all come to zero are left out; an empty
-store or table gives no rows; other columns play no part.
+repeated rows count each time; texts are counted whole at any length; sums know no ties; groups whose
+totals have all come to zero are left out; an empty store or table gives no rows; other columns play no
+part, also where they are called ``docs``, ``tokens``, ``bytes`` or ``tokenizer``.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
@@ -88,22 +94,40 @@ class RollupStore:
     spark: SparkSession
     path: str
 
+    def _files(self):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(f"{self.path}/batches")
+        return hadoop.Path, folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _heads(self) -> dict[str, tuple[int, str]]:
+        """Number and folder of each batch as it stands; one name a commit comes to the driver."""
+        _, folder, files = self._files()
+        heads: dict[str, tuple[int, str]] = {}
+        for status in files.listStatus(folder) if files.exists(folder) else ():
+            batch, number, of = status.getPath().getName().split("~")
+            heads[batch] = max(heads.get(batch, (0, "")), (int(number), of))
+        return heads
+
     def commit(self, batch: str, delta: DataFrame) -> None:
         """Store a batch; a batch of the same name is replaced as a whole.
 
-        Files become visible when the job that writes them ends, so a writer that dies leaves the
-        store as it was, or without the batch, which a retry then brings.
+        Of two writers of one batch at once one stands, the same for all readers.
         """
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
             raise ValueError(f"not a batch name: {batch!r}")
-        merge(delta).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        of = uuid.uuid4().hex
+        merge(delta).write.parquet(f"{self.path}/data/{of}")
+        path, folder, files = self._files()
+        number = self._heads().get(batch, (0, ""))[0]
+        files.createNewFile(path(f"{self.path}/batches/{batch}~{number + 1:012d}~{of}"))
+        if number > 1:  # what stood before the batch that was just replaced; readers of that one may still run
+            for status in files.listStatus(folder):
+                name, n, gone = status.getPath().getName().split("~")
+                if name == batch and int(n) < number:
+                    files.delete(status.getPath(), False)
+                    files.delete(path(f"{self.path}/data/{gone}"), True)
 
     def totals(self) -> DataFrame:
-        files = f"{self.path}/batch=*"
-        try:
-            rows = self.spark.read.schema(DELTA).option("basePath", self.path).parquet(files)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = self.spark.createDataFrame([], DELTA)
+        folders = [f"{self.path}/data/{of}" for _, of in self._heads().values()]
+        rows = self.spark.read.schema(DELTA).parquet(*folders) if folders else self.spark.createDataFrame([], DELTA)
         return merge(rows)
