@@ -7,23 +7,31 @@ mix takes, and seeded documents of the pattern make that number up: all of them
 and some once more, in the order of a seeded hash.
 
 The seeded order needs no sort of a whole pattern: words are summed by pattern and hash bucket
-(``BUCKETS`` of them), which finds the bucket where the quota runs out; only that bucket is sorted. One more
-document, the one of the size nearest to the words still missing, closes the gap.
-The flow runs on the driver over patterns and sources, of which at most ``max_patterns`` may exist.
+(``BUCKETS`` of them), which finds the bucket where the quota runs out; only that bucket is sorted, with
+rows of one place in the order as one. One more document, the one of the size nearest to the words
+still missing, closes the gap.
+The flow runs on the driver over patterns and sources, of which at most ``max_patterns`` may exist; more
+are an error.
 
 Defined results: null and empty texts have size 0 and are taken 0 words; a null source is a source
-of its own; repeated rows are separate documents; an empty table gives an empty mix.
+of its own; null ``sources`` are none, and none of their words are taken; repeated rows are separate
+documents, which tie in the seeded order, and as many of them are taken as fit; texts count by their
+size only, at any length; an empty table gives an empty mix. Other columns pass through, but for those
+called ``taken`` and ``repeats``, which are replaced, and those that begin with ``__``, which go.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping, Sequence
+from dataclasses import astuple, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 BUCKETS = 4096
 WEIGHTS = (3, 1, 2)
 
@@ -115,67 +123,93 @@ def sizes_by_source(rows: DataFrame, sources: str = "sources") -> dict[str | Non
     return {r["s"]: int(r["n"]) for r in got}
 
 
+def _pattern() -> Column:
+    return F.array_sort(F.array_distinct(F.coalesce("sources", F.array().cast("array<string>"))))
+
+
 def _keyed(rows: DataFrame, seed: int) -> DataFrame:
     """Rows with their pattern as a text, their place in the seeded order, and its bucket."""
-    pattern = F.array_sort(F.array_distinct("sources"))
     # A text of the pattern that tells null from any string, as join and group key.
-    name = F.concat_ws(",", F.transform(pattern, lambda s: F.coalesce(F.concat(F.lit("="), F.length(s).cast("string"), F.lit(":"), s), F.lit("~"))))
+    name = F.concat_ws(",", F.transform(_pattern(), lambda s: F.coalesce(F.concat(F.lit("="), F.length(s).cast("string"), F.lit(":"), s), F.lit("~"))))
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), "size")
     bucket = F.shiftrightunsigned(order, 64 - BUCKETS.bit_length() + 1).cast("int")
-    return rows.withColumns({"__pattern": name, "__order": order, "__bucket": bucket})
+    return rows.drop(*[c for c in rows.columns if c.startswith("__")]).withColumns({"__pattern": name, "__order": order, "__bucket": bucket})
 
 
-PLAN = "__pattern string, __base long, __rest long, __edge int, __before long, __left long, __also long"
+@dataclass
+class _Plan:
+    """What the mix takes of a pattern: all documents ``base`` times, and once more those before a place in
+    the order, ``copies`` of the next place, and one of the place ``also``."""
 
+    base: int
+    rest: int
+    edge: int = BUCKETS
+    before: int = 0
+    upto: int | None = None
+    place: int | None = None
+    copies: int = 0
+    left: int = 0
+    also: int | None = None
 
-def _with_plan(rows: DataFrame, plan: list[tuple]) -> tuple[DataFrame, DataFrame]:
-    """Rows whose bucket is clear of the edge, and rows of the edge's bucket; ``__more`` marks a further copy.
 
-    A document of the edge's bucket is in while all up to it fit.
-    """
-    table = rows.sparkSession.createDataFrame(plan, PLAN)
+def _with_plan(rows: DataFrame, plan: Mapping[str, _Plan]) -> DataFrame:
+    """Rows with their pattern's plan; ``__more`` where it is sure that a row is taken once more."""
+    fields = "__base long, __rest long, __edge int, __before long, __upto long, __place long, __copies long, __left long, __also long"
+    table = rows.sparkSession.createDataFrame([(p, *astuple(x)) for p, x in plan.items()], "__pattern string, " + fields)
     step = rows.join(F.broadcast(table), "__pattern")  # one row a pattern
-    line = W.partitionBy("__pattern").orderBy("__order", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    clear = step.where(F.col("__bucket") != F.col("__edge")).withColumn("__more", F.col("__bucket") < F.col("__edge"))
-    edge = step.where(F.col("__bucket") == F.col("__edge")).withColumn("__more", F.col("__before") + F.sum("size").over(line) <= F.col("__rest"))
-    return clear, edge
+    edge = (F.col("__bucket") == F.col("__edge")) & F.coalesce(F.col("__order") <= F.col("__upto"), F.lit(False))
+    return step.withColumn("__more", (F.col("__bucket") < F.col("__edge")) | edge)
 
 
 def mix(rows: DataFrame, targets: Mapping[str | None, float], copies: int = 2, seed: int = 0, max_patterns: int = 20_000, narrow: DataFrame | None = None) -> DataFrame:
     """``rows`` (``doc_id``, ``size`` long, ``sources`` array<string>) with ``taken`` and ``repeats``.
 
     Documents of the pattern enter in seeded order while they fit its quota; then one more, whose size is
-    nearest to what is still missing. ``narrow`` may hold the same rows with these three columns only; the
+    nearest to what is still missing: of rows that tie, one. ``narrow`` may hold the same rows with these three columns only; the
     plan is then made from it, and wide rows are read once.
     """
     small = _keyed(rows if narrow is None else narrow, seed)
-    names = small.select("__pattern", F.array_sort(F.array_distinct("sources")).alias("sources"), "size")
-    found = names.groupBy("__pattern").agg(F.sum("size").alias("n"), F.first("sources").alias("sources")).limit(max_patterns + 1).collect()
+    found = small.select("__pattern", _pattern().alias("sources"), "size").groupBy("__pattern").agg(F.sum("size").alias("n"), F.first("sources").alias("sources"))
+    # At most max_patterns rows, checked here; so are the tables collected below.
+    found = found.limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
     supply = {tuple(r["sources"]): int(r["n"]) for r in found}
     flow = route(supply, {s: int(round(t)) for s, t in targets.items()}, copies)
-    quota = {}
+    plan = {}
     for r in found:
         p = tuple(r["sources"])
-        quota[r["__pattern"]] = divmod(sum(flow[p].values()), supply[p]) if supply[p] else (0, 0)
-    rest = rows.sparkSession.createDataFrame([(p, int(x)) for p, (_, x) in quota.items()], "__pattern string, __rest long")
-    # At most max_patterns rows, checked above; so are the collected tables below.
+        plan[r["__pattern"]] = _Plan(*divmod(sum(flow[p].values()), supply[p])) if supply[p] else _Plan(0, 0)
+    # The bucket where the words of each pattern run out.
     upto = F.sum("__words").over(W.partitionBy("__pattern").orderBy("__bucket"))
-    filled = small.groupBy("__pattern", "__bucket").agg(F.sum("size").alias("__words")).withColumn("__upto", upto).join(F.broadcast(rest), "__pattern")
-    edge = filled.where(F.col("__upto") >= F.col("__rest")).groupBy("__pattern").agg(F.min(F.struct("__bucket", (F.col("__upto") - F.col("__words")).alias("__before"))).alias("e"))
-    edges = {r["__pattern"]: (r["e"]["__bucket"], int(r["e"]["__before"])) for r in edge.collect()}
-    plan = [(p, int(base), int(x), *edges.get(p, (BUCKETS, 0)), 0, None) for p, (base, x) in quota.items()]
-    _, close = _with_plan(small, plan)
-    inside = close.groupBy("__pattern").agg(F.sum(F.when(F.col("__more"), F.col("size")).otherwise(0)).alias("n"))
-    taken = {r["__pattern"]: int(r["n"]) for r in inside.collect()}
-    plan = [(p, base, x, e, before, x - before - taken.get(p, 0), None) for p, base, x, e, before, _, _ in plan]
-    clear, close = _with_plan(small, plan)
-    spare = clear.unionByName(close).where(~F.col("__more") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("__left")))
-    nearest = spare.groupBy("__pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("__left")).alias("d"), "__order")).alias("m"))
-    also = {r["__pattern"]: int(r["m"]["__order"]) for r in nearest.collect()}
-    clear, close = _with_plan(_keyed(rows, seed), [(*row[:-1], also.get(row[0])) for row in plan])
-    more = F.col("__more") | F.coalesce(F.col("__order") == F.col("__also"), F.lit(False))
-    out = clear.unionByName(close).withColumn("repeats", F.least(F.col("__base") + more.cast("long"), F.lit(copies)).cast("long"))
+    filled = _with_plan(small.groupBy("__pattern", "__bucket").agg(F.sum("size").alias("__words")).withColumns({"__upto_words": upto, "__order": F.lit(0)}), plan)
+    edge = filled.where(F.col("__upto_words") >= F.col("__rest")).groupBy("__pattern").agg(F.min(F.struct("__bucket", (F.col("__upto_words") - F.col("__words")).alias("before"))).alias("e"))
+    for r in edge.collect():
+        plan[r["__pattern"]].edge, plan[r["__pattern"]].before = r["e"]["__bucket"], int(r["e"]["before"])
+    # The place within it, rows of one place as one.
+    places = _with_plan(small, plan).where(F.col("__bucket") == F.col("__edge")).groupBy("__pattern", "__order", "__before", "__rest").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    places = places.withColumn("upto", F.col("__before") + F.sum("w").over(W.partitionBy("__pattern").orderBy("__order")))
+    fits = F.col("upto") <= F.col("__rest")
+    whole = F.max(F.when(fits, F.struct("upto", "__order")))
+    after = F.min(F.when(~fits, F.struct("__order", "n", "w")))
+    for r in places.groupBy("__pattern").agg(whole.alias("whole"), after.alias("after")).collect():
+        own = plan[r["__pattern"]]
+        own.left = own.rest - own.before
+        if r["whole"] is not None:
+            own.upto, own.left = r["whole"]["__order"], own.rest - int(r["whole"]["upto"])
+        if r["after"] is not None:
+            size = max(1, int(r["after"]["w"]) // int(r["after"]["n"]))
+            own.place, own.copies = r["after"]["__order"], own.left // size
+            own.left -= own.copies * size
+    # The document nearest in size to what is still missing.
+    spare = _with_plan(small, plan).where(~F.col("__more") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("__left")))
+    for r in spare.groupBy("__pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("__left")).alias("d"), "__order")).alias("m")).collect():
+        plan[r["__pattern"]].also = r["m"]["__order"]
+    step = _with_plan(_keyed(rows, seed), plan)
+    tied = lambda place: F.coalesce(F.col("__order") == F.col(place), F.lit(False)) & ~F.col("__more")
+    places = step.where(tied("__place") | tied("__also")).withColumn("__in", F.when(tied("__place"), F.col("__copies")).otherwise(F.lit(0)) + tied("__also").cast("long"))
+    some = numbered(places, ["__pattern", "__order"], "__nth").withColumn("__more", F.col("__nth") < F.col("__in")).drop("__in", "__nth")
+    out = step.where(~(tied("__place") | tied("__also"))).unionByName(some)
+    out = out.withColumn("repeats", F.least(F.col("__base") + F.col("__more").cast("long"), F.lit(copies)).cast("long"))
     out = out.withColumn("taken", F.col("repeats") * F.col("size"))
     return out.drop(*[c for c in out.columns if c.startswith("__")])
