@@ -10,9 +10,13 @@ Iterations are joins of host scores with host links; each round is written to th
 and the rounds end when no score moves. Hub hosts are safe: links are counted before they move,
 scores are summed on the map side, and a hot side of a join is split by adaptive execution.
 
+In the graph a host goes without a user's name (``user@host``), in pages and in links alike; the column
+``host`` and the rules have the url's host as it is.
+
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is
-allowed; null or empty html has no links; repeated rows are judged one by one; an empty table gives
-an empty result; more columns of the input are dropped.
+allowed; null or empty html has no links; html is read whole at any length; of rules of one length the
+one later by name wins, and a host whose distrust ties with its trust is allowed; repeated rows are judged
+one by one; an empty table gives an empty result; more columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -44,6 +48,11 @@ def host_of(url: Column) -> Column:
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)", 1), UPPER, LOWER)
 
 
+def site_of(host: Column) -> Column:
+    """The host without a user's name."""
+    return F.regexp_replace(host, r"^.*@", "")
+
+
 def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"://[^/?#]*([^?#]*)", 1)
 
@@ -64,7 +73,7 @@ def host_links(pages: DataFrame) -> DataFrame:
     """(src, dst, n): how many links the pages of one host hold to another host."""
     found = F.explode(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(LINK), F.lit(1)))
     links = pages.select(F.col("host").alias("src"), found.alias("raw")).where(F.col("src") != "")
-    links = links.select("src", F.translate(F.regexp_replace("raw", r"^.*@", ""), UPPER, LOWER).alias("dst"))
+    links = links.select("src", F.translate(site_of(F.col("raw")), UPPER, LOWER).alias("dst"))
     return links.where((F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
@@ -76,7 +85,7 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float, rounds: int | Non
     moves by more than ``tolerance``.
     """
     state = seeds.select("host", "seed", F.col("seed").alias("score"))
-    for _ in itertools.count() if rounds is None else range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):  # without rounds, some log(tolerance) / log(damping) of them
         passed = links.join(state.where("score > 0").select(F.col("host").alias("src"), "score"), "src")
         gained = passed.groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("w")).alias("gained"))
         new = state.join(gained, "host", "left").select(
@@ -124,10 +133,11 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...], least_distrust: float =
     """(page_id, host, path, rule, verdict, trust, distrust) of every page."""
     step = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     step = step.withColumn("__fit", rule_of(F.col("host"), F.col("path"), rules))
-    scores = host_scores(step.select("host", "html", F.col("__fit.verdict").alias("rule_verdict")))
+    step = step.withColumn("__site", site_of(F.col("host")))
+    scores = host_scores(step.select(F.col("__site").alias("host"), "html", F.col("__fit.verdict").alias("rule_verdict")))
     blocked = (F.col("distrust") >= least_distrust) & (F.col("distrust") > margin * F.col("trust"))
-    verdict = scores.select("host", "trust", "distrust", F.when(blocked, "block").otherwise("allow").alias("__host_verdict"))
-    return step.drop("html").join(verdict, "host", "left").select(
+    verdict = scores.select(F.col("host").alias("__site"), "trust", "distrust", F.when(blocked, "block").otherwise("allow").alias("__host_verdict"))
+    return step.drop("html").join(verdict, "__site", "left").select(
         "page_id", "host", "path", F.col("__fit.rule").alias("rule"),
         F.coalesce(F.col("__fit.verdict"), F.col("__host_verdict"), F.lit("allow")).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
