@@ -1,19 +1,24 @@
 """Sharding by balanced label propagation: copies of a text move together, sizes stay even.
 
-Documents with equal texts are linked through their text's digest. Every document starts in a
-hashed shard. Then, round by round, the documents of a text move to the shard that already holds
-most of their bytes, as far as that shard's quota goes; a text that is turned away turns to the
-shard with most room in the next round. Documents without copies fill what is left.
+Documents with equal texts are linked, each to each, through their text's digest. Every document starts
+with a hashed shard as its label. Then, round by round, linked documents look at their neighbours'
+labels, which a join of texts with labels counts by bytes, and move towards the shard that holds most of
+them, of those with room left, as far as that shard's quota goes. Who is turned away keeps its label and
+looks again in the next round, when some of those shards are full; where none of them has room, a seeded
+draw by free room decides. Documents without copies fill what is left. ``cut_edges`` counts the links
+between shards.
 
 Balance: let C be the mean bytes of a shard. A text with more than ``CHUNK`` of C is cut into
-seeded parts, as no shard could hold it. Units of more than C/``FINE`` bytes number at most
-``FINE`` times the shards, so they are placed on the driver, largest first, each in its best shard
-with room. All others are smaller than C/``FINE``. Documents without copies are then laid
-end to end in a seeded order and cut where shards are full: bytes are summed by hash bucket, and only
-the buckets where a cut falls are sorted. Shards end within about C/``FINE`` of each other.
-
-Defined results: a null text counts as no bytes and is linked with nothing; equal texts may share a
-doc_id; repeated rows are separate documents; an empty table gives an empty result.
+seeded parts, as no shard could hold it; rows that are the same in all are dealt over them in turn. Units
+of more than C/``FINE`` bytes number at most ``FINE`` times the shards, so they are placed on the driver,
+largest first, each in its best shard with room. All others are smaller than C/``FINE``. Documents without
+copies are then laid end to end in a seeded order and cut where shards are full: bytes are summed by hash
+bucket, and only the buckets where a cut falls are sorted. Shards end within about C/``FINE`` of each other.
+
+Defined results: a null text counts as no bytes and is linked with nothing, not even with other rows of
+its doc_id; equal texts may share a doc_id; repeated rows are separate documents; texts count by their bytes
+and digest, at any length; of shards that tie the smaller wins; rows that are the same in all are
+interchangeable; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, numbered
 
 BUCKETS = 4096
 FINE = 50
@@ -55,10 +60,13 @@ def place(docs: DataFrame, shards: int = 40, rounds: int = 4, extra: int = 16, s
     texts = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     texts = cut(texts.select("digest", F.greatest(F.ceil(F.col("bytes") / max(1.0, CHUNK * mean)), F.lit(1)).cast("int").alias("parts")))
     linked = rows.join(texts, "digest", "left")
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("parts"))).otherwise(F.lit(0))
+    # Rows that are the same in all are told apart by a number where one hash would send all of them one way.
+    alike = F.coalesce(F.col("parts") > 1, F.lit(False)) | F.col("digest").isNull()
+    linked = linked.where(~alike).withColumn("nth", F.lit(0).cast("long")).unionByName(numbered(linked.where(alike), ["doc_id", "digest"], "nth"))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64(F.lit(seed), "doc_id") + F.col("nth"), F.col("parts"))).otherwise(F.lit(0))
     unit = F.when(F.col("parts").isNotNull(), F.concat(F.col("digest"), F.lit("/"), part.cast("string")))
     start = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "digest"), F.lit(shards)).cast("int")
-    linked = cut(linked.select("doc_id", "size", "text_crc32", "digest", unit.alias("unit"), start.alias("start")))
+    linked = cut(linked.select("doc_id", "size", "text_crc32", "digest", "nth", unit.alias("unit"), start.alias("start")))
 
     units = cut(linked.where(F.col("unit").isNotNull()).groupBy("unit", "start").agg(F.sum("size").alias("bytes")).withColumnRenamed("start", "shard"))
     whole = units.groupBy("unit").agg(F.sum("bytes").alias("bytes"))
@@ -83,18 +91,17 @@ def place(docs: DataFrame, shards: int = 40, rounds: int = 4, extra: int = 16, s
     open_ = units.join(whole.where(F.col("bytes") <= large_at).select("unit"), "unit", "left_semi")
     settled = [done]
     for turn in range(rounds):
-        if turn:
-            # Turned away: all documents of the unit look to the shards with room, by seeded choice.
-            free = [max(0.0, r) for r in room]
-            marks = [x / (sum(free) or 1.0) for x in accumulate(free)]
-            dice = F.pmod(F.xxhash64(F.lit(seed + turn), "unit"), F.lit(1 << 30)) / float(1 << 30)
-            pick = F.lit(shards - 1)
-            for s in range(shards - 1, -1, -1):
-                pick = F.when(dice < marks[s], F.lit(s)).otherwise(pick)
-            want = open_.groupBy("unit").agg(F.sum("bytes").alias("all")).withColumn("shard", pick.cast("int"))
-        else:
-            want = open_.groupBy("unit").agg(F.max(F.struct("bytes", (-F.col("shard")).alias("s"))).alias("m"), F.sum("bytes").alias("all"))
-            want = want.select("unit", (-F.col("m.s")).cast("int").alias("shard"), "all")
+        free = [max(0.0, r) for r in room]
+        open_seats = F.broadcast(spark.createDataFrame([(s, f > 0) for s, f in enumerate(free)], "shard int, room boolean"))  # one row a shard
+        # Neighbours' labels by bytes; where none of their shards has room, a seeded draw by free room.
+        marks = [x / (sum(free) or 1.0) for x in accumulate(free)]
+        dice = F.pmod(F.xxhash64(F.lit(seed + turn), "unit"), F.lit(1 << 30)) / float(1 << 30)
+        pick = F.lit(shards - 1)
+        for s in range(shards - 1, -1, -1):
+            pick = F.when(dice < marks[s], F.lit(s)).otherwise(pick)
+        seen = F.max(F.when(F.col("room"), F.struct("bytes", (-F.col("shard")).alias("s"))))
+        want = open_.join(open_seats, "shard").groupBy("unit").agg(seen.alias("m"), F.sum("bytes").alias("all"))
+        want = want.select("unit", F.coalesce(-F.col("m.s"), pick).cast("int").alias("shard"), "all")
         want = cut(want)
         asked = {r["shard"]: int(r["b"]) for r in _rows(want.groupBy("shard").agg(F.sum("all").alias("b")))}  # one row a shard
         if not asked:
@@ -122,7 +129,7 @@ def place(docs: DataFrame, shards: int = 40, rounds: int = 4, extra: int = 16, s
 
     # The rest fills up: laid end to end, cut where shards are full.
     rest = named.where(F.col("shard").isNull() & ~is_large)
-    item = F.coalesce("unit", F.concat(F.lit("#"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("digest", F.lit(""))))
+    item = F.coalesce("unit", F.concat_ws("#", F.lit(""), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("digest", F.lit("")), F.col("nth").cast("string")))
     rest = rest.withColumn("item", item).withColumn("bucket", _bucket(F.lit(seed), "item"))
     held = {r["bucket"]: int(r["b"]) for r in _rows(rest.groupBy("bucket").agg(F.sum("size").alias("b")))}  # at most BUCKETS rows
     wanted = [max(0.0, r) for r in room]
@@ -152,12 +159,22 @@ def place(docs: DataFrame, shards: int = 40, rounds: int = 4, extra: int = 16, s
     return out.withColumn("shard", F.col("shard").cast("int"))
 
 
-def slots(rows: DataFrame, parts: int = 64) -> DataFrame:
-    """``rows`` with ``slot``, gapless from 0 in each shard; no shard is numbered by one task."""
+def cut_edges(placed: DataFrame) -> int:
+    """Links between documents of one text that lie in different shards."""
+    tally = placed.where(F.col("digest").isNotNull()).groupBy("digest", "shard").agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    sums = tally.groupBy("digest").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
+    return int(sums.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()[0] or 0)
+
+
+def slots(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """``rows`` with ``slot``, gapless from 0 in each shard; no shard is numbered by one task.
+
+    A shard's rows are dealt into ``parts`` by hash, without which their number follows the rows'.
+    """
+    parts = max(64, -(-rows.count() // 4_000_000)) if parts is None else parts
     rows = cut(rows.withColumn("__part", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(parts)).cast("int")))
     counts = rows.groupBy("shard", "__part").agg(F.count("*").alias("__n"))
-    # shards * parts rows.
     base = counts.select("shard", "__part", (F.sum("__n").over(W.partitionBy("shard").orderBy("__part")) - F.col("__n")).alias("__base"))
     nth = F.row_number().over(W.partitionBy("shard", "__part").orderBy("doc_id", "digest", "size")) - 1
-    out = rows.join(F.broadcast(base), ["shard", "__part"]).withColumn("slot", (nth + F.col("__base")).cast("long"))
-    return out.drop("__part", "__base")
+    out = rows.withColumn("__nth", nth).join(base, ["shard", "__part"]).withColumn("slot", (F.col("__nth") + F.col("__base")).cast("long"))
+    return out.drop("__part", "__base", "__nth")
