@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from keyloom.sources.folders import shared_dir
 from keyloom.sources.keyspaces import spread
 
-__all__ = ["SPACE_CLASS", "bucket_of", "cut", "drop", "numbered", "read_table", "scope", "shared_dir", "spread", "sweep", "words"]
+__all__ = ["SPACE_CLASS", "bucket_of", "cut", "drop", "numbered", "piled", "read_table", "scope", "shared_dir", "spread", "sweep", "words"]
 
 #: The white space that parts words, as a character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -45,17 +45,23 @@ def cut(df: DataFrame) -> DataFrame:
     Rows come back from storage that outlives every executor, compressed and by column. The shuffle files
     that led to them go as soon as they are written.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/keyloom-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    return piled(df.sparkSession, [df])
+
+
+def piled(spark: SparkSession, frames: Iterable[DataFrame]) -> DataFrame:
+    """``cut`` of several frames of one schema, one after the other, into one table."""
+    path, schema = f"{shared_dir(spark)}/keyloom-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}", None
     before = spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")
     try:
-        df.write.parquet(path)
+        for df in frames:
+            df.write.mode("append").parquet(path)
+            schema = df.schema
     finally:
         spark.conf.set(CLEAN, before)
     if (made := _made.get()) is not None:
         made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop(spark: SparkSession, paths: Sequence[str]) -> int:

@@ -5,16 +5,20 @@ maximum inner product. Vectors are cut into short subspaces of 16 centroids each
 codes minimise an anisotropic loss, which weighs the part of the residual parallel to the vector
 ``eta`` times as much as the rest, as that part moves the largest scores most.
 
-Every block of vectors is scanned with a query's tables, two four-bit codes to a byte; the norm term is
-exact. The ``rerank`` best of a block, and all within a margin of the last of them (half the usual
-error of the codes), are measured exactly on the original vectors in double precision.
+Vectors are encoded once, in blocks of ``scan_rows``, which are written with their codes, two to a byte.
+Every block is scanned with each query's tables; the norm term is exact. The ``rerank`` best of a block, and
+all within a margin of the last of them (half the usual error of the codes), are measured exactly on the
+original vectors in double precision.
 
 Codebooks are fitted on the ``sample`` vectors with the smallest hash of their id; every vector is
-scanned. Queries are taken in blocks of about ``query_block``, one broadcast at a time.
+indexed and scanned. Queries are taken in blocks of about ``query_block``, one broadcast and one pass over
+the codes each, so work grows with queries times vectors; tasks and driver hold one block of either.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor
-do those of another length than most have; equal distances go to the smaller id; of one vector's exact
-copies each block keeps the ``k + 1`` smallest ids, which no answer can lack; an empty table gives none.
+do those of another length than most have (of lengths that tie, the longer counts); equal distances go to the
+smaller id; two vectors under one id are two candidates, of which the nearer one stands for the id, and as a
+query each is asked and the nearer answers stand; of one vector's exact copies each block keeps the ``k + 1``
+smallest ids, which no answer can lack; an empty table gives none; other columns play no part.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, piled
 
 CODES = 16
 
@@ -109,29 +113,43 @@ def fit_vectors(x: np.ndarray, settings: Settings) -> Index:
 
 
 def _distinct(ids: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows by id, at most ``keep`` of each vector."""
+    """Rows by id, at most ``keep`` ids of each vector."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], np.ascontiguousarray(x[order])
     _, which = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
-    by = np.argsort(which, kind="stable")
-    nth = np.arange(len(by)) - np.r_[0, np.cumsum(np.bincount(which))[:-1]][which[by]]
-    held = np.sort(by[nth < keep])
+    by = np.lexsort((ids, which))
+    by = by[np.r_[True, (which[by][1:] != which[by][:-1]) | (ids[by][1:] != ids[by][:-1])]] if len(by) else by
+    first = np.searchsorted(which[by], which[by])  # where each vector's rows begin
+    held = np.sort(by[np.arange(len(by)) - first < keep])
     return ids[held], x[held]
 
 
-def scan(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, index: Index, k: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, id, distance) of each query's k nearest rows of one block."""
+@dataclass
+class Block:
+    """Some vectors with their packed codes and half their squared lengths."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    packed: np.ndarray
+    half: np.ndarray
+
+
+def encode(ids: np.ndarray, x: np.ndarray, index: Index, k: int, settings: Settings) -> Block:
     ids, x = _distinct(ids, x, k + 1)
     width = settings.width
     codes = _assign(_split(x, width), _split(x / np.linalg.norm(x, axis=1, keepdims=True), width), index.books, index.eta)
     if codes.shape[1] % 2:
         codes = np.pad(codes, ((0, 0), (0, 1)))
-    packed = codes[:, ::2] | codes[:, 1::2] << 4
-    tables = np.einsum("qsw,scw->qsc", _split(queries, width), index.books).astype(np.float32)
+    return Block(ids, x, codes[:, ::2] | codes[:, 1::2] << 4, ((x**2).sum(1) / 2).astype(np.float32))
+
+
+def scan(block: Block, query_ids: np.ndarray, queries: np.ndarray, index: Index, k: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, id, distance) of each query's k nearest rows of one block."""
+    ids, x, packed, half = block.ids, block.x, block.packed, block.half
+    tables = np.einsum("qsw,scw->qsc", _split(queries, settings.width), index.books).astype(np.float32)
     if tables.shape[1] % 2:
         tables = np.pad(tables, ((0, 0), (0, 1), (0, 0)))
     tables = (tables[:, 1::2, :, None] + tables[:, ::2, None, :]).reshape(len(queries), -1, CODES * CODES)
-    half = ((x**2).sum(1) / 2).astype(np.float32)
     margin = 0.5 * index.error * np.linalg.norm(queries, axis=1) / np.sqrt(index.dim)
     at, who, far = [], [], []
     for q in range(len(queries)):
@@ -145,7 +163,8 @@ def scan(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndar
             chosen = np.arange(len(near))
         chosen = chosen[ids[chosen] != query_ids[q]]
         distance = np.sqrt(((x[chosen] - queries[q]) ** 2).sum(1))
-        best = np.lexsort((ids[chosen], distance))[:k]
+        best = np.lexsort((ids[chosen], distance))
+        best = best[np.sort(np.unique(ids[chosen[best]], return_index=True)[1])][:k]
         at.append(np.full(len(best), q))
         who.append(ids[chosen[best]])
         far.append(distance[best])
@@ -171,29 +190,41 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, settings: Settings
     rows = usable(vectors)
     _, sample = _matrix(rows.withColumn("__h", F.xxhash64("vec_id")).orderBy("__h", "vec_id").limit(settings.sample).select("vec_id", "embedding").collect())
     queries = rows.where(is_query)
-    blocks = max(1, -(-queries.count() * 5 // (settings.query_block * 4)))
-    found = None
-    for b in range(blocks if len(sample) else 0):
-        own = queries.where(F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(blocks)) == b)
-        query_ids, query_rows = _matrix(own.collect())  # about query_block rows
-        if not len(query_ids):
-            continue
-        if found is None:
-            index = fit_vectors(sample, settings)
-        held = spark.sparkContext.broadcast((query_ids, query_rows, index, k, settings))
-
-        def answers(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            query_ids, query_rows, index, k, settings = held.value
-            for batch in batches:
-                for i in range(0, len(batch), settings.scan_rows):
-                    part = batch.iloc[i : i + settings.scan_rows]
-                    x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                    at, who, far = scan(part["vec_id"].to_numpy(), x, query_ids, query_rows, index, k, settings)
-                    yield pd.DataFrame({"query_id": query_ids[at], "vec_id": who, "score": far})
-
-        part = rows.mapInPandas(answers, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    asked = queries.count()
+    if not len(sample) or not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    index = fit_vectors(sample, settings)
+    held = spark.sparkContext.broadcast((index, k, settings))
+
+    def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, k, settings = held.value
+        for batch in batches:
+            for i in range(0, len(batch), settings.scan_rows):
+                part = batch.iloc[i : i + settings.scan_rows]
+                b = encode(part["vec_id"].to_numpy(), np.stack(part["embedding"].to_numpy()).astype(np.float64), index, k, settings)
+                yield pd.DataFrame([[v.tobytes() for v in (b.ids, b.x, b.packed, b.half)]], columns=["ids", "x", "packed", "half"])
+
+    encoded = cut(rows.mapInPandas(blocks_of, "ids binary, x binary, packed binary, half binary"))
+    blocks = max(1, -(-asked * 5 // (settings.query_block * 4)))
+
+    def found() -> Iterator[DataFrame]:
+        for number in range(blocks):
+            own = queries.where(F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(blocks)) == number)
+            asks = spark.sparkContext.broadcast(_matrix(own.collect()))  # about query_block rows
+
+            def answers(batches: Iterator[pd.DataFrame], asks=asks) -> Iterator[pd.DataFrame]:
+                (query_ids, query_rows), (index, k, settings) = asks.value, held.value
+                for batch in batches:
+                    for ids, x, packed, half in zip(batch["ids"], batch["x"], batch["packed"], batch["half"], strict=True):
+                        ids = np.frombuffer(ids, np.int64)
+                        block = Block(ids, np.frombuffer(x, np.float64).reshape(len(ids), -1), np.frombuffer(packed, np.uint8).reshape(len(ids), -1), np.frombuffer(half, np.float32))
+                        if len(query_ids):
+                            at, who, far = scan(block, query_ids, query_rows, index, k, settings)
+                            yield pd.DataFrame({"query_id": query_ids[at], "vec_id": who, "score": far})
+
+            yield encoded.mapInPandas(answers, "query_id long, vec_id long, score double")
+            asks.destroy()
+
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return cut(found).distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    nearest = piled(spark, found()).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return nearest.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
