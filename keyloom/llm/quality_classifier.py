@@ -1,22 +1,25 @@
 """Compression classifier: which of two dictionaries makes a text smaller.
 
 A zstandard dictionary is built from good labelled text and one from bad. Each text is compressed
-with both; the difference of the two sizes, over the larger, is the raw score. A logistic
-calibration over that difference, the two normalised sizes and the text's length, fitted on
-labelled rows that built neither dictionary, makes it a probability.
+with both; the difference of the two sizes over the text's own is the raw score. A logistic calibration
+of that one number, a slope and an offset fitted on labelled rows that built neither dictionary and
+weighted to the classes' shares of all labels, makes it a probability.
 
 Bounds: at most ``max_fit`` labelled rows of each class are learnt from, those with the smallest hash
-of their id, and each of them whole. Every other one builds its class's dictionary, in pieces of
-``sample_bytes`` over its whole length; these come to the driver, the first of each class and then as
-many as fit in ``max_dictionary_bytes``. The rest calibrate where they lie. Scoring reads whole texts.
-
-Defined results: a null text counts as empty; an empty text gets a score; labels that are null or
-whose id is null or unknown are not learnt from; a class without any labels makes every score 0.5.
+of their id, and each of them whole. Every other one builds its class's dictionary of at most
+``dictionary_bytes``, out of pieces of ``sample_bytes`` that lie evenly over all their text; these texts come
+to the driver, the first of each class and then as many as fit in ``max_dictionary_bytes``. The rest calibrate
+where they lie. Scoring reads whole texts.
+
+Defined results: a null text counts as empty; an empty text has no difference and so the offset's score;
+labels that are null or whose id is null or unknown are not learnt from, nor are those of an id with both;
+of several texts of one id the least is learnt from; ids that tie in the hash go by id; repeated rows are
+scored one by one, and texts of any length whole; a class without any labels makes every score 0.5; an
+empty table gives an empty result; a column called as the score is replaced.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,19 +36,18 @@ from .common import cut
 class Settings:
     max_fit: int = 4000
     max_dictionary_bytes: int = 32 << 20
-    dictionary_bytes: int = 65536
-    sample_bytes: int = 2048
-    level: int = 3
-    ridge: float = 0.01
+    dictionary_bytes: int = 2 << 20
+    sample_bytes: int = 1024
+    level: int = 7
+    ridge: float = 0.001
 
 
 @dataclass
 class Model:
     good: bytes
     bad: bytes
-    weights: np.ndarray
-    mean: np.ndarray
-    spread: np.ndarray
+    offset: float
+    slope: float
     level: int
 
     def scorer(self) -> Scorer:
@@ -53,20 +55,15 @@ class Model:
 
 
 def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
-    held = zstandard.ZstdCompressionDict(content) if content else None
+    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(content) >= 8 else None
+    if held is not None:
+        held.precompute_compress(level=level)
     return zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_dict_id=False, write_checksum=False)
 
 
-def _terms(diff: np.ndarray, good: np.ndarray, bad: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return np.stack([diff, good, bad, length, diff * length, good * length, diff**2, good**2, length**2], axis=1)
-
-
-def _sizes(texts: list[bytes], good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
-    out = np.empty((len(texts), 4))
-    for i, body in enumerate(texts):
-        g, b, n = len(good.compress(body)), len(bad.compress(body)), max(1, len(body))
-        out[i] = (b - g) / max(b, g), g / n, b / n, math.log1p(len(body))
-    return _terms(*out.T)
+def _differences(texts: list[bytes], good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
+    """How many bytes more the bad dictionary needs for each byte of text."""
+    return np.array([(len(bad.compress(t)) - len(good.compress(t))) / max(1, len(t)) for t in texts], dtype=np.float64)
 
 
 class Scorer:
@@ -79,42 +76,39 @@ class Scorer:
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.empty(0)
-        x = (_sizes(texts, self.good, self.bad) - self.model.mean) / self.model.spread
-        z = self.model.weights[0] + x @ self.model.weights[1:]
+        z = self.model.offset + self.model.slope * _differences(texts, self.good, self.bad)
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
 
 
 def _dictionary(texts: list[bytes], settings: Settings) -> bytes:
     pieces = [t[i : i + settings.sample_bytes] for t in texts for i in range(0, len(t), settings.sample_bytes)]
-    try:
-        return zstandard.train_dictionary(settings.dictionary_bytes, pieces).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself serves
-        return b"".join(pieces)[-settings.dictionary_bytes :]
+    most = max(1, settings.dictionary_bytes // settings.sample_bytes)
+    return b"".join(pieces[len(pieces) * i // most] for i in range(most)) if len(pieces) > most else b"".join(pieces)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
     a = np.c_[np.ones(len(x)), x]
     w = np.zeros(a.shape[1])
     for _ in range(60):
         p = 1.0 / (1.0 + np.exp(-np.clip(a @ w, -30.0, 30.0)))
-        curve = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + ridge * np.eye(len(w))
-        move = np.linalg.solve(curve, a.T @ (y - p) - ridge * w)
+        curve = (a * (weight * p * (1 - p) + 1e-6)[:, None]).T @ a + ridge * np.eye(len(w))
+        move = np.linalg.solve(curve, a.T @ (weight * (y - p)) - ridge * w)
         w += move
         if np.abs(move).max() < 1e-8:
             break
     return w
 
 
-N_TERMS = 9
-
-
 def _unlearnt(settings: Settings) -> Model:
-    return Model(b"", b"", np.zeros(N_TERMS + 1), np.zeros(N_TERMS), np.ones(N_TERMS), settings.level)
+    return Model(b"", b"", 0.0, 0.0, settings.level)
 
 
-def _calibrated(dictionaries: list[bytes], x: np.ndarray, y: np.ndarray, settings: Settings) -> Model:
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return Model(*dictionaries, _logistic((x - mean) / spread, y, settings.ridge), mean, spread, settings.level)
+def _calibrated(dictionaries: list[bytes], x: np.ndarray, y: np.ndarray, share: float, settings: Settings) -> Model:
+    """``share``: of good ones among all labels."""
+    mean, spread = x.mean(), x.std() + 1e-9
+    weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
+    offset, slope = _logistic((x - mean) / spread, y, weight, settings.ridge)
+    return Model(*dictionaries, float(offset - slope * mean / spread), float(slope / spread), settings.level)
 
 
 def _within(rows: list, sizes: list[int], most: int) -> list:
@@ -122,15 +116,16 @@ def _within(rows: list, sizes: list[int], most: int) -> list:
     return rows[: max(1, int(np.searchsorted(np.cumsum(sizes), most, side="right")))]
 
 
-def fit_texts(good: list[bytes], bad: list[bytes], settings: Settings) -> Model:
-    """Every other text builds its class's dictionary, the rest calibrate."""
+def fit_texts(good: list[bytes], bad: list[bytes], settings: Settings, share: float | None = None) -> Model:
+    """Every other text builds its class's dictionary, the rest calibrate; ``share``: of good ones, else these texts'."""
     if not good or not bad:
         return _unlearnt(settings)
     build = [_within(texts[::2], [len(t) for t in texts[::2]], settings.max_dictionary_bytes) for texts in (good, bad)]
     dictionaries = [_dictionary(texts, settings) for texts in build]
     held = [good[1::2] or good, bad[1::2] or bad]
-    x = _sizes(held[0] + held[1], *(_compressor(d, settings.level) for d in dictionaries))
-    return _calibrated(dictionaries, x, np.r_[np.ones(len(held[0])), np.zeros(len(held[1]))], settings)
+    x = _differences(held[0] + held[1], *(_compressor(d, settings.level) for d in dictionaries))
+    share = len(good) / (len(good) + len(bad)) if share is None else share
+    return _calibrated(dictionaries, x, np.r_[np.ones(len(held[0])), np.zeros(len(held[1]))], share, settings)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> Model:
@@ -141,6 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings =
         .where((F.col("__mark") == F.col("__least")) & learn)
         .withColumn("__order", F.xxhash64("doc_id"))
     )
+    of_class = {r["__mark"]: int(r["n"]) for r in marks.groupBy("__mark").agg(F.count("*").alias("n")).collect()}  # two rows
     chosen = None
     for mark in (0, 1):
         part = marks.where(F.col("__mark") == mark).orderBy("__order", "doc_id").limit(settings.max_fit).select("doc_id", "__mark", "__order")
@@ -165,11 +161,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings =
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         good, bad = (_compressor(d, level) for d in dictionaries)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "x": list(_sizes([bytes(t) for t in b["__body"]], good, bad))})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "x": _differences([bytes(t) for t in b["__body"]], good, bad)})
 
     held = [r for own in classes for r in (own[1::2] or own)]
-    x = {r["doc_id"]: r["x"] for r in of([r["doc_id"] for r in held]).select("doc_id", "__body").mapInPandas(terms, "doc_id long, x array<double>").collect()}
-    return _calibrated(dictionaries, np.array([x[r["doc_id"]] for r in held]), np.array([float(r["__mark"]) for r in held]), settings)
+    x = {r["doc_id"]: r["x"] for r in of([r["doc_id"] for r in held]).select("doc_id", "__body").mapInPandas(terms, "doc_id long, x double").collect()}
+    share = of_class[1] / (of_class[0] + of_class[1])
+    return _calibrated(dictionaries, np.array([x[r["doc_id"]] for r in held]), np.array([float(r["__mark"]) for r in held]), share, settings)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
