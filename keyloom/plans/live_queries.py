@@ -7,7 +7,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import functions as F
 
-from keyloom.operators import keyspace, lists, merge, replicas, scripts, transactions
+from keyloom.operators import keyspace, lists, merge, pubsub, replicas, scripts, transactions
 from keyloom.sources import keyspaces as ks
 from keyloom.sources.folders import shared_dir
 from keyloom.streaming import live
@@ -262,3 +262,34 @@ if find_spec("google") is not None and find_spec("google.protobuf") is not None:
 
         held = proto.get(messages(spark, d)).join(messages(spark, d).select("key", "event_type"), "key")
         return held.select("key", F.substring(F.hex("value"), F.lit(1), 4 + 2 * F.length("event_type")).alias("head"))
+
+
+@query("get", "SELECT key, value FROM str WHERE key IN ('cust:7', 'cust:12', 'cust:nobody')")
+def _(spark, d):
+    from keyloom.operators import strings
+
+    return strings.get(ks.customer_strings(spark, d), "cust:7", "cust:12", "cust:nobody")
+
+
+@query("config_get", "SELECT 'loglevel' AS name, 'ERROR' AS value UNION ALL SELECT 'gc_grace_ms', '3600000'")
+def _(spark, d):
+    from keyloom.operators import server
+
+    settings = server.Settings()
+    settings.set("loglevel", "ERROR")
+    return spark.createDataFrame([(n, str(settings.get(n))) for n in ("loglevel", "gc_grace_ms")], "name string, value string")
+
+
+@query("time_parts", "SELECT 1705000000 AS seconds, 123000 AS micros, 'hello' AS echo")
+def _(spark, d):
+    from keyloom.operators import server
+
+    return server.ping(spark, "hello").select(*[F.lit(v).alias(n) for n, v in zip(("seconds", "micros"), server.time(1_705_000_000_123), strict=True)], F.col("reply").alias("echo"))
+
+
+@query("unsubscribe", "SELECT event_id AS seq, event_type AS channel, (event_type = 'view')::BIGINT AS receivers FROM events")
+def _(spark, d):
+    """Two subscribers of a channel, one of whom has left again."""
+    held = spark.createDataFrame([("x", "view"), ("y", "view"), ("y", "error")], "subscriber string, channel string")
+    messages_ = ks.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("channel"))
+    return pubsub.receivers(messages_, held.where("subscriber <> 'y'"), [])
