@@ -95,23 +95,64 @@ def test_lm_filter_larger_than_a_broadcast(spark, docs):
     """A filter that no broadcast may hold keeps its bits a key, and gives the scores of a broadcast one."""
     rows = docs.select("doc_id", (F.coalesce(F.col("doc_id"), F.lit(1)) % 5 == 1).alias("held_out"), "text")
     found = []
-    for most in (64 << 20, 1000):
+    for most in (8 << 20, 1000):
         model, counts = lm_scoring.train(rows.where(~F.col("held_out")), lm_scoring.Settings(max_filter_bytes=most, slice_bytes=4000))
         assert counts.agg(F.sum(F.octet_length("cells"))).first()[0] > 1000 and (model.filter is None) == (most == 1000)
         found.append(sorted(((str(r.doc_id), str(r.held_out), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scoring.score(rows, model, counts).collect())))
     assert found[0] == found[1] and len(found[0]) == rows.count()
 
 
+def test_lm_score_against_plain_python(spark, docs):
+    """With filters so large that no probe errs, the score is the smoothed sum over levels."""
+    rows = docs.select("doc_id", F.lit(False).alias("held_out"), "text")
+    texts = [(r.text or "").encode().lower().split() for r in rows.collect()]
+    words, pairs = Counter(w for t in texts for w in [*t, None]), Counter(p for t in texts for p in zip([None, *t], [*t, None], strict=True))
+    mean = lambda c: lm_scoring.MEANING[0 if not c else c.bit_length()]
+    count = lambda w: len(texts) if w is None else mean(words[w])
+    below, mu = sum(count(w) for w in words) + 0.5 * (len(words) + 1), 40.0
+    log10 = lambda v, w: math.log10((min(mean(pairs[v, w]), count(v)) + mu * min(1.0, (count(w) + 0.5) / below)) / (count(v) + mu))
+    want = sorted(sum(log10(v, w) for v, w in zip([None, *t], [*t, None], strict=True)) for t in texts)
+    for most in (8 << 20, 1000):
+        model, counts = lm_scoring.train(rows, lm_scoring.Settings(bits_per_key=80, max_filter_bytes=most, slice_bytes=4000))
+        assert np.allclose(sorted(r.score for r in lm_scoring.score(rows, model, counts).collect()), want, rtol=1e-9)
+
+
 def test_filter_levels():
     grams = lm_scoring.mixed(np.arange(1, 4001, dtype=np.uint64))
     counts = np.random.default_rng(1).geometric(0.1, 4000)
-    part = lm_scoring.filter_part(grams, counts, 12, 1 << 20)
+    part = lm_scoring.filter_part(lm_scoring.codes_of(grams, 1), counts, 12)
     held = lm_scoring.Filter(part, np.array([0]), np.array([len(part)]))
     levels = lm_scoring.level_of(counts)
     assert (held.levels(grams) >= levels).all() and (held.levels(grams) == levels).mean() > 0.95
     assert (held.levels(lm_scoring.mixed(np.arange(10_000, 20_000, dtype=np.uint64))) > 0).mean() < 0.05
-    small = lm_scoring.filter_part(grams, counts, 12, 512)
-    assert small.nbytes <= 512
+    assert not len(lm_scoring.filter_part(grams[:0], counts[:0], 12))
+
+
+@pytest.mark.parametrize("slices", [1, 4, 7, 85, 5001, 1 << 20])
+def test_slices_are_ranges(slices):
+    grams = np.sort(lm_scoring.mixed(np.arange(1, 200_001, dtype=np.uint64)))
+    part, codes = lm_scoring.slice_of(grams, slices), lm_scoring.codes_of(grams, slices)
+    assert (part[1:] >= part[:-1]).all() and part.max() < slices and codes.max() < 1 << 32
+    same = part[1:] == part[:-1]
+    assert (codes[1:][same] >= codes[:-1][same]).all() and (codes[1:][same] != codes[:-1][same]).mean() > 0.999
+    back = np.concatenate([lm_scoring.unpacked(lm_scoring._coded(grams[own], 1, slices)) for _, own in lm_scoring._by_slice(grams[:5000], slices)])
+    assert (back == codes[:5000]).all() and (lm_scoring.unpacked(lm_scoring.packed(grams)) == grams).all() and not len(lm_scoring.unpacked(lm_scoring.packed(grams[:0])))
+
+
+def test_scores_are_probabilities(spark):
+    """No score is above 0 with a filter full of bits, and P(w) sums to one over the vocabulary and one unknown word."""
+    texts = ["a b a c", "a a a a a", "b c d " * 30, "a", ""]
+    rows = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    for bits in (1, 10):
+        model, counts = lm_scoring.train(rows, lm_scoring.Settings(bits_per_key=bits))
+        assert all(r.score <= 0 for r in lm_scoring.score(rows, model, counts).collect())
+    found = np.sort(lm_scoring.word_hashes([b"a", b"b", b"c", b"d"]))
+    count = np.r_[lm_scoring.MEANING[model.filter.levels(found)], model.ends]
+    assert abs((count + 0.5).sum() + 0.5 - (model.mass + 0.5 * (model.types + 1))) < 1e-9
+    pair = lambda v, w: float(lm_scoring.MEANING[model.filter.levels(lm_scoring.joined(*[lm_scoring.word_hashes([x]) for x in (v, w)]))[0]])
+    for v in (b"a", b"b"):  # up to quantisation
+        total, own = sum(pair(v, w) for w in (b"a", b"b", b"c", b"d")), count[np.searchsorted(found, lm_scoring.word_hashes([v]))[0]]
+        assert 0.5 < (total + model.mu) / (own + model.mu) < 1.5
 
 
 def test_token_counts(spark, docs, tmp_path):
@@ -134,6 +175,36 @@ def test_token_counts(spark, docs, tmp_path):
         store.commit("../x", token_counts.changes(docs, counters))
 
 
+def test_token_counts_against_plain_python(spark, docs, tmp_path):
+    """Each group's totals after inserts, a revision, a delete and retries are those of the documents that remain."""
+    import base64
+
+    import tiktoken
+
+    with open(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    bpe = tiktoken.Encoding("plain", pat_str=token_counts.BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    counters = {"words": token_counts.word_counter(), "bpe": token_counts.byte_bpe_counter(spark, f"{TOKENIZERS}/byte_bpe_50k.tiktoken")}
+    clash = docs.withColumns({c: F.lit("clash") for c in ("docs", "tokens", "bytes", "tokenizer")})
+    store = token_counts.RollupStore(spark, str(tmp_path / "rollup"))
+    before = store.totals()
+    store.commit("load", token_counts.changes(clash, counters))
+    old = clash.where("doc_id < 20")
+    store.commit("revise", token_counts.revision(old, old.withColumn("text", F.concat(F.lit("new "), "text")), counters))
+    for _ in range(3):
+        store.commit("delete", token_counts.changes(clash.where("doc_id >= 300 OR text IS NULL"), counters, -1))
+    want = defaultdict(lambda: [0, 0, 0])
+    for i, t, lang, source, _ in make_docs():
+        if t is None or i is not None and i >= 300:
+            continue
+        t = "new " + t if i is not None and i < 20 else t
+        for name, n in (("words", len(words(t))), ("bpe", len(bpe.encode_ordinary(t)))):
+            for k, x in enumerate((1, n, len(t.encode()))):
+                want[source, lang, name][k] += x
+    assert {tuple(r)[:3]: list(r)[3:] for r in store.totals().collect()} == dict(want)
+    assert before.count() == 0 and len(list((tmp_path / "rollup/batches").glob("[!.]*"))) == 4
+
+
 def test_sentencepiece(spark, docs):
     import sentencepiece
 
@@ -194,7 +265,7 @@ def test_quality_classifier_learns_from_whole_texts(spark):
     labels = spark.createDataFrame([(i, int(i < 16)) for i in range(32)], "doc_id long, quality int")
     model = quality_classifier.fit(docs, labels, F.lit(True))
     assert b"mountain" in model.good and b"click###" in model.bad
-    assert abs(np.expm1(model.mean[3]) / np.mean([len(t) for t in good + bad]) - 1) < 0.1
+    assert model.slope > 0  # one slope and one offset on the difference
     assert all((r.score > 0.5) == (r.doc_id < 16) for r in quality_classifier.score(docs, model).collect())
 
 
@@ -225,6 +296,23 @@ def test_mixing(spark):
         mixing.mix(df, want, max_patterns=2)
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Rows that tie in the seeded order are taken one by one, so targets are met within a document."""
+    dice = random.Random(3)
+    rows = [(i, dice.randint(100, 700), ["a"]) for i in range(500)] + [(1000, 1000, ["a"])] * 300 + [(None, 0, ["a"])] * 5 + [(7, 50, None), (8, None, ["a"])]
+    df = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>").withColumns({"taken": F.lit("clash"), "__x": F.lit(1)})
+    total = sum(r[1] or 0 for r in rows if r[2])
+    for share in (0.3, 1.31):
+        got = mixing.mix(df.fillna(0, ["size"]), {"a": share * total}).collect()
+        taken = sum(r.taken for r in got)
+        assert len(got) == len(rows) and abs(taken - share * total) <= 500 and all(0 <= r.taken <= 2 * r.size for r in got)
+        again = mixing.mix(df.fillna(0, ["size"]).repartition(7), {"a": share * total}).collect()
+        key = lambda r: (r.doc_id or -1, r.size, r.taken)
+        assert sorted(map(key, got)) == sorted(map(key, again)) and "__x" not in got[0]
+    few = mixing.mix(spark.createDataFrame([(1, 1000, ["a"])] * 300, "doc_id long, size long, sources array<string>"), {"a": 123_400.0}).collect()
+    assert abs(sum(r.taken for r in few) - 123_400) <= 1000
+
+
 def test_url_filter(spark):
     urls = ["http://EXAMPLE.com/en/1", "http://www.example.com/en/1", "http://a.example.com/fr/", "http://example.com", "http://x.net/es/1?u", "https://y.net#f", "http://net/fr/", None, "no scheme", "http://badnet/fr/", "http://bad.org/en/"]
     html = '<a href="http://Seed.com/x">s</a><A HREF=//user@q.org>'
@@ -257,6 +345,48 @@ def test_host_scores_settle(spark):
     assert abs(got["a"] - 0.15 / (1 - 0.85**2)) < 1e-5 and abs(got["b"] - 0.85 * got["a"]) < 1e-5
 
 
+def test_judge_against_plain_python(spark):
+    """Trust, distrust and verdict of every page, on a random graph with the query's own settings."""
+    dice = random.Random(12)
+    names = [f"h{i}.{t}" for i in range(14) for t in ("com", "org", "net")]
+    pages = []
+    for i in range(120):
+        host = dice.choice(names)
+        link = "".join(f'<a href="http://{dice.choice(["", "me@"])}{dice.choice(names).upper()}/x">' for _ in range(dice.randint(0, 4)))
+        pages.append((i, f"http://{dice.choice(['', 'user@'])}{host}/{dice.choice(['es', 'fr', 'en', 'x'])}/", link + "y" * dice.choice([0, 0, 200_000 * (i == 0)])))
+    rules = (*URL_RULES, url_filter.UrlRule("h3.org", "/", "block"))
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("verdict", F.lit("clash")), rules).collect()}
+    good, bad, count, links = Counter(), Counter(), Counter(), Counter()
+    for i, url, html in pages:
+        site = url.split("://")[1].split("/")[0].split("@")[-1]
+        count[site] += 1
+        good[site] += got[i].rule is not None and {r.name: r.verdict for r in rules}[got[i].rule] == "allow"
+        bad[site] += got[i].rule is not None and {r.name: r.verdict for r in rules}[got[i].rule] == "block"
+        for to in re.findall(r'href="http://(?:me@)?([^/]+)/', html):
+            if to.lower() != site:
+                links[site, to.lower()] += 1
+    every = set(count) | {x for e in links for x in e}
+    total = Counter()
+    for (a, _), n in links.items():
+        total[a] += n
+    trust = {h: good[h] / max(1, count[h]) for h in every}
+    distrust = {h: bad[h] / max(1, count[h]) for h in every}
+    seeds = dict(trust), dict(distrust)
+    for _ in range(400):
+        gained, lost = Counter(), Counter()
+        for (a, b), n in links.items():
+            gained[b] += trust[a] * n / total[a]
+            lost[a] += distrust[b] * n / total[a]
+        trust = {h: 0.15 * seeds[0][h] + 0.85 * gained[h] for h in every}
+        distrust = {h: 0.15 * seeds[1][h] + 0.85 * lost[h] for h in every}
+    for i, url, _ in pages:
+        site = url.split("://")[1].split("/")[0].split("@")[-1]
+        assert abs(got[i].trust - trust[site]) < 1e-4 and abs(got[i].distrust - distrust[site]) < 1e-4
+        if got[i].rule is None and abs(distrust[site] - 0.075) > 1e-4 and abs(distrust[site] - trust[site]) > 1e-4:
+            assert got[i].verdict == ("block" if distrust[site] >= 0.075 and distrust[site] > trust[site] else "allow")
+    assert {got[i].verdict for i in got if got[i].rule is None} == {"allow", "block"}
+
+
 def test_page_rank(spark):
     links = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 0.5), ("b", "a", 0.5), ("hub", "a", 1.0)], "src string, dst string, w double")
     seeds = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 0.0), ("hub", 0.0)], "host string, seed double")
@@ -298,6 +428,34 @@ def test_sharding_balance_and_copies(spark):
     assert sorted((r.doc_id, r.shard) for r in sharding.place(df.repartition(7), shards=10).collect()) == sorted((r.doc_id, r.shard) for r in placed)
 
 
+def test_sharding_cuts_fewer_links_than_hashing(spark):
+    """Many small groups of copies: propagation leaves none apart, a hash of the id leaves nearly all."""
+    rows = [(i, f"group {i // 4} " * 9) for i in range(1600)] + [(5000 + i, f"alone {i} " * 9) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = sharding.place(df, shards=8).cache()
+    hashed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int"))
+    all_links = 400 * 6
+    groups = defaultdict(Counter)
+    for r in hashed.collect():
+        groups[r.digest][r.shard] += 1
+    want = sum((sum(c.values()) ** 2 - sum(n * n for n in c.values())) // 2 for c in groups.values())
+    assert sharding.cut_edges(hashed) == want > 0.7 * all_links and sharding.cut_edges(placed) == 0
+    assert sharding.cut_edges(placed.limit(0)) == 0
+
+
+def test_sharding_of_alike_rows(spark):
+    """Rows that are the same in all, null ones included, spread evenly when no shard could hold them."""
+    rows = [(None, None)] * 700 + [(3, None)] * 300 + [(9, "same words " * 20)] * 400 + [(i, f"text {i} " * 8) for i in range(100, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"shard": F.lit("clash"), "slot": F.lit("clash"), "unit": F.lit("clash")})
+    placed = [sharding.slots(sharding.place(d, shards=10)).collect() for d in (df, df.repartition(9))]
+    loads = defaultdict(int)
+    for r in placed[0]:
+        loads[r.shard] += r.size
+    mean = sum(loads.values()) / 10
+    assert len(placed[0]) == len(rows) and len(loads) == 10 and max(loads.values()) < 1.1 * mean and min(loads.values()) > 0.9 * mean
+    assert Counter((r.doc_id, r.shard) for r in placed[0]) == Counter((r.doc_id, r.shard) for r in placed[1])
+
+
 def test_nearest(spark):
     dice = np.random.default_rng(4)
     x = dice.normal(size=(1500, 24)).astype(np.float32)
@@ -319,6 +477,10 @@ def test_nearest(spark):
         assert len(got[q]) == 10 and all(abs(s - d[v]) < 1e-12 for s, v in got[q]) and got[q] == sorted(got[q])
     assert len(got) == 30 and hit / 300 >= 0.95
     assert [v for _, v in got[1200]] == list(range(1201, 1211))
+    twice = df.where("vec_id < 60").unionByName(spark.createDataFrame([(7, rows[0][1], "near 0")], df.schema))
+    assert [(r.vec_id, r.score) for r in nearest.search(twice, F.col("vec_id") == 0, 1, nearest.Settings(query_block=1)).collect()] == [(7, 0.0)]
+    many = nearest.search(df, F.col("vec_id") % 50 == 0, 10, nearest.Settings(query_block=8, scan_rows=300))  # several blocks of queries and of vectors
+    assert sum(r.vec_id in {v for _, v in got[r.query_id]} for r in many.collect()) >= 290
     few = nearest.search(df.where("vec_id < 4"), F.col("vec_id") == 0, 10)
     assert few.count() == 3 and nearest.search(df.limit(0), F.lit(True)).count() == 0
 
@@ -344,9 +506,8 @@ def brute_components(rows, width, percent):
     return {i: (len(sets[i]), least[top(i)]) for i in sets}
 
 
-@pytest.mark.parametrize("block", [256, 8])  # 8: large buckets, with leaders and the exact rest
-@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
-def test_near_duplicates(spark, block, width, percent):
+@pytest.mark.parametrize("block,most,width,percent", [(256, 32 << 20, 3, 85), (256, 32 << 20, 5, 80), (8, 32 << 20, 3, 85), (256, 5000, 5, 80)])  # 8, 5000: large buckets, with leaders and the exact rest
+def test_near_duplicates(spark, block, most, width, percent):
     dice = random.Random(block)
     base = [f"w{dice.randint(0, 400)}" for _ in range(130)]
     rows = []
@@ -358,7 +519,7 @@ def test_near_duplicates(spark, block, width, percent):
     rows += [(2000 + i, " ".join(f"q{dice.randint(0, 5000)}" for _ in range(50))) for i in range(60)] + [(3000 + i, base and "  ".join(base).upper()) for i in range(4)]
     rows += [(4000, None), (4001, ""), (4002, "A b"), (4003, "a\tB"), (4004, "a"), (4005, "w " * 20000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash"))
-    got = near_duplicates.near_duplicates(df, near_duplicates.Settings(width, percent, block, leaders=2)).collect()
+    got = near_duplicates.near_duplicates(df, near_duplicates.Settings(width, percent, block, max_bytes=most, leaders=2)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, width, percent)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
 
@@ -373,10 +534,46 @@ def test_near_duplicates_of_a_shared_id(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (6, 5), (7, 5), (8, 8)]
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    """Random tables in which ids repeat over different texts, against brute force over rows."""
+    dice = random.Random(21)
+    base = [[f"{c}{dice.randint(0, 900)}" for _ in range(80)] for c in "abcde"]
+    rows = []
+    for _ in range(90):
+        text = list(dice.choice(base))
+        for _ in range(dice.randint(0, 4)):
+            text[dice.randrange(80)] = f"n{dice.randint(0, 99999)}"
+        rows.append((dice.choice([None, *range(30)]), dice.choice([" ".join(text)] * 9 + [None, ""])))
+    sets = [frozenset(shingles(t, 3).tolist()) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, (x, _) in enumerate(rows):
+        for j, (y, _) in enumerate(rows[:i]):
+            alike = sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
+            if x is not None and y is not None and (x == y and sets[i] and sets[j] or alike):
+                up[top(i)] = top(j)
+    least = {}
+    for i, (x, _) in enumerate(rows):
+        if x is not None:
+            least[top(i)] = min(least.get(top(i), x), x)
+    want = []
+    for i, (x, _) in enumerate(rows):
+        twin = next((j for j, (y, _) in enumerate(rows) if y is not None and sets[j] == sets[i] and sets[i]), None)
+        c = least[top(i)] if x is not None else None if twin is None else least[top(twin)]
+        want.append((x, len(sets[i]), c, x is None or c == x))
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_duplicates.Settings(3, 85)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == Counter(want)
+
+
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c d"), (None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (7, "other words in here"), (8, "other words in here")]
     got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_duplicates.Settings(3, 85)).collect()
-    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, 7), (-1, 7), (7, 7), (7, 7), (7, 7), (8, 7)] or len(got) == 6
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, 7), (-1, 7), (7, 7), (7, 7), (7, 7), (8, 7)]
     assert near_duplicates.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -402,9 +599,10 @@ def test_components_and_sweep(spark):
     from keyloom.llm.common import cut, sweep
 
     chain = [(i, i + 1) for i in range(100, 160)] + [(5, 7), (7, 9), (9, 5), (200, 300)]
-    got = {r.node: r.label for r in near_duplicates.components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert {i: got.get(i, i) for i in range(100, 161)} == dict.fromkeys(range(100, 161), 100) and got[7] == got[9] == 5 and got[300] == 200
+    for few in (1_000_000, 0):  # in one task, and in rounds
+        got = {r.node: r.label for r in near_duplicates.components(spark.createDataFrame(chain, "a long, b long"), few=few).collect()}
+        assert {i: got.get(i, i) for i in range(100, 161)} == dict.fromkeys(range(100, 161), 100) and got[7] == got[9] == 5 and got[300] == 200 and 100 not in got
     with pytest.raises(RuntimeError):
-        near_duplicates.components(spark.createDataFrame(chain, "a long, b long"), rounds=1)
+        near_duplicates.components(spark.createDataFrame(chain, "a long, b long"), rounds=1, few=0)
     assert near_duplicates.components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert cut(spark.range(3)).count() == 3 and sweep(spark) > 0 and sweep(spark) == 0

@@ -58,6 +58,70 @@ def test_held_out_likelihood(spark):
     assert sums.s > sums.b
 
 
+def rows_of(spark, name):
+    return spark.read.parquet(f"{DATA}/{name}.parquet").collect()
+
+
+def test_token_counts_against_plain_python(spark):
+    import base64
+    import re
+
+    import tiktoken
+
+    from keyloom.llm import token_counts
+    from keyloom.llm.queries import MAIL
+
+    with open(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    bpe = tiktoken.Encoding("plain", pat_str=token_counts.BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for r in rows_of(spark, "documents"):
+        text = re.sub(MAIL, "<mail>", r.text)
+        if len(text.split()) < 5:
+            continue
+        for name, n in (("byte_bpe_50k/1", len(bpe.encode_ordinary(text))), ("words/1", len(text.split()))):
+            want[r.source, r.lang, name, "docs"] += 1
+            want[r.source, r.lang, name, "tokens"] += n
+            want[r.source, r.lang, name, "bytes"] += len(text.encode())
+    got = {(r.source, r.lang, r.tokenizer, k): n for r in queries()["op3_token_counts"](spark, DATA).collect() for k, n in (("docs", r.n_docs), ("tokens", r.n_tokens), ("bytes", r.n_bytes))}
+    assert got == dict(want)
+
+
+def test_quality_classifier_against_plain_python(spark):
+    order = [r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").orderBy(F.xxhash64("doc_id")).collect()]
+    texts = {r.doc_id: r.text.encode() for r in rows_of(spark, "documents")}
+    known = {r.doc_id: r.quality for r in rows_of(spark, "labels") if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    model = quality_classifier.fit_texts([texts[i] for i in order if known.get(i) == 1], [texts[i] for i in order if known.get(i) == 0], quality_classifier.Settings())
+    got = {r.doc_id: r for r in queries()["op5_quality_classifier"](spark, DATA).collect()}
+    want = dict(zip(texts, model.scorer()(list(texts.values())), strict=True))
+    assert set(got) == set(want) and all(abs(got[i].score - want[i]) < 1e-9 and got[i].predicted == (want[i] >= 0.5) for i in want)
+
+
+def test_mixing_against_plain_python(spark):
+    """Documents of each source in seeded order while they fit, then the one nearest in size to what is missing."""
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source").collect()
+    sized = spark.createDataFrame([(r.doc_id, len(r.text.split()), r.source) for r in rows], "doc_id long, size long, source string")
+    place = {r.doc_id: r.h % (1 << 64) for r in sized.select("doc_id", F.xxhash64(F.lit(0), "doc_id", "size").alias("h")).collect()}
+    own, size = {}, {}
+    for r in sized.collect():
+        own.setdefault(r.source, []).append(r.doc_id)
+        size[r.doc_id] = r["size"]
+    targets = mixing.weighted_targets({s: sum(size[i] for i in ids) for s, ids in own.items()})
+    want = {}
+    for s, ids in own.items():
+        base, left = divmod(min(round(targets[s]), 2 * sum(size[i] for i in ids)), sum(size[i] for i in ids))
+        line, more = sorted(ids, key=place.get), set()
+        for i in line:
+            if size[i] > left:
+                break
+            more.add(i)
+            left -= size[i]
+        spare = [(abs(size[i] - left), (place[i] + (1 << 63)) % (1 << 64), i) for i in line if i not in more and 0 < size[i] < 2 * left]
+        more |= {min(spare)[2]} if spare else set()
+        want |= {i: min(2, base + (i in more)) * size[i] for i in ids}
+    assert {r.doc_id: r.taken for r in queries()["op6_mixing"](spark, DATA).collect()} == want
+
+
 def make_tables(spark, path):
     dice = random.Random(8)
     vocab = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("n", "st", "ren", "lo")]
@@ -113,7 +177,7 @@ def test_pipeline_against_plain_python(spark, tmp_path):
             if a and 100 * len(a & b) >= 80 * len(a | b):
                 x, y = sorted((top(i), top(j)))
                 up[y] = x
-    kept = {i: r for r in want for i in [r[0]] if top(i) == i}
+    kept = {i: r for r in sorted(want, key=lambda r: (r[0], r[1]), reverse=True) for i in [r[0]] if top(i) == i}
     assert sorted(map(key, left["near duplicates"])) == sorted(map(key, kept.values()))
 
     mixed = Counter(r.doc_id for r in left["mixing"])
