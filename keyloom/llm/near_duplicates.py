@@ -8,18 +8,22 @@ registers are larger, equal and smaller; pairs that may reach the threshold are
 full shingle sets, and confirmed pairs are joined to components.
 
 Scale. Texts of the same set are one class, found by digest with a map-side minimum, so copies never
-meet. Buckets with the same members count once. Buckets of up to ``block`` classes are compared in
-one task. Larger ones are dealt into blocks: first every block meets a few leaders of its
-bucket, which takes time in proportion to the bucket and joins most of it; then only
-members outside the bucket's largest component meet the rest, block by block, and pairs within
-one component are skipped. No pair of a bucket is left out, no bucket is collected whole, and what
-leaves a task is at most one link a row.
+meet. Buckets with the same members count once. They are gone through in two waves: the first
+``early`` bands join most of what is similar, and of the others only the buckets whose members are not yet
+joined are looked at, and in them only pairs that are not; so a class and its text move a few times, not
+once a band. Buckets of up to ``block`` classes and ``max_bytes`` of text are compared in one task. Larger
+ones are dealt into blocks: first every block meets a few leaders of its bucket, which takes time in
+proportion to the bucket and joins most of it; then only members outside the bucket's largest component
+meet the rest, block by block, and pairs within one component are skipped. No pair of a bucket is left
+out, no bucket is collected whole, and what leaves a task is at most one link a row.
 
-A pair at the threshold shares a band with a chance of all but 1e-6 or less (``bands``).
+A pair at the threshold shares a band with a chance of all but 1e-7 or less (``bands``).
 
 Defined results: null and empty texts have no shingles and are linked with nothing; texts with fewer
-words than a shingle are one shingle; rows that share a doc_id are one node of the graph; a null
-doc_id has a null component and is kept; an empty table gives an empty result; other columns play no part.
+words than a shingle are one shingle; texts are read whole at any length; rows with shingles that share a
+doc_id are one node of the graph, whatever their texts; of a component the least doc_id names it and is kept, on all rows
+that have it; a row without doc_id has the component of its text's class, null where no row of that class has
+one, and is kept; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -45,7 +49,9 @@ class Settings:
     width: int = 5
     percent: int = 80
     block: int = 256
+    max_bytes: int = 32 << 20
     leaders: int = 4
+    early: int = 4
     broadcast_ids: int = 2_000_000
 
     @property
@@ -108,10 +114,11 @@ def _sketches(settings: Settings):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, 1000):
-                sizes, high, low, registers, bands = [], [], [], [], []
+                sizes, lengths, high, low, registers, bands = [], [], [], [], [], []
                 for text in texts.slice(at, 1000).to_pylist():
                     s = shingles(text, width)
                     sizes.append(len(s))
+                    lengths.append(len(text or ""))
                     if not len(s):
                         high.append(None), low.append(None), registers.append(None), bands.append(None)
                         continue
@@ -123,8 +130,8 @@ def _sketches(settings: Settings):
                     cols = r.astype(np.uint64).reshape(-1, rows)
                     bands.append(joined(np.arange(len(cols), dtype=np.uint64), *cols.T).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, 1000), batch.column(2).slice(at, 1000), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "mark", "n", "high", "low", "registers", "bands"],
+                    [ids.slice(at, 1000), batch.column(2).slice(at, 1000), pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "mark", "n", "bytes", "high", "low", "registers", "bands"],
                 )
 
     return of
@@ -163,9 +170,10 @@ def _links(group: pd.DataFrame, settings: Settings) -> pd.DataFrame:
     total = regs.shape[1]
     floor = settings.percent / 100 - 6 * np.sqrt(0.25 / total)
     is_lead = group["lead"].to_numpy()
+    label = group["label"].to_numpy()
     a, b, larger, equal = [], [], [], []
     for i in lead:
-        other = np.flatnonzero((np.arange(k) > i) | ~is_lead)
+        other = np.flatnonzero(((np.arange(k) > i) | ~is_lead) & (label != label[i]))
         other = other[100 * np.minimum(n[other], n[i]) >= settings.percent * np.maximum(n[other], n[i])]
         theirs = regs[other]
         a.append(np.full(len(other), i)), b.append(other)
@@ -198,15 +206,77 @@ def _compare(rows: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
     return held.groupBy(*keys).applyInPandas(lambda group: _links(group, settings), "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def _wave(members: DataFrame, facts: DataFrame, known: list[DataFrame], settings: Settings) -> list[DataFrame]:
+    """Links between the members (key, cid, own, label) of each bucket; rows of one label are joined already, by ``known`` links."""
+    tally = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("own").alias("bytes"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    inside = cut(members.select("key", "cid", "own", "label").join(tally.select("key", "size", "bytes"), "key"))
+    fits = (F.col("size") <= settings.block) & (F.col("bytes") <= settings.max_bytes)
+    blocks = lambda size, of: F.greatest(F.ceil(2 * F.col(size) / settings.block), F.ceil(2 * F.col(of) / settings.max_bytes), F.lit(1)).cast("int")
+    parts = blocks("size", "bytes")
+    links = [cut(_compare(inside.where(fits).withColumn("lead", F.lit(True)).join(facts, "cid"), ["key"], settings))]
+    large = inside.where(~fits).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "cid"), parts).cast("int"))
+    if large.isEmpty():
+        return links
+    # Leaders: the classes of least seeded hash in each bucket, one of each of a few draws.
+    draws = F.array(*[F.struct(F.xxhash64(F.lit(s), "key", "cid").alias("h"), F.col("cid"), F.col("label")) for s in range(settings.leaders)])
+    drawn = large.select("key", "size", "bytes", F.posexplode(draws)).groupBy("key", "size", "bytes", "pos").agg(F.min("col").alias("l"))
+    leaders = drawn.select("key", "size", "bytes", F.col("l.cid").alias("cid"), F.col("l.label").alias("label")).distinct()
+    everywhere = leaders.select("key", "cid", "label", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("lead"))
+    first = large.select("key", "cid", "label", "part", F.lit(False).alias("lead")).unionByName(everywhere)
+    first = first.groupBy("key", "part", "cid", "label").agg(F.max("lead").alias("lead"))
+    links.append(cut(_compare(first.join(facts, "cid"), ["key", "part"], settings)))
+    # The rest, exactly: who is outside the largest component of a bucket meets the others.
+    labels = components(reduce(DataFrame.unionByName, [*known, *links]))
+    named = cut(large.drop("label").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")))
+    tally = named.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("own").alias("b"))
+    tally = tally.groupBy("key").agg(F.max(F.struct("c", "label", "b")).alias("m"), F.sum("c").alias("all"), F.sum("b").alias("bs"))
+    tally = tally.where(F.col("m.c") < F.col("all")).select("key", F.col("m.label").alias("main"), (F.col("all") - F.col("m.c")).alias("out"), (F.col("bs") - F.col("m.b")).alias("out_bytes"))
+    open_ = cut(named.join(tally, "key"))
+    if open_.isEmpty():
+        return links
+    outer = blocks("out", "out_bytes")
+    ahead = open_.where("label <> main").withColumn("i", F.pmod(F.xxhash64(F.lit(4), "cid"), outer).cast("int"))
+    lead_rows = ahead.select("cid", "key", "label", "i", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("lead"))
+    other = open_.select("cid", "key", "label", F.explode(F.sequence(F.lit(0), outer - 1)).alias("i"), "part", F.lit(False).alias("lead"))
+    met = lead_rows.unionByName(other).groupBy("key", "i", "part", "cid", "label").agg(F.max("lead").alias("lead"))
+    return [*links, cut(_compare(met.join(facts, "cid"), ["key", "i", "part"], settings))]
+
+
+def settled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the least node that each can reach, of links between ``a`` and ``b``."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least, new = np.minimum(label[u], label[v]), label.copy()
+        np.minimum.at(new, label[u], least)
+        np.minimum.at(new, label[v], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    links = [b[["a", "b"]].to_numpy() for b in batches]
+    ends = np.concatenate([np.zeros((0, 2), np.int64), *links])
+    nodes, labels = settled(ends[:, 0], ends[:, 1])
+    yield pd.DataFrame({"node": nodes, "label": labels})[nodes != labels]
+
+
+def components(links: DataFrame, rounds: int = 60, few: int = 1_000_000) -> DataFrame:
     """(node, label): the least node that each linked node (long) can reach.
 
-    Alternates two star steps, each a minimum by node and a join; edges never grow in number.
+    Up to ``few`` links, 16 MB of them, are settled by one task. More of them go through rounds of two
+    alternating star steps, each a minimum by node and a join; edges never grow in number.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum((F.xxhash64("a", "b") % 1_000_003).cast("long"))).first())
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = mark(edges)
+    if seen[0] <= few:
+        return edges.coalesce(1).mapInPandas(_settled, "node long, label long")
     for _ in range(rounds):
         if not seen[0]:
             break
@@ -229,20 +299,21 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("mark", F.xxhash64("doc_id", "text"))  # a doc_id alone may stand for several texts
-    made = cut(texts.mapInArrow(_sketches(settings), "doc_id long, mark long, n long, high long, low long, registers binary, bands array<long>"))
+    made = cut(texts.mapInArrow(_sketches(settings), "doc_id long, mark long, n long, bytes long, high long, low long, registers binary, bands array<long>"))
     full = made.where(F.col("high").isNotNull() & F.col("doc_id").isNotNull())
     member = ["high", "low"]
     # A class goes by the mark of its first row.
     classes = full.groupBy(*member).agg(F.min(F.struct("doc_id", "mark")).alias("first"))
     classes = cut(classes.select(*member, F.col("first.mark").alias("cid"), F.col("first.doc_id").alias("least")))
-    reps = classes.join(full, member).where(F.col("mark") == F.col("cid")).select("cid", "n", "registers", "bands")
+    reps = classes.join(full, member).where(F.col("mark") == F.col("cid")).select("cid", "n", "bytes", "registers", "bands").dropDuplicates(["cid"])
     reps = cut(reps)
 
     # Buckets: classes that share a band; those with the same members count once.
-    spread = reps.select("cid", F.explode("bands").alias("key"))
-    buckets = spread.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cid")).alias("of"), F.sum(F.xxhash64("cid").bitwiseAND(F.lit((1 << 40) - 1))).alias("of2")).where("size > 1")
-    buckets = buckets.groupBy("size", "of", "of2").agg(F.min("key").alias("key")).select("key", "size")
-    inside = cut(spread.join(buckets, "key"))
+    spread = reps.select("cid", F.posexplode("bands").alias("band", "key"))
+    same = F.xxhash64("cid")
+    buckets = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("band").alias("band"), F.bit_xor(same).alias("of"), F.sum(same.bitwiseAND(F.lit((1 << 40) - 1))).alias("of2"))
+    buckets = buckets.where("size > 1").groupBy("size", "of", "of2").agg(F.min(F.struct("band", "key")).alias("m")).select("m.key", "m.band")
+    inside = cut(spread.select("cid", "key").join(buckets, "key").join(reps.select("cid", F.col("bytes").alias("own")), "cid"))
 
     # Texts of the classes that are in a bucket; their ids are broadcast only while they are few.
     ids = cut(inside.select("cid").distinct())
@@ -251,33 +322,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     facts = reps.select("cid", "n", "registers").join(wanted.select(F.col("mark").alias("cid"), "text"), "cid")
     facts = cut(facts.dropDuplicates(["cid"]))
 
-    parts = F.greatest(F.ceil(2 * F.col("size") / settings.block), F.lit(1)).cast("int")
-    part = F.pmod(F.xxhash64(F.lit(3), "cid"), parts).cast("int")
-    plain = inside.where(F.col("size") <= settings.block).withColumns({"lead": F.lit(True), "label": F.col("cid")})
-    links = [cut(_compare(plain.join(facts, "cid"), ["key"], settings))]
-    large = inside.where(F.col("size") > settings.block).withColumn("part", part)
-    if not large.isEmpty():
-        # Leaders: the classes of least seeded hash in each bucket, one of each of a few draws.
-        draws = F.array(*[F.struct(F.xxhash64(F.lit(s), "key", "cid").alias("h"), F.col("cid")) for s in range(settings.leaders)])
-        drawn = large.select("key", "size", F.posexplode(draws)).groupBy("key", "size", "pos").agg(F.min("col").alias("l"))
-        leaders = drawn.select("key", "size", F.col("l.cid").alias("cid")).distinct()
-        everywhere = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        first = large.withColumn("lead", F.lit(False)).unionByName(everywhere.withColumn("lead", F.lit(True)).select("cid", "key", "size", "part", "lead"))
-        first = first.groupBy("key", "part", "cid").agg(F.max("lead").alias("lead"))
-        links.append(cut(_compare(first.join(facts, "cid").withColumn("label", F.col("cid")), ["key", "part"], settings)))
-        # The rest, exactly: who is outside the largest component of a bucket meets the others.
-        labels = components(reduce(DataFrame.unionByName, links))
-        named = cut(large.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")))
-        tally = named.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"))
-        tally = tally.where(F.col("m.c") < F.col("all")).select("key", F.col("m.label").alias("main"), (F.col("all") - F.col("m.c")).alias("out"))
-        open_ = cut(named.join(tally, "key"))
-        if not open_.isEmpty():
-            outer = F.greatest(F.ceil(2 * F.col("out") / settings.block), F.lit(1)).cast("int")
-            ahead = open_.where("label <> main").withColumn("i", F.pmod(F.xxhash64(F.lit(4), "cid"), outer).cast("int"))
-            lead_rows = ahead.select("cid", "key", "label", "i", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("lead"))
-            other = open_.select("cid", "key", "label", F.explode(F.sequence(F.lit(0), outer - 1)).alias("i"), "part", F.lit(False).alias("lead"))
-            met = lead_rows.unionByName(other).groupBy("key", "i", "part", "cid", "label").agg(F.max("lead").alias("lead"))
-            links.append(cut(_compare(met.join(facts, "cid"), ["key", "i", "part"], settings)))
+    links = _wave(inside.where(F.col("band") < settings.early).withColumn("label", F.col("cid")), facts, [], settings)
+    if settings.early < settings.bands:
+        labels = cut(components(reduce(DataFrame.unionByName, links)))
+        later = inside.where(F.col("band") >= settings.early).join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        known = labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
+        links = [known, *_wave(later, facts, [known], settings)]
     # Classes that share a doc_id are one node.
     of = F.xxhash64(*member)
     again = cut(full.groupBy("doc_id").agg(F.min(of).alias("x"), F.max(of).alias("y")).where("x <> y").select("doc_id"))
