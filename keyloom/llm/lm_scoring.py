@@ -152,12 +152,6 @@ def filter_part(codes: np.ndarray, counts: np.ndarray, bits_per_key: int) -> np.
     return np.packbits(bits, bitorder="little").view("<u4")
 
 
-def pair_hashes(words: np.ndarray) -> np.ndarray:
-    """Hashes of (word before, word), the first word and the end included."""
-    before, after = np.r_[END, words], np.r_[words, END]
-    return joined(before, after)
-
-
 def first_tokens(sizes: np.ndarray) -> np.ndarray:
     """Where each text begins among the tokens of all, the ends included."""
     return np.r_[0, np.cumsum(sizes + 1)[:-1]].astype(np.int64)
