@@ -36,9 +36,9 @@ from .common import cut
 class Settings:
     max_fit: int = 4000
     max_dictionary_bytes: int = 32 << 20
-    dictionary_bytes: int = 2 << 20
+    dictionary_bytes: int = 4 << 20
     sample_bytes: int = 1024
-    level: int = 7
+    level: int = 9
     ridge: float = 0.001
 
 
