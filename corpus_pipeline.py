@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
 DataFrame; all but the last return the columns of ``documents``. ``run`` writes each stage's rows to the
 shared folder before the next begins, so a lost executor costs no finished stage.
 
-Nulls, empty texts, repeated rows and empty tables are handled as the operators' modules define. Of rows
-that repeat one doc_id, the near-duplicate stage keeps one.
+Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns are handled as the
+operators' modules define; stages see the columns of ``documents`` only. Of rows that repeat one doc_id, the
+near-duplicate stage keeps one: of different texts the least. Rows without doc_id stay.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import mixing, near_duplicates, quality_classifier, quality_rules, sentencepiece_codec
-from keyloom.llm.common import bucket_of, cut, read_table, spread, words
+from keyloom.llm.common import bucket_of, cut, drop, read_table, scope, spread, words
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZERS = "/opt/tokenizers"
@@ -48,7 +49,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if repeated.isEmpty():
         return docs
     side = F.broadcast if repeated.count() <= FEW_IDS else (lambda x: x)
-    once = docs.join(side(repeated), "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    first = F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")
+    once = docs.join(side(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "r.*")
     return docs.join(side(repeated), "doc_id", "left_anti").select(*COLUMNS).unionByName(once)
 
 
@@ -81,7 +83,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows; each stage's table, and what it wrote on the way, goes when the next one stands."""
+    docs, old = read_table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scope() as made:
+            docs = cut(stage(spark, docs, sf_dir))
+        drop(spark, [*old, *made[:-1]])
+        old = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
