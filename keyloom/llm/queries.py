@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lm_scoring, mixing, near_duplicates, nearest, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_counts, url_filter
-from .common import bucket_of, cut, read_table, shared_dir, spread, words
+from .common import SPACE_CLASS, bucket_of, cut, read_table, shared_dir, spread, words
 
 #: The rules of op7.
 URL_RULES = (
@@ -96,9 +96,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
     store = token_counts.RollupStore(spark, f"{shared_dir(spark)}/keyloom-{spark.sparkContext.applicationId}-rollup-{uuid.uuid4().hex}")
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     store.commit("load", token_counts.changes(docs, counters))
-    old = docs.where(F.col("text").rlike(MAIL))
+    old = docs.where(F.col("text").contains("@") & F.col("text").rlike(MAIL))
     store.commit("mask", token_counts.revision(old, masked(old), counters))
-    short = masked(docs).where(F.size(words(F.col("text"))) < 5)
+    # Masking leaves the number of words as it is; six parts tell whether there are five words.
+    parts = F.split(F.coalesce("text", F.lit("")), SPACE_CLASS + "+", 6)
+    short = masked(docs.where(F.size(F.filter(parts, lambda w: w != "")) < 5))
     for _ in range(2):
         store.commit("short", token_counts.changes(short, counters, -1))
     return store.totals().select("source", "lang", "tokenizer", F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"), F.col("bytes").alias("n_bytes"))
