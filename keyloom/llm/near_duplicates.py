@@ -10,8 +10,9 @@ full shingle sets, and confirmed pairs are joined to components.
 Scale. Texts of the same set are one class, found by digest with a map-side minimum, so copies never
 meet. Buckets with the same members count once. They are gone through in two waves: the first
 ``early`` bands join most of what is similar, and of the others only the buckets whose members are not yet
-joined are looked at, and in them only pairs that are not; so a class and its text move a few times, not
-once a band. Buckets of up to ``block`` classes and ``max_bytes`` of text are compared in one task. Larger
+joined are formed, and in them only pairs that are not are looked at; so a class and its text move a few times, not
+once a band. Large buckets whose largest component is the same become one where that means fewer pairs, so
+who stays outside a large group meets each member once. Buckets of up to ``block`` classes and ``max_bytes`` of text are compared in one task. Larger
 ones are dealt into blocks: first every block meets a few leaders of its bucket, which takes time in
 proportion to the bucket and joins most of it; then only members outside the bucket's largest component
 meet the rest, block by block, and pairs within one component are skipped. No pair of a bucket is left
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop, scope
 from .hashing import joined, mixed, shingles
 
 RATE, BASE, TOP = 20.0, 1.001, 65534  # of the exponential values; spacing of registers; their largest value
@@ -206,17 +207,61 @@ def _compare(rows: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
     return held.groupBy(*keys).applyInPandas(lambda group: _links(group, settings), "a long, b long")
 
 
-def _wave(members: DataFrame, facts: DataFrame, known: list[DataFrame], settings: Settings) -> list[DataFrame]:
-    """Links between the members (key, cid, own, label) of each bucket; rows of one label are joined already, by ``known`` links."""
-    tally = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("own").alias("bytes"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    inside = cut(members.select("key", "cid", "own", "label").join(tally.select("key", "size", "bytes"), "key"))
+def _buckets(classes: DataFrame, first: int, last: int, met: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The buckets (size, of, of2, key, bytes) that bands ``first`` to ``last`` make of ``classes`` (cid, bytes, label, bands), and their members.
+
+    Only those with several labels; of those with the same members one, and none that is in ``met``.
+    """
+    spread = classes.select("cid", "label", F.col("bytes").alias("own"), F.explode(F.slice("bands", first + 1, last - first)).alias("key"))
+    same, signs = F.xxhash64("cid"), ["size", "of", "of2"]
+    sums = [F.count("*").alias("size"), F.bit_xor(same).alias("of"), F.sum(same.bitwiseAND(F.lit((1 << 40) - 1))).alias("of2"), F.sum("own").alias("bytes")]
+    found = spread.groupBy("key").agg(*sums, F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    found = found.groupBy(*signs).agg(F.min("key").alias("key"), F.max("bytes").alias("bytes"))
+    found = cut(found if met is None else found.join(met.select(*signs), signs, "left_anti"))
+    return found, cut(spread.join(found.select("key", "size", "bytes"), "key"))
+
+
+def _facts(reps: DataFrame, texts: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
+    """(cid, n, registers, text) of the classes ``ids`` (cid), which are broadcast only while they are few."""
+    side = F.broadcast if ids.count() <= settings.broadcast_ids else (lambda x: x)
+    wanted = texts.join(side(ids.withColumnRenamed("cid", "mark")), "mark", "left_semi").select(F.col("mark").alias("cid"), "text")
+    return cut(reps.join(side(ids), "cid", "left_semi").select("cid", "n", "registers").join(wanted, "cid").dropDuplicates(["cid"]))
+
+
+def _united(rows: DataFrame) -> DataFrame:
+    """The members (key, cid, own, label) of buckets with several labels, with size and bytes of the bucket and its largest label: main, and out and out_bytes beside it.
+
+    Buckets of one main label become one where that means fewer pairs to look at: who is outside then meets a member once, not once a bucket.
+    """
+
+    def tally(of: DataFrame) -> DataFrame:
+        by = of.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("own").alias("b"))
+        by = by.groupBy("key").agg(F.max(F.struct("c", "label", "b")).alias("m"), F.sum("c").alias("size"), F.sum("b").alias("bytes")).where(F.col("m.c") < F.col("size"))
+        return by.select("key", F.col("m.label").alias("main"), "size", "bytes", (F.col("size") - F.col("m.c")).alias("out"), (F.col("bytes") - F.col("m.b")).alias("out_bytes"))
+
+    member = ["key", "cid", "own", "label"]
+    named = cut(rows.select(*member).join(tally(rows), "key"))
+    apart = named.groupBy("main").agg(F.countDistinct("key").alias("buckets"), F.sum((F.col("label") != F.col("main")).cast("long") * F.col("size")).alias("pairs"))
+    once = cut(named.groupBy("main", "cid").agg(F.min("own").alias("own"), F.min("label").alias("label")))
+    whole = once.groupBy("main").agg((F.count("*") * F.sum((F.col("label") != F.col("main")).cast("long"))).alias("fewer"))
+    pays = cut(whole.join(apart, "main").where("buckets > 1 AND fewer <= pairs").select("main"))
+    if pays.isEmpty():
+        return named
+    together = once.join(pays, "main", "left_semi").select(F.col("main").alias("key"), "cid", "own", "label")
+    all_ = cut(named.join(pays, "main", "left_anti").select(*member).unionByName(together))
+    return cut(all_.join(tally(all_), "key"))
+
+
+def _wave(inside: DataFrame, facts: DataFrame, known: list[DataFrame], settings: Settings) -> list[DataFrame]:
+    """Links between the members (key, cid, own, label, size, bytes) of each bucket; rows of one label are joined already, by ``known`` links."""
     fits = (F.col("size") <= settings.block) & (F.col("bytes") <= settings.max_bytes)
     blocks = lambda size, of: F.greatest(F.ceil(2 * F.col(size) / settings.block), F.ceil(2 * F.col(of) / settings.max_bytes), F.lit(1)).cast("int")
     parts = blocks("size", "bytes")
+    dealt = lambda rows: rows.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "cid"), parts).cast("int"))
     links = [cut(_compare(inside.where(fits).withColumn("lead", F.lit(True)).join(facts, "cid"), ["key"], settings))]
-    large = inside.where(~fits).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "cid"), parts).cast("int"))
-    if large.isEmpty():
+    if inside.where(~fits).isEmpty():
         return links
+    large = dealt(_united(inside.where(~fits)))
     # Leaders: the classes of least seeded hash in each bucket, one of each of a few draws.
     draws = F.array(*[F.struct(F.xxhash64(F.lit(s), "key", "cid").alias("h"), F.col("cid"), F.col("label")) for s in range(settings.leaders)])
     drawn = large.select("key", "size", "bytes", F.posexplode(draws)).groupBy("key", "size", "bytes", "pos").agg(F.min("col").alias("l"))
@@ -227,11 +272,8 @@ def _wave(members: DataFrame, facts: DataFrame, known: list[DataFrame], settings
     links.append(cut(_compare(first.join(facts, "cid"), ["key", "part"], settings)))
     # The rest, exactly: who is outside the largest component of a bucket meets the others.
     labels = components(reduce(DataFrame.unionByName, [*known, *links]))
-    named = cut(large.drop("label").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")))
-    tally = named.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("own").alias("b"))
-    tally = tally.groupBy("key").agg(F.max(F.struct("c", "label", "b")).alias("m"), F.sum("c").alias("all"), F.sum("b").alias("bs"))
-    tally = tally.where(F.col("m.c") < F.col("all")).select("key", F.col("m.label").alias("main"), (F.col("all") - F.col("m.c")).alias("out"), (F.col("bs") - F.col("m.b")).alias("out_bytes"))
-    open_ = cut(named.join(tally, "key"))
+    named = cut(large.select("key", "cid", "own").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")))
+    open_ = dealt(_united(named))
     if open_.isEmpty():
         return links
     outer = blocks("out", "out_bytes")
@@ -308,26 +350,20 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     reps = classes.join(full, member).where(F.col("mark") == F.col("cid")).select("cid", "n", "bytes", "registers", "bands").dropDuplicates(["cid"])
     reps = cut(reps)
 
-    # Buckets: classes that share a band; those with the same members count once.
-    spread = reps.select("cid", F.posexplode("bands").alias("band", "key"))
-    same = F.xxhash64("cid")
-    buckets = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("band").alias("band"), F.bit_xor(same).alias("of"), F.sum(same.bitwiseAND(F.lit((1 << 40) - 1))).alias("of2"))
-    buckets = buckets.where("size > 1").groupBy("size", "of", "of2").agg(F.min(F.struct("band", "key")).alias("m")).select("m.key", "m.band")
-    inside = cut(spread.select("cid", "key").join(buckets, "key").join(reps.select("cid", F.col("bytes").alias("own")), "cid"))
-
-    # Texts of the classes that are in a bucket; their ids are broadcast only while they are few.
-    ids = cut(inside.select("cid").distinct())
-    few = ids.count() <= settings.broadcast_ids
-    wanted = texts.join((F.broadcast if few else lambda x: x)(ids.withColumnRenamed("cid", "mark")), "mark", "left_semi")
-    facts = reps.select("cid", "n", "registers").join(wanted.select(F.col("mark").alias("cid"), "text"), "cid")
-    facts = cut(facts.dropDuplicates(["cid"]))
-
-    links = _wave(inside.where(F.col("band") < settings.early).withColumn("label", F.col("cid")), facts, [], settings)
-    if settings.early < settings.bands:
-        labels = cut(components(reduce(DataFrame.unionByName, links)))
-        later = inside.where(F.col("band") >= settings.early).join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        known = labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
-        links = [known, *_wave(later, facts, [known], settings)]
+    # Two waves of buckets: classes that share a band. The second looks at what the first has not joined.
+    links, known, met, classed = [], [], None, reps.withColumn("label", F.col("cid"))
+    for low, high in ((0, min(settings.early, settings.bands)), (settings.early, settings.bands)):
+        if low >= high:
+            continue
+        if links:
+            labels = cut(components(reduce(DataFrame.unionByName, links)))
+            classed = reps.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+            known = [labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))]
+        met, inside = _buckets(classed, low, high, met)
+        with scope() as passing:
+            facts = _facts(reps, texts, cut(inside.select("cid").distinct()), settings)
+        links = [*known, *_wave(inside, facts, known, settings)]
+        drop(docs.sparkSession, passing)
     # Classes that share a doc_id are one node.
     of = F.xxhash64(*member)
     again = cut(full.groupBy("doc_id").agg(F.min(of).alias("x"), F.max(of).alias("y")).where("x <> y").select("doc_id"))

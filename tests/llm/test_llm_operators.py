@@ -524,6 +524,24 @@ def test_near_duplicates(spark, block, most, width, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
 
 
+def test_near_duplicates_meet_once(spark, monkeypatch):
+    """Who stays outside a group of near copies meets it about once, not once in each band; no link is lost."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        text, n = list(base), int(rng.integers(1, 9))
+        for at in rng.choice(len(text), n, replace=False):
+            text[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(text)))
+    met, compare = [], near_duplicates._compare
+    monkeypatch.setattr(near_duplicates, "_compare", lambda rows, keys, settings: (met.append(rows.count()), compare(rows, keys, settings))[1])
+    settings = near_duplicates.Settings(3, 85, block=32, leaders=2)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), settings).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 3, 85)
+    assert sum(met) <= 30 * len(rows)
+
+
 def test_near_duplicates_of_a_shared_id(spark):
     """Two texts of one doc_id are one node, and each keeps its own links."""
     dice = random.Random(4)
