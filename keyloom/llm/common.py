@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from keyloom.sources.folders import shared_dir
 from keyloom.sources.keyspaces import spread
 
-__all__ = ["SPACE_CLASS", "bucket_of", "cut", "drop", "numbered", "piled", "read_table", "scope", "shared_dir", "spread", "sweep", "words"]
+__all__ = ["SPACE_CLASS", "bucket_of", "cut", "drop", "numbered", "piled", "read_table", "returning", "scope", "shared_dir", "spread", "sweep", "words"]
 
 #: The white space that parts words, as a character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -96,6 +98,25 @@ def numbered(rows: DataFrame, keys: Sequence[str], to: str) -> DataFrame:
     return nth.join(base, same).select(*rows.columns, (F.col("__number_nth") + F.col("__number_before")).cast("long").alias(to))
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc alone has it
+        trim(0)
+
+
+def returning(work: Callable[[Iterator], Iterator], batches: Iterator) -> Iterator:
+    """What ``work`` makes of a task's ``batches``; free memory goes back to the system before and after.
+
+    Spark keeps Python workers for later tasks, and their allocators keep what earlier tasks needed, so
+    that an executor's workers would hold the most that any stage has taken.
+    """
+    _give_back()
+    try:
+        yield from work(batches)
+    finally:
+        _give_back()
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; null gives none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, scope
+from .common import cut, drop, returning, scope
 from .hashing import joined, mixed, shingles
 
 RATE, BASE, TOP = 20.0, 1.001, 65534  # of the exponential values; spacing of registers; their largest value
@@ -135,7 +135,7 @@ def _sketches(settings: Settings):
                     names=["doc_id", "mark", "n", "bytes", "high", "low", "registers", "bands"],
                 )
 
-    return of
+    return lambda batches: returning(of, batches)
 
 
 class _Forest:

@@ -20,16 +20,18 @@ empty table gives an empty result; a column called as the score is replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, returning
+
+STEP = 200  # rows that are worked on at once, whatever the size of a batch
 
 
 @dataclass(frozen=True)
@@ -80,6 +82,12 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
 
 
+def _by_step(texts: pa.Array, work: Callable[[list[bytes]], np.ndarray]) -> pa.Array:
+    """``work`` over a batch's texts, a few at a time: a batch has up to 10,000 rows by default, whatever their length."""
+    found = [work(texts.slice(i, STEP).cast(pa.binary()).to_pylist()) for i in range(0, len(texts), STEP)]
+    return pa.array(np.concatenate([*found, np.empty(0)]), pa.float64())
+
+
 def _dictionary(texts: list[bytes], settings: Settings) -> bytes:
     pieces = [t[i : i + settings.sample_bytes] for t in texts for i in range(0, len(t), settings.sample_bytes)]
     most = max(1, settings.dictionary_bytes // settings.sample_bytes)
@@ -158,13 +166,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings =
     dictionaries = [_dictionary([bodies[r["doc_id"]] for r in own], settings) for own in build]
     level = settings.level
 
-    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = (_compressor(d, level) for d in dictionaries)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "x": _differences([bytes(t) for t in b["__body"]], good, bad)})
+            x = _by_step(b.column(1), lambda texts: _differences(texts, good, bad))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), x], names=["doc_id", "x"])
 
     held = [r for own in classes for r in (own[1::2] or own)]
-    x = {r["doc_id"]: r["x"] for r in of([r["doc_id"] for r in held]).select("doc_id", "__body").mapInPandas(terms, "doc_id long, x double").collect()}
+    x = {r["doc_id"]: r["x"] for r in of([r["doc_id"] for r in held]).select("doc_id", "__body").mapInArrow(lambda batches: returning(terms, batches), "doc_id long, x double").collect()}
     share = of_class[1] / (of_class[0] + of_class[1])
     return _calibrated(dictionaries, np.array([x[r["doc_id"]] for r in held]), np.array([float(r["__mark"]) for r in held]), share, settings)
 
@@ -173,10 +182,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
     """``docs`` with ``to`` (double, 0 to 1); its other columns pass through in place."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most dictionary_bytes
 
-    @F.pandas_udf("double")
-    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = held.value.scorer()
         for batch in batches:
-            yield pd.Series(scorer([(t or "").encode() for t in batch]), dtype="float64")
+            yield _by_step(batch, scorer)
+
+    @F.arrow_udf("double")
+    def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from returning(scored, batches)
 
     return docs.withColumn(to, probability(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import returning
+
 MARK = "▁"  # stands for a space
 UNKNOWN = -1
 STEP = 200  # rows that are worked on at once, whatever the size of a batch
@@ -53,7 +55,7 @@ def _mapped(rows: DataFrame, column: str, pieces: Pieces, fields: list[T.StructF
                 made = work(model, part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
 
-    return rows.mapInArrow(of, T.StructType([*rows.schema.fields, *fields]))
+    return rows.mapInArrow(lambda batches: returning(of, batches), T.StructType([*rows.schema.fields, *fields]))
 
 
 def _ids(model: sentencepiece.SentencePieceProcessor, texts: list[str | None]) -> tuple[pa.Array, list[np.ndarray]]:

@@ -3,6 +3,8 @@
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -624,3 +626,34 @@ def test_components_and_sweep(spark):
         near_duplicates.components(spark.createDataFrame(chain, "a long, b long"), rounds=1, few=0)
     assert near_duplicates.components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert cut(spark.range(3)).count() == 3 and sweep(spark) > 0 and sweep(spark) == 0
+
+
+HELD = """
+import re
+import numpy as np
+import pyarrow as pa
+from keyloom.llm import near_duplicates
+
+def held():
+    return sum(int(x) for x in re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())) / 1024
+
+def batches(n, rows):
+    dice = np.random.default_rng(5)
+    for _ in range(n):
+        texts = pa.array([" ".join(map(str, dice.integers(0, 1000, 200))) for _ in range(rows)])
+        yield pa.RecordBatch.from_arrays([pa.array(range(rows)), texts, pa.nulls(rows, pa.int64())], names=["doc_id", "text", "mark"])
+
+of = near_duplicates._sketches(near_duplicates.Settings())
+list(of(batches(1, 10)))
+before = held()
+texts = [bytes(600 + i % 400) for i in range(100_000)]  # 80 MB, as a batch's texts, and one that outlives them
+last = bytes(700)
+del texts
+print(sum(b.num_rows for b in of(batches(2, 1000))), held() - before)
+"""
+
+
+def test_workers_give_memory_back():
+    """Spark keeps a worker after its task: what the task's allocators held must not stay with it."""
+    rows, mb = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, timeout=120).stdout.split()[-2:]
+    assert int(rows) == 2000 and float(mb) < 30
