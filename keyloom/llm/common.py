@@ -20,7 +20,9 @@ __all__ = ["SPACE_CLASS", "bucket_of", "cut", "drop", "numbered", "piled", "read
 
 #: The white space that parts words, as a character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written. Whole texts are read a few at a time: by default a reader's batch has 4,096 rows, whatever their length.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.columnarReaderBatchSize": "256"}
+GROUP_BYTES = 16 << 20  # of a written table's row groups, one of which each writing and each reading task holds
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +47,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which ends its lineage.
 
     Rows come back from storage that outlives every executor, compressed and by column. The shuffle files
-    that led to them go as soon as they are written.
+    that led to them go as soon as they are written. What tasks hold of the texts that they read and write does
+    not grow with the table: batches of a few rows, and row groups of bounded size.
     """
     return piled(df.sparkSession, [df])
 
@@ -53,14 +56,16 @@ def cut(df: DataFrame) -> DataFrame:
 def piled(spark: SparkSession, frames: Iterable[DataFrame]) -> DataFrame:
     """``cut`` of several frames of one schema, one after the other, into one table."""
     path, schema = f"{shared_dir(spark)}/keyloom-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}", None
-    before = spark.conf.get(CLEAN, "false")
-    spark.conf.set(CLEAN, "true")
+    before = {name: spark.conf.get(name) for name in WRITING}
+    for name, value in WRITING.items():
+        spark.conf.set(name, value)
     try:
         for df in frames:
-            df.write.mode("append").parquet(path)
+            df.write.mode("append").option("parquet.block.size", GROUP_BYTES).parquet(path)
             schema = df.schema
     finally:
-        spark.conf.set(CLEAN, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     if (made := _made.get()) is not None:
         made.append(path)
     return spark.read.schema(schema).parquet(path)

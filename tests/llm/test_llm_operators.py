@@ -628,6 +628,27 @@ def test_components_and_sweep(spark):
     assert cut(spark.range(3)).count() == 3 and sweep(spark) > 0 and sweep(spark) == 0
 
 
+def test_written_tables_are_read_and_written_in_small_parts(spark):
+    """Eight tasks of a 1 GB heap read and write long texts: batches of few rows, row groups of few MB."""
+    import pyarrow.parquet as pq
+
+    from keyloom.llm.common import piled
+
+    batch, seen = "spark.sql.parquet.columnarReaderBatchSize", []
+
+    def frames():
+        seen.append(int(spark.conf.get(batch)))
+        text = F.expr("array_join(transform(sequence(1, 150), i -> sha2(concat(id, '-', i), 256)), '')")
+        yield spark.range(0, 4000, 1, 1).select("id", text.alias("text"))
+
+    before = spark.conf.get(batch)
+    table = piled(spark, frames())
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in table.inputFiles()]
+    sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
+    assert sum(sizes) > 38e6 and max(sizes) < 24e6
+    assert seen[0] <= 256 and spark.conf.get(batch) == before and table.count() == 4000
+
+
 HELD = """
 import re
 import numpy as np
