@@ -43,15 +43,17 @@ def reserve(requests: DataFrame, shares: DataFrame) -> DataFrame:
     A request is granted if what is outstanding and its amount fit the share.
     """
     known = requests.join(shares, ["key", "node"]).select("key", "node", "seq", F.col("amount").cast("bigint").alias("amount"), "alloc")
-    dealt = known.repartition("key", "node").sortWithinPartitions("key", "node", "seq")
+    # A window, as it asks for whole sorted ledgers: a repartition is dropped after a join on the same columns, which
+    # Spark may then turn into a broadcast that deals a ledger to many tasks.
+    dealt = known.withColumn("nth", F.row_number().over(W.partitionBy("key", "node").orderBy("seq")))
 
     def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, used = None, 0
+        used = 0
         for b in batches:
             granted = []
-            for key, node, amount, alloc in zip(b["key"], b["node"], b["amount"], b["alloc"], strict=True):
-                if at != (key, node):
-                    at, used = (key, node), 0
+            for nth, amount, alloc in zip(b["nth"], b["amount"], b["alloc"], strict=True):
+                if nth == 1:
+                    used = 0
                 ok = amount >= 0 and used + amount <= alloc
                 used += amount if ok else 0
                 granted.append(ok)
