@@ -52,11 +52,15 @@ def pfmerge(registers: DataFrame, dst: str, *keys: str) -> DataFrame:
     return own.groupBy("bucket").agg(F.max("rank").alias("rank")).select(F.lit(dst).alias("key"), "bucket", "rank")
 
 
-def pfcount(registers: DataFrame) -> DataFrame:
-    """(key, estimate): the raw estimate, or linear counting while it is small and a register is empty."""
+def pfcount(registers: DataFrame, linear: bool = False) -> DataFrame:
+    """(key, estimate): the raw estimate, or linear counting while it is small and a register is empty.
+
+    ``linear`` counts linearly at any size while a register is empty, as the SQL of the queries does; loaded
+    sketches are then estimated less well (a standard error of 2.2 % at 90,000 elements against 0.8 %).
+    """
     parts = registers.groupBy("key").agg(F.sum(F.pow(F.lit(2.0), 52 - F.col("rank")).cast("decimal(38,0)")).alias("s"), F.count("*").alias("used"))
     inverse = F.col("s").cast("double") / float(1 << 52) + (M - F.col("used"))
     raw = (0.7213 / (1 + 1.079 / M)) * M * M / inverse
     empty = M - F.col("used")
-    estimate = F.when((raw <= 2.5 * M) & (empty > 0), M * F.log(M / empty)).otherwise(raw)
+    estimate = F.when((empty > 0) if linear else (raw <= 2.5 * M) & (empty > 0), M * F.log(M / empty)).otherwise(raw)
     return parts.select("key", F.floor(estimate + 0.5).cast("bigint").alias("estimate"))

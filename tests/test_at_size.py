@@ -2,7 +2,10 @@
 
 from contextlib import contextmanager
 
+import duckdb
+
 from keyloom.operators import budgets
+from keyloom.plans.queries import oracle_sql, queries
 
 
 @contextmanager
@@ -31,3 +34,19 @@ def test_budget_ledgers_stay_whole(spark):
         want[seq] = amount <= held[key, node]
         held[key, node] -= amount if want[seq] else 0
     assert got == want and 0 < sum(want.values()) < 4000
+
+
+def compare(spark, folder, *names):
+    """Queries over tables in ``folder`` against their SQL."""
+    con = duckdb.connect()
+    for path in folder.iterdir():
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    for name in names:
+        found, relation = queries()[name](spark, str(folder)), con.sql(oracle_sql()[name])
+        assert sorted(map(tuple, found.select(*relation.columns).collect()), key=repr) == sorted(relation.fetchall(), key=repr), name
+
+
+def test_loaded_sketches(spark, tmp_path):
+    """Beyond 2.5 elements a register the SQL still counts linearly."""
+    duckdb.sql(f"COPY (SELECT i AS event_id, i AS user_id, 'view' AS event_type FROM range(70000) t(i)) TO '{tmp_path}/events.parquet'")
+    compare(spark, tmp_path, "pfcount_registers", "pfmerge_count")
