@@ -5,8 +5,9 @@ State is keyed, so it is spread like the keys are; timers bound what must not be
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+import heapq
+from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -89,7 +90,7 @@ def blocking_pop(commands: DataFrame, left: bool = True) -> DataFrame:
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, waiting = (list(x) for x in state.get) if state.exists else ([], [])
+        items, waiting = map(deque, state.get) if state.exists else (deque(), deque())
         out = []
         rows = pd.concat(list(batches)).sort_values("seq")
         for seq, op, value in zip(rows["seq"], rows["op"], rows["value"], strict=True):
@@ -98,8 +99,8 @@ def blocking_pop(commands: DataFrame, left: bool = True) -> DataFrame:
             else:
                 waiting.append(int(seq))
             while items and waiting:
-                out.append((key[0], waiting.pop(0), items.pop(0 if left else -1)))
-        state.update((items, waiting))
+                out.append((key[0], waiting.popleft(), items.popleft() if left else items.pop()))
+        state.update((list(items), list(waiting)))
         yield pd.DataFrame(out, columns=["key", "seq", "value"])
 
     return commands.groupBy("key").applyInPandasWithState(
@@ -115,7 +116,7 @@ def blocking_move(commands: DataFrame, from_left: bool = False) -> DataFrame:
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, waiting, targets = (list(x) for x in state.get) if state.exists else ([], [], [])
+        items, waiting, targets = map(deque, state.get) if state.exists else (deque(), deque(), deque())
         out = []
         rows = pd.concat(list(batches)).sort_values("seq")
         for seq, op, value, dst in zip(rows["seq"], rows["op"], rows["value"], rows["dst"], strict=True):
@@ -125,8 +126,8 @@ def blocking_move(commands: DataFrame, from_left: bool = False) -> DataFrame:
                 waiting.append(int(seq))
                 targets.append(dst)
             while items and waiting:
-                out.append((targets.pop(0), waiting.pop(0), items.pop(0 if from_left else -1)))
-        state.update((items, waiting, targets))
+                out.append((targets.popleft(), waiting.popleft(), items.popleft() if from_left else items.pop()))
+        state.update((list(items), list(waiting), list(targets)))
         yield pd.DataFrame(out, columns=["dst", "seq", "value"])
 
     return commands.groupBy("key").applyInPandasWithState(
@@ -134,24 +135,42 @@ def blocking_move(commands: DataFrame, from_left: bool = False) -> DataFrame:
     )
 
 
+class _Last(str):
+    """A member that sorts from the last to the first."""
+
+    __slots__ = ()
+
+    def __lt__(self, other: str) -> bool:
+        return str.__gt__(self, other)
+
+
 def blocking_zpop(commands: DataFrame, most: bool = False) -> DataFrame:
-    """(key, seq, member, score): BZPOPMIN and BZPOPMAX over commands (key, seq, op, member, score)."""
+    """(key, seq, member, score): BZPOPMIN and BZPOPMAX over commands (key, seq, op, member, score).
+
+    Of equal scores BZPOPMIN takes the least member, BZPOPMAX the greatest. Members are held in a heap, in which a
+    member that was added again stays under its older scores until these come up.
+    """
+    entry = (lambda score, member: (-score, _Last(member))) if most else (lambda score, member: (score, member))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        members, scores, waiting = (list(x) for x in state.get) if state.exists else ([], [], [])
-        held: dict[Any, float] = dict(zip(members, scores, strict=True))
+        members, scores, waiting = state.get if state.exists else ([], [], [])
+        held, waiting = dict(zip(members, scores, strict=True)), deque(waiting)
+        heap = [entry(score, member) for member, score in held.items()]
+        heapq.heapify(heap)
         out = []
         rows = pd.concat(list(batches)).sort_values("seq")
         for seq, op, member, score in zip(rows["seq"], rows["op"], rows["member"], rows["score"], strict=True):
             if op == "add":
                 held[member] = float(score)
+                heapq.heappush(heap, entry(held[member], member))
             else:
                 waiting.append(int(seq))
-            while held and waiting:
-                pick: Callable = max if most else min
-                chosen = pick(held, key=lambda m: (held[m], m))
-                out.append((key[0], waiting.pop(0), chosen, held.pop(chosen)))
-        state.update((list(held), list(held.values()), waiting))
+            while heap and waiting:
+                order, chosen = heapq.heappop(heap)
+                chosen = str(chosen)
+                if held.get(chosen) == (-order if most else order):
+                    out.append((key[0], waiting.popleft(), chosen, held.pop(chosen)))
+        state.update((list(held), list(held.values()), list(waiting)))
         yield pd.DataFrame(out, columns=["key", "seq", "member", "score"])
 
     return commands.groupBy("key").applyInPandasWithState(

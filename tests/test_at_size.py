@@ -1,11 +1,14 @@
 """What shows only on larger tables: plans that Spark changes while it runs, loaded sketches, long queues, deep documents."""
 
+import time
 from contextlib import contextmanager
 
 import duckdb
+import pytest
 
 from keyloom.operators import budgets
 from keyloom.plans.queries import oracle_sql, queries
+from keyloom.streaming import live
 
 
 @contextmanager
@@ -50,3 +53,31 @@ def test_loaded_sketches(spark, tmp_path):
     """Beyond 2.5 elements a register the SQL still counts linearly."""
     duckdb.sql(f"COPY (SELECT i AS event_id, i AS user_id, 'view' AS event_type FROM range(70000) t(i)) TO '{tmp_path}/events.parquet'")
     compare(spark, tmp_path, "pfcount_registers", "pfmerge_count")
+
+
+def pops(commands, most):
+    """BZPOPMIN and BZPOPMAX one command at a time."""
+    held, waiting, out = {}, [], []
+    for seq, op, member, score in commands:
+        if op == "add":
+            held[member] = score
+        else:
+            waiting.append(seq)
+        while held and waiting:
+            chosen = (max if most else min)(held, key=lambda m: (held[m], m))
+            out.append((waiting.pop(0), chosen, held.pop(chosen)))
+    return out
+
+
+@pytest.mark.parametrize("most", [False, True])
+def test_long_sorted_queue(spark, tmp_path, most):
+    """Members that come again, equal scores and pops that wait; 60,000 members are popped without going through all of them."""
+    few = [(i, "pop", None, None) if i % 3 == 2 else (i, "add", f"m{i * 7 % 11}", float(i * 5 % 4)) for i in range(300)]
+    rows = [("few", *r) for r in few] + [("many", i, "add", f"m{i:05}", float(i % 9)) for i in range(60_000)] + [("many", 60_000 + i, "pop", None, None) for i in range(60_000)]
+    schema = "key string, seq long, op string, member string, score double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    begun = time.monotonic()
+    got = live.settled(live.blocking_zpop(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), most), f"{tmp_path}/out").collect()
+    assert time.monotonic() - begun < 60
+    assert sorted(tuple(r)[1:] for r in got if r.key == "few") == sorted(pops(few, most))
+    assert [r.score for r in sorted((r for r in got if r.key == "many"), key=lambda r: r.seq)] == sorted((i % 9 for i in range(60_000)), reverse=most)
