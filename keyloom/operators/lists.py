@@ -90,10 +90,11 @@ def lrem(lists: DataFrame, count: int, value: Column) -> DataFrame:
 def linsert(lists: DataFrame, pivot: Column, value: Column, before: bool = True) -> DataFrame:
     """(key, index, value) with ``value`` put next to the first element equal to ``pivot``; keys without it stay."""
     hit = F.min(F.when(F.col("value") == pivot, F.col("index"))).over(W.partitionBy("key"))
+    at = F.col("__at") + (0 if before else 1)
+    moved = F.struct((F.col("index") + F.when(F.col("index") >= at, 1).otherwise(0)).alias("index"), "value")
+    both = F.array(moved, F.struct(at.alias("index"), value.alias("value")))
     step = _indexed(lists).withColumn("__at", hit)
-    moved = step.select("key", (F.col("index") + F.when(F.col("index") >= F.col("__at") + (0 if before else 1), 1).otherwise(0)).alias("index"), "value")
-    new = step.where(F.col("index") == F.col("__at")).select("key", (F.col("__at") + (0 if before else 1)).alias("index"), value.alias("value"))
-    return moved.unionByName(new)
+    return step.select("key", F.inline(F.when(F.col("index") == F.col("__at"), both).otherwise(F.array(moved))))
 
 
 def lpos(lists: DataFrame, value: Column, rank: int = 1, count: int | None = None, maxlen: int = 0) -> DataFrame:

@@ -27,6 +27,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+#: Rows of a table that one task is given.
+TASK_ROWS = 500_000
+
+
+def in_tasks(rows: DataFrame, *by: Column | str) -> DataFrame:
+    """A table read from files, dealt to tasks by ``by`` (else evenly), whose size does not grow with it.
+
+    Tasks that Spark sizes itself hold as many rows as compress to 64 MB. Files tell their number of rows.
+    """
+    n = rows.count()
+    if n <= TASK_ROWS and by:
+        return rows
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)), *by)
+
+
 def millis(ts: Column) -> Column:
     """Milliseconds since the epoch of a time without zone, whatever the session's zone."""
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
@@ -85,10 +100,10 @@ def part_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("key"), (F.row_number().over(line) - 1).cast("long").alias("pos"), (F.col("l_partkey") % 50).alias("value")
-    )
+    by = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    key = F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("key")  # parts the rows, so that later steps by key need no other shuffle
+    nth = F.row_number().over(W.partitionBy("key").orderBy(*by))
+    return in_tasks(table(spark, sf_dir, "lineitem").select(key, *by), "key").select("key", (nth - 1).cast("long").alias("pos"), (F.col("l_partkey") % 50).alias("value"))
 
 
 def user_streams(spark: SparkSession, sf_dir: str) -> DataFrame:

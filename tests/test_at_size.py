@@ -8,6 +8,7 @@ import pytest
 
 from keyloom.operators import budgets
 from keyloom.plans.queries import oracle_sql, queries
+from keyloom.sources import keyspaces
 from keyloom.streaming import live
 
 
@@ -81,3 +82,12 @@ def test_long_sorted_queue(spark, tmp_path, most):
     assert time.monotonic() - begun < 60
     assert sorted(tuple(r)[1:] for r in got if r.key == "few") == sorted(pops(few, most))
     assert [r.score for r in sorted((r for r in got if r.key == "many"), key=lambda r: r.seq)] == sorted((i % 9 for i in range(60_000)), reverse=most)
+
+
+def test_lists_in_many_tasks(spark, tmp_path, monkeypatch):
+    """No task gets more rows of a long table than the bound, and lists stay whole."""
+    monkeypatch.setattr(keyspaces, "TASK_ROWS", 1000)
+    for name, last in (("lineitem", "l_linenumber"), ("orders", "o_orderkey")):
+        duckdb.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.001/{name}.parquet' ORDER BY {last}) TO '{tmp_path}/{name}.parquet'")
+    assert keyspaces.order_lists(spark, str(tmp_path)).rdd.getNumPartitions() >= 6
+    compare(spark, tmp_path, "linsert", "lpush", "rpushx")
