@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from json.encoder import encode_basestring
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -237,27 +239,40 @@ def edit(docs: DataFrame, path: str, change: Edit, create: bool = False) -> Data
     return docs.select("key", run("doc").alias("__r")).select("key", "__r.doc", "__r.reply")
 
 
+def _rebuilt(paths: list[str], kinds: list[str], values: list[str | None]) -> list[str]:
+    """The text of every root among one key's nodes."""
+    members: dict[str, list] = {}
+    for i, path in enumerate(paths):
+        if path.endswith("]"):
+            up, _, at = path[:-1].rpartition("[")
+            members.setdefault(up, []).append((1, int(at), i))
+        elif "." in path or "[" in path:
+            up, _, name = path.rpartition(".")
+            members.setdefault(up, []).append((0, name, i))
+
+    def text(i: int) -> str:
+        inner = [f"{encode_basestring(step)}:{text(k)}" if named == 0 else text(k) for named, step, k in sorted(members.get(paths[i], ()))]
+        if kinds[i] == "array":
+            return f"[{','.join(inner)}]"
+        return f"{{{','.join(inner)}}}" if inner or kinds[i] == "object" else "null" if values[i] is None else values[i]
+
+    return [text(i) for i, path in enumerate(paths) if "." not in path and "[" not in path]
+
+
 def build(nodes: DataFrame, key: str = "key") -> DataFrame:
     """(key, doc): documents from their nodes (path, kind, value) as ``decompose`` gives them, in any order.
 
-    Rounds from the deepest nodes up: members of one parent are collected, so a task holds the members of
-    one container and no whole table. Members' names without dots and brackets are assumed, as paths are text.
+    One shuffle brings a document's nodes together; a task holds one batch of documents and no whole table.
+    Members' names without dots and brackets are assumed, as paths are text.
     """
-    where = F.when(F.col("path").endswith("]"), F.regexp_extract("path", r"^(.*)\[\d+\]$", 1)).otherwise(F.regexp_extract("path", r"^(.*)\.[^.\[\]]+$", 1))
-    name = F.when(F.col("path").endswith("]"), F.lit(None).cast("string")).otherwise(F.regexp_extract("path", r"\.([^.\[\]]+)$", 1))
-    at = F.regexp_extract("path", r"\[(\d+)\]$", 1).try_cast("int")
-    depth = F.length(F.regexp_replace("path", r"[^.\[]", ""))
-    rows = nodes.select(key, "path", "kind", "value", where.alias("up"), name.alias("name"), at.alias("at"), depth.alias("depth"))
-    deepest = rows.agg(F.max("depth")).first()[0] or 0
-    closed = F.when(F.col("kind") == "array", "[]").when(F.col("kind") == "object", "{}").otherwise(F.col("value"))
-    done = rows.where(F.col("depth") == deepest).withColumn("text", F.coalesce(closed, F.lit("null")))
-    for level in range(deepest - 1, -1, -1):
-        member = F.when(F.col("name").isNull(), F.col("text")).otherwise(F.concat(F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2), F.lit(":"), F.col("text")))
-        parts = done.groupBy(key, F.col("up").alias("path")).agg(F.array_sort(F.collect_list(F.struct("at", "name", member.alias("t")))).alias("m"))
-        text = F.array_join(F.transform("m", lambda x: x["t"]), ",")
-        full = F.when(F.col("m").isNull(), F.coalesce(closed, F.lit("null"))).when(F.col("kind") == "array", F.concat(F.lit("["), text, F.lit("]"))).otherwise(F.concat(F.lit("{"), text, F.lit("}")))
-        done = rows.where(F.col("depth") == level).join(parts, [key, "path"], "left").withColumn("text", full).select(*rows.columns, "text")
-    return done.select(key, F.col("text").alias("doc"))
+
+    @F.arrow_udf("array<string>")
+    def run(found: pa.Array) -> pa.Array:
+        flat, ends = found.flatten(), found.offsets.to_pylist()
+        columns = [flat.field(i).to_pylist() for i in range(3)]
+        return pa.array([_rebuilt(*(c[i - ends[0] : j - ends[0]] for c in columns)) for i, j in zip(ends, ends[1:], strict=False)], pa.list_(pa.string()))
+
+    return nodes.groupBy(key).agg(F.collect_list(F.struct("path", "kind", "value")).alias("__n")).select(key, F.explode(run("__n")).alias("doc"))
 
 
 def resp(value: Any) -> Any:
@@ -271,29 +286,39 @@ def resp(value: Any) -> Any:
     return dump(value) if isinstance(value, float) else value
 
 
-KINDS = ((bool, "boolean"), (int, "integer"), (float, "number"), (str, "string"), (list, "array"), (dict, "object"))
+def _add_nodes(path: str, v: Any, paths: list, kinds: list, values: list) -> None:
+    paths.append(path)
+    if isinstance(v, dict):
+        kinds.append("object")
+        values.append(None)
+        for k in sorted(v):  # by code point, which is byte order
+            _add_nodes(f"{path}.{k}", v[k], paths, kinds, values)
+    elif isinstance(v, list):
+        kinds.append("array")
+        values.append(None)
+        for i, x in enumerate(v):
+            _add_nodes(f"{path}[{i}]", x, paths, kinds, values)
+    else:
+        kind = "null" if v is None else LEAVES[type(v)]
+        kinds.append(kind)
+        values.append(encode_basestring(v) if kind == "string" else str(v) if kind == "integer" else dump(v))
 
 
-def nodes(text: str) -> list[dict]:
-    """Every node of a document: its path, its kind, and a leaf's value."""
-    out = []
-
-    def visit(path, v):
-        kind = "null" if v is None else next(name for t, name in KINDS if isinstance(v, t))
-        out.append({"path": path, "kind": kind, "value": None if kind in ("array", "object") else dump(v)})
-        for k, x in sorted(v.items(), key=lambda e: e[0].encode()) if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ():
-            visit(f"{path}[{k}]" if isinstance(v, list) else f"{path}.{k}", x)
-
-    visit("$", json.loads(text))
-    return out
+LEAVES = {bool: "boolean", int: "integer", float: "number", str: "string"}
 
 
 def decompose(doc: Column | str) -> Column:
-    """A document as one struct (path, kind, value) for each node."""
-
-    @F.pandas_udf("array<struct<path:string,kind:string,value:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else nodes(t), na_action=None)
+    """A document as one struct (path, kind, value) for each node: its path, its kind, and a leaf's value."""
+
+    @F.arrow_udf("array<struct<path:string,kind:string,value:string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        columns, starts = ([], [], []), []
+        for t in texts.to_pylist():
+            starts.append(None if t is None else len(columns[0]))
+            if t is not None:
+                _add_nodes("$", json.loads(t), *columns)
+        found = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "kind", "value"])
+        return pa.ListArray.from_arrays(pa.array([*starts, len(columns[0])], pa.int32()), found)
 
     return run(doc)
 
