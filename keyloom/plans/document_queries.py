@@ -13,9 +13,9 @@ from keyloom.sources import keyspaces as ks
 from .registry import query
 
 
-def docs(spark, d):
+def docs(spark, d, deal=lambda rows: rows):
     """(key, doc, n): an order and its customer as one document."""
-    o = ks.table(spark, d, "orders")
+    o = deal(ks.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_orderpriority"))
     doc = F.to_json(F.struct(
         F.col("o_orderkey").alias("id"), F.struct(F.col("o_orderstatus").alias("code"), (F.col("o_orderkey") % 2 == 0).alias("even")).alias("status"),
         F.array(F.col("o_custkey"), F.col("o_custkey") + 1, F.lit(7)).alias("nums"), F.col("o_orderpriority").alias("priority"),
@@ -24,8 +24,8 @@ def docs(spark, d):
 
 
 def dealt(spark, d):
-    """The documents over all cores, for work in Python."""
-    return ks.spread(docs(spark, d))
+    """The documents in even tasks of bounded size over all cores, for work in Python."""
+    return docs(spark, d, ks.in_tasks)
 
 
 K = "'order:' || o_orderkey AS key"

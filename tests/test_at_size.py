@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from keyloom.operators import budgets
+from keyloom.plans import document_queries
 from keyloom.plans.queries import oracle_sql, queries
 from keyloom.sources import keyspaces
 from keyloom.streaming import live
@@ -91,3 +92,13 @@ def test_lists_in_many_tasks(spark, tmp_path, monkeypatch):
         duckdb.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.001/{name}.parquet' ORDER BY {last}) TO '{tmp_path}/{name}.parquet'")
     assert keyspaces.order_lists(spark, str(tmp_path)).rdd.getNumPartitions() >= 6
     compare(spark, tmp_path, "linsert", "lpush", "rpushx")
+
+
+def test_documents_in_many_tasks(spark, tmp_path, monkeypatch):
+    """No task gets more documents of a long table than the bound; building them reads their nodes once."""
+    monkeypatch.setattr(keyspaces, "TASK_ROWS", 100)
+    duckdb.sql(f"COPY (FROM '/root/testdata/sf0.001/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    assert document_queries.dealt(spark, str(tmp_path)).rdd.getNumPartitions() >= 15
+    built = queries()["json_build"](spark, str(tmp_path))
+    assert built._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+    compare(spark, tmp_path, "json_build", "json_nodes", "json_get_dynamic", "json_debug_memory")
